@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, url_filter
+import public_tokenizers
+
+from . import best_fit, chat_format, decontaminate, quality_knn, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -31,7 +33,44 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op5_chat_format": op5_chat_format}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    space = quality_knn.learn(documents, table(spark, sf_dir, "labels"), ~(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0))
+    return quality_knn.score(documents, space).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_quality_knn": op4_quality_knn,
+    "op5_chat_format": op5_chat_format,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLE = {
     "op2_url_filter": r"""
