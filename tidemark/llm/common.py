@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +73,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def task_id() -> int:
     """The partition of the running task; the same again when a task is retried."""
     return TaskContext.get().partitionId()
+
+
+def rows_kept(df: DataFrame, text_col: str, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text the judge accepts.
+
+    ``judge`` is called once in a task and returns a function from texts (null: empty) to a mask.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = judge()
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                raws = [raw.as_py() or b"" for raw in batch.column(at).cast(pa.binary())]
+                yield batch.filter(pa.array(np.asarray(accepts(raws), bool)))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import best_fit, chat_format, decontaminate, quality_knn, quality_rules, simhash, toxicity, url_filter
+from . import best_fit, chat_format, decontaminate, html_extract, kneser_ney, quality_knn, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -43,6 +47,13 @@ def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score(documents, space).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(documents.where(~kneser_ney.held_out()))
+    scored = kneser_ney.score(documents, model)
+    return scored.select("doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -62,10 +73,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_knn": op4_quality_knn,
     "op5_chat_format": op5_chat_format,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
