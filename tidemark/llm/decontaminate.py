@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lower_words, raw_text
+from .common import lower_words, raw_text, rows_kept
 
 MASKS = ("111010010100110111", "11101101011", "110110111")
 MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
@@ -144,17 +145,33 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
         return docs.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     pa_item = to_arrow_type(item_type)
-    found, block = None, []
-    items = benchmark.select(F.col(item_col).alias("id"), raw_text(item_text_col).alias("text"))
-    for row in items.toLocalIterator():
-        block.append((row["id"], bytes(row["text"])))
-        if len(block) == block_items:
-            part, block = search(block), []
-            found = part if found is None else found.unionByName(part)
-    if block or found is None:
-        part = search(block)
+    found = None
+    for items in item_blocks(benchmark, item_col, item_text_col, block_items):
+        part = search(items)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> Iterator[list[tuple[object, bytes]]]:
+    """The benchmark in blocks of ``size`` items; an empty benchmark is one empty block."""
+    block, given = [], False
+    for row in benchmark.select(F.col(item_col).alias("id"), raw_text(item_text_col).alias("text")).toLocalIterator():
+        block.append((row["id"], bytes(row["text"])))
+        if len(block) == size:
+            yield block
+            block, given = [], True
+    if block or not given:
+        yield block
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
+    """The rows of ``documents`` that ``contaminated`` has no row for, with all their columns."""
+    for items in item_blocks(benchmark, item_col, item_text_col, block_items):
+
+        def judge(items: list = items):
+            bank = Bank(items, masks)
+            return lambda raws: np.array([not bank.matches(token_hashes([lower_words(raw)])[0], least, share) for raw in raws], bool)
+
+        documents = rows_kept(documents, text_col, judge)
+    return documents

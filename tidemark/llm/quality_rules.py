@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, words
+from .common import raw_text, rows_kept, words
 
 LANGUAGES = ("en", "de", "fr", "es")
 
@@ -198,3 +198,20 @@ def judge(documents: DataFrame, *, max_chars: float = 0.185, max_words: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return documents.select(F.col(id_col).alias("id"), raw_text(text_col).alias("text")).mapInArrow(run, f"{id_col} {id_type}, {SCHEMA}")
+
+
+def accepted(documents: DataFrame, *, max_chars: float = 0.185, max_words: float = 0.45, min_chars: int = 200, min_words: int = 50, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``documents`` that ``judge`` keeps, with all their columns."""
+    refs = references(documents, text_col=text_col, lang_col=lang_col, min_words=min_words)
+
+    def judge():
+        own = Judge(refs, max_chars, max_words, min_chars, min_words)
+
+        def accepts(raws: list[bytes]) -> np.ndarray:
+            counted = [words(raw) for raw in raws]
+            base = np.array([not fails_base(len(t), repeated_words(t)) for t in counted], bool)
+            return base & own.accept(raws)[0]
+
+        return accepts
+
+    return rows_kept(documents, text_col, judge)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lower_words, raw_text, written
 
@@ -230,6 +231,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+def grouped(docs: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """For each ``fp`` of ``docs`` (``id``, ``fp``): ``least``, the least id of its component (null
+    only if all ids are), and ``keeper``, a fingerprint of the component that has that id."""
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
+    distinct = written(docs.groupBy("fp").agg(F.min(first).alias("best")), "distinct")
+    n, both = bit_statistics(distinct)
+    parts = allot(n, both, order_bits(n, both), radius)
+    edges = written(links(distinct.select("fp"), parts, radius, crowd), "links")
+    groups = components(edges).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "best")
+    linked = groups.select("fp", "root").join(groups.groupBy("root").agg(F.min("best").alias("chosen")), "root").select("fp", "chosen")
+    final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "best").alias("c"))
+    return written(final.select("fp", F.col("c.id").alias("least"), F.col("c.fp").alias("keeper")), "groups")
+
+
 def near_duplicates(documents: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -240,13 +255,27 @@ def near_duplicates(documents: DataFrame, *, radius: int = 2, width: int = 3, se
     not read.  An empty table gives no rows.
     """
     docs = written(fingerprints(documents, width=width, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    n, both = bit_statistics(distinct)
-    parts = allot(n, both, order_bits(n, both), radius)
-    edges = written(links(distinct.select("fp"), parts, radius, crowd), "links")
-    named = components(edges)
-    groups = named.join(distinct, named["node"] == distinct["fp"]).select("fp", "root", "least")
-    smallest = groups.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = groups.join(smallest, "root").select("fp", "smallest")
-    final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return docs.join(final, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = grouped(docs, radius, crowd).select("fp", F.col("least").alias("component_id"))
+    return docs.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(documents: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns.
+
+    Links as in ``near_duplicates``.  A row with a null id is kept only where its component has no other;
+    of repeated rows one stays.
+    """
+    at, id_at = documents.columns.index(text_col), documents.columns.index(id_col)
+    own = "tidemark_fp"
+    schema = T.StructType([*documents.schema.fields, T.StructField(own, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(lower_words(t.as_py()), width, seed) for t in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
+
+    marked = written(documents.mapInArrow(run, schema), "marked")
+    ids = marked.select(F.col(documents.columns[id_at]).alias("id"), F.col(own).alias("fp"))
+    keepers = grouped(ids, radius, crowd).where("fp = keeper").select(F.col("fp").alias("keeper_fp"), F.col("least").alias("keeper_id"))
+    kept = marked.join(keepers, (F.col(own) == F.col("keeper_fp")) & F.col(id_col).eqNullSafe(F.col("keeper_id")))
+    return kept.dropDuplicates([own]).select(*documents.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, lower_words, raw_text
+from .common import bucket_of, lower_words, raw_text, rows_kept
 from .labelled import labelled_sample
 
 GRAM = 5
@@ -203,3 +203,17 @@ def score(documents: DataFrame, model: Model | None, *, threshold: float = 0.3,
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents whose labels are never learned from: crc32 of the id modulo 4 is 2."""
     return bucket_of(F.col(id_col), 4) == 2
+
+
+def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with all their columns."""
+
+    def judge():
+        def accepts(raws: list[bytes]) -> np.ndarray:
+            if model is None or not raws:
+                return np.ones(len(raws), bool)
+            return model.score(np.array([model.figures(raw) for raw in raws])) < threshold
+
+        return accepts
+
+    return rows_kept(documents, text_col, judge)
