@@ -12,6 +12,7 @@ every piece by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,30 +28,59 @@ CACHE_WORDS = 400_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+# The tokenizer's own cut of a word into pieces, and the words for which Python's agrees with it
+# (printable ASCII and Latin-1: nothing that normalisation would compose).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
+WORD_END = "</w>"
+
+
 class WordEncoder:
     """Ids of a text, word by word: this tokenizer never joins across ASCII white space.
 
-    Encoded words are kept as little-endian ids; the store is emptied when it is full.
+    New words are cut into pieces, new pieces encoded in one go (each ends with a word-end token,
+    so the ids can be told apart).  Ids of words and pieces are kept; a store is emptied when full.
     """
 
     def __init__(self, path: str):
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.cut = regex.compile(PIECE).findall
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+
+    def _encoded(self, pieces: list[str]) -> None:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        raw, ends = ids.tobytes(), 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        self.pieces.update((p, raw[a:b]) for p, a, b in zip(pieces, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+        for store in (self.known, self.pieces):
+            if len(store) > CACHE_WORDS:
+                store.clear()
+        plain, other = [], []
+        for raw in set().union(*texts).difference(self.known):
+            word = raw.decode("utf-8", "replace")
+            if PLAIN(word):
+                plain.append((raw, self.cut(word.lower())))
+            else:
+                other.append((raw, word))
+        new = list({p for _, cut in plain for p in cut if p not in self.pieces})
+        for i in range(0, len(new), 8192):
+            self._encoded(new[i : i + 8192])
+        get = self.pieces.__getitem__
+        self.known.update((raw, get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut))) for raw, cut in plain)
+        coded = self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)
+        self.known.update((raw, np.asarray(e.ids, "<u4").tobytes()) for (raw, _), e in zip(other, coded, strict=True))
 
     def ids(self, text: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, text))
