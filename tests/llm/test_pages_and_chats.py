@@ -21,6 +21,7 @@ from tidemark.llm import chat_format, html_extract, queries, url_filter
         ("<main><p>kept<div hidden>no</div><p style='display:none'>no<p>too</main>", "kept too"),
         ("<article><p>cut off &am", "cut off &am"),
         ("<script>only()</script>", ""),
+        ("<main><article><p>" + "story " * 40 + "</article><div><p>more from us</div></main>", ("story " * 40).strip()),
     ],
 )
 def test_main_text(html, want):

@@ -140,6 +140,12 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
+    def under(self, c: int, outer: int) -> bool:
+        """Whether container ``c`` is ``outer`` or lies in it."""
+        while c > outer:  # a container's number is above its parent's
+            c = self.parents[c]
+        return c == outer
+
     def close(self) -> None:
         super().close()
         self._end_line()
@@ -185,17 +191,14 @@ def main_text(html: str, *, sigma: float = 1.0, share: float = 0.8) -> str:
     articles = [c for c, a in enumerate(page.articles) if a and within[c] > 0]
     if articles:
         chosen = max(articles, key=lambda c: (within[c], -c))
+        while inner := [c for c in articles if c != chosen and page.under(c, chosen) and within[c] >= share * within[chosen]]:
+            chosen = inner[0]
     else:
         chosen = 0
         while inner := [c for c, p in enumerate(page.parents) if p == chosen and within[c] >= share * within[0] and within[c] > 0]:
             chosen = inner[0]
 
-    def inside(c: int) -> bool:
-        while c >= 0 and c != chosen:
-            c = page.parents[c]
-        return c == chosen
-
-    return " ".join(t for t, _, c in page.lines if inside(c))
+    return " ".join(t for t, _, c in page.lines if page.under(c, chosen))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
