@@ -24,7 +24,7 @@ from pyspark.sql import Window
 
 from .common import raw_text, task_id, words, written
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -33,13 +33,15 @@ _encoders: dict[str, "WordEncoder"] = {}
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
 WORD_END = "</w>"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """Ids of a text, word by word: this tokenizer never joins across ASCII white space.
 
     New words are cut into pieces, new pieces encoded in one go (each ends with a word-end token,
-    so the ids can be told apart).  Ids of words and pieces are kept; a store is emptied when full.
+    so the ids can be told apart).  Ids of words and pieces are kept in two generations: a full
+    store becomes the old one, and what is met again moves back, so frequent words stay known.
     """
 
     def __init__(self, path: str):
@@ -55,6 +57,8 @@ class WordEncoder:
         self.cut = regex.compile(PIECE).findall
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
 
@@ -64,17 +68,31 @@ class WordEncoder:
         self.pieces.update((p, raw[a:b]) for p, a, b in zip(pieces, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        for store in (self.known, self.pieces):
-            if len(store) > CACHE_WORDS:
-                store.clear()
-        plain, other = [], []
-        for raw in set().union(*texts).difference(self.known):
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces, self.old_pieces = {}, self.pieces
+        missing = set().union(*texts).difference(self.known)
+        again = missing & self.old.keys()
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        plain, other, cuts = [], [], set()
+        for raw in missing - again:
             word = raw.decode("utf-8", "replace")
             if PLAIN(word):
-                plain.append((raw, self.cut(word.lower())))
+                word = word.lower()
+                core = word.rstrip(MARKS)
+                if core.isalpha():  # the usual word: letters, then marks or nothing
+                    cut = (core, word[len(core) :]) if len(core) < len(word) else (core,)
+                else:
+                    cut = self.cut(word)
+                cuts.update(cut)
+                plain.append((raw, cut))
             else:
                 other.append((raw, word))
-        new = list({p for _, cut in plain for p in cut if p not in self.pieces})
+        new = cuts.difference(self.pieces)
+        again = new & self.old_pieces.keys()
+        self.pieces.update(zip(again, map(self.old_pieces.__getitem__, again), strict=True))
+        new = list(new - again)
         for i in range(0, len(new), 8192):
             self._encoded(new[i : i + 8192])
         get = self.pieces.__getitem__
