@@ -188,25 +188,34 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     ``counts``: pieces by length.  Ranks of a row's pieces are consecutive, and so are their bins.
     """
     rooms, open_bins, out, bins = Rooms(capacity), {}, [], 0
+
+    def put_back(first: int, n: int, room: int) -> None:
+        if n and room:
+            open_bins.setdefault(room, []).append((first, n))
+            rooms.set(room, True)
+
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             room = rooms.least(length)
-            if room is None:
-                first, n, room = bins, left, capacity
+            if room is None:  # new bins, as many as the rest could fill
+                room, first, n = capacity, bins, -(-left // (capacity // length))
                 bins += n
             else:
                 first, n = open_bins[room].pop()
-                if n > left:
-                    open_bins[room].append((first + left, n - left))
-                    n = left
                 if not open_bins[room]:
                     rooms.set(room, False)
-            out.append((length, rank, first, capacity - room))
-            rank, left = rank + n, left - n
-            if room > length:
-                open_bins.setdefault(room - length, []).append((first, n))
-                rooms.set(room - length, True)
+            each = room // length  # a bin in use stays the tightest until no more fits
+            full = min(n, left // each)
+            for in_use, bin0, many in ((each, first, full), (left - full * each if full < n else 0, first + full, 1)):
+                if in_use and many:
+                    for k in range(in_use):
+                        out.append((length, rank, bin0, capacity - room + k * length))
+                        rank += many
+                    left -= in_use * many
+                    put_back(bin0, many, room - in_use * length)
+                    first, n = bin0 + many, n - many
+            put_back(first, n, room)
     return np.asarray(sorted(out), np.int64).reshape(-1, 4)
 
 
