@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import raw_text, task_id, words, written
+from .common import held, raw_text, task_id, words, written
 
 CACHE_WORDS = 500_000
-_encoders: dict[str, "WordEncoder"] = {}
 
 
 # The tokenizer's own cut of a word into pieces, and the words for which Python's agrees with it
@@ -105,9 +104,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:

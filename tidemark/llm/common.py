@@ -70,6 +70,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(kind: str, make: Callable[[], object]) -> object:
+    """A store that a Python worker keeps from task to task; it gives up any other kind it holds."""
+    if kind not in _held:
+        _held.clear()
+        _held[kind] = make()
+    return _held[kind]
+
+
+def release() -> None:
+    """Give up what an earlier operator's tasks left in this worker."""
+    _held.clear()
+
+
 def task_id() -> int:
     """The partition of the running task; the same again when a task is retried."""
     return TaskContext.get().partitionId()

@@ -17,24 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lower_words, raw_text, rows_kept
+from .common import held, lower_words, raw_text, rows_kept
 
 MASKS = ("111010010100110111", "11101101011", "110110111")
 MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
 FILTER_BITS = 20
 CACHE_WORDS = 300_000
-_hashes: dict[bytes, int] = {}
 
 
 def token_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
     """64-bit hash of every token; the hashes of words are kept, the store is emptied when full."""
     import xxhash
 
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    for w in set().union(*texts).difference(_hashes) if texts else ():
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    return [np.fromiter(map(_hashes.__getitem__, t), np.uint64, len(t)) for t in texts]
+    known = held("hashes", dict)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    for w in set().union(*texts).difference(known) if texts else ():
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return [np.fromiter(map(known.__getitem__, t), np.uint64, len(t)) for t in texts]
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:

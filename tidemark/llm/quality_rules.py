@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, rows_kept, words
+from .common import raw_text, release, rows_kept, words
 
 LANGUAGES = ("en", "de", "fr", "es")
 
@@ -123,6 +123,7 @@ def references(documents: DataFrame, *, languages: tuple[str, ...] = LANGUAGES,
     bins = CONTINUED + WORD_BINS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros((len(languages), bins, LEVELS + 1), np.int64)
         at, cells = {name: k for k, name in enumerate(languages)}, np.arange(bins)
         for batch in batches:
@@ -205,6 +206,7 @@ def accepted(documents: DataFrame, *, max_chars: float = 0.185, max_words: float
     refs = references(documents, text_col=text_col, lang_col=lang_col, min_words=min_words)
 
     def judge():
+        release()
         own = Judge(refs, max_chars, max_words, min_chars, min_words)
 
         def accepts(raws: list[bytes]) -> np.ndarray:

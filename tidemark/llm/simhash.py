@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_words, raw_text, written
+from .common import lower_words, raw_text, release, written
 
 BITS = 64
 
@@ -270,6 +270,7 @@ def representatives(documents: DataFrame, *, radius: int = 2, width: int = 3, se
     schema = T.StructType([*documents.schema.fields, T.StructField(own, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fp = np.fromiter((fingerprint(lower_words(t.as_py()), width, seed) for t in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])

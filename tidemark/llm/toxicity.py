@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, lower_words, raw_text, rows_kept
+from .common import bucket_of, lower_words, raw_text, release, rows_kept
 from .labelled import labelled_sample
 
 GRAM = 5
@@ -209,6 +209,8 @@ def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.
     """The rows of ``documents`` that score below ``threshold``, with all their columns."""
 
     def judge():
+        release()
+
         def accepts(raws: list[bytes]) -> np.ndarray:
             if model is None or not raws:
                 return np.ones(len(raws), bool)
