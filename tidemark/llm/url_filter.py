@@ -100,5 +100,5 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """``[("block", "example.com/en/"), ...]`` as a rule table; a rule's path begins at its first slash."""
-    rows = [F.struct(F.lit(r.partition("/")[0]).alias("rule_host"), F.lit("/" + r.partition("/")[2] if "/" in r else "").alias("rule_path"), F.lit(a).alias("action")) for a, r in rules]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [F.struct(F.lit(r.partition("/")[0]).alias("rule_host"), F.lit("/" + r.partition("/")[2] if "/" in r else "").alias("rule_path"), F.lit(a).alias("action")) for a, r in rules or [("", "")]]
+    return spark.range(1).select(F.inline(F.array(*rows))).where(F.lit(bool(rules)))
