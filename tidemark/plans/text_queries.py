@@ -169,6 +169,25 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return planted(spark, sf).groupBy((F.col("doc_id") % 6).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(T.holds_secret(F.col("text"))).alias("with_secret"))
 
 
+WHOLE_PLANTED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || ' hf_' || sha256(text) WHEN 1 THEN 'token=' || sha256(text) || ' ' || text WHEN 2 THEN 'Authorization: Bearer ' || sha256(text) || ' ' || text ELSE text END AS text FROM documents)"
+
+
+def planted_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``planted``, with the credential beside the whole text: a text's own secrets stay to be found."""
+    h, k = F.sha2("text", 256), F.col("doc_id") % 6
+    return docs(spark, sf).select("doc_id", F.when(k == 0, F.concat("text", F.lit(" hf_"), h)).when(k == 1, F.concat(F.lit("token="), h, F.lit(" "), "text")).when(k == 2, F.concat(F.lit("Authorization: Bearer "), h, F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
+
+
+@query("secret_redact_whole", f"SELECT doc_id, sha256({_nested('text')}) AS redacted_sha256 FROM {WHOLE_PLANTED}")
+def secret_redact_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return planted_whole(spark, sf).select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query("secret_scan_whole", f"SELECT doc_id % 6 AS kind, count(*) AS documents, CAST(count(*) FILTER ({' OR '.join(f'regexp_matches(text, {s})' for s in SEC)}) AS BIGINT) AS with_secret FROM {WHOLE_PLANTED} GROUP BY 1")
+def secret_scan_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return planted_whole(spark, sf).groupBy((F.col("doc_id") % 6).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(T.holds_secret(F.col("text"))).alias("with_secret"))
+
+
 @query("credential_names", r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)')")
 def credential_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where(F.col("url").rlike(r"(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)")).select("page_id", "url")
