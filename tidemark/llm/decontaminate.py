@@ -5,11 +5,18 @@ seeds meet on equal hashes; a hit fixes a diagonal (document position - item pos
 which the whole item is compared token by token.  Substituted tokens fall on ignored positions
 of one mask or another, so a passage with some of its words replaced is still hit, and the
 comparison decides.
+
+The masks miss no overlap.  A stretch of 13 tokens or more with 75 % equal holds one of 13 to 25
+tokens with 75 % equal, and in each of those, wherever the substitutions lie, one of ``MASKS``
+fits: the tests enumerate all placements.  Shorter items, and other limits, get a seed as long as
+the run of equal tokens that must then exist.  Such light seeds also meet by chance; only hits with
+enough equal tokens near them are compared along their diagonal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import held, lower_words, raw_text, rows_kept
 
-MASKS = ("111010010100110111", "11101101011", "110110111")
+MASKS = ("111011", "110111", "11111", "101111", "111101", "11001011")
+HITS_AT_ONCE = 1 << 14
 MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
 FILTER_BITS = 20
 CACHE_WORDS = 300_000
@@ -37,33 +45,64 @@ def token_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
     return [np.fromiter(map(known.__getitem__, t), np.uint64, len(t)) for t in texts]
 
 
-def seeds(h: np.ndarray, mask: str) -> np.ndarray:
-    """The seed at every position of a token-hash array."""
-    n = len(h) - len(mask) + 1
-    if n <= 0:
+def mixed(h: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each place in a mask, what a token there adds to a seed; all masks share these."""
+    return [(h[j:] ^ MIX[j]) * MIX[31 - j] for j in range(min(span, len(h)))]
+
+
+def seeds(parts: list[np.ndarray], mask: str) -> np.ndarray:
+    """The seed at every position of a token-hash array, of which ``parts`` are the mixed hashes."""
+    if len(mask) > len(parts):
         return np.empty(0, np.uint64)
+    n = len(parts[len(mask) - 1])
     out = np.zeros(n, np.uint64)
     for j, keep in enumerate(mask):
         if keep == "1":
-            out += (h[j : j + n] ^ MIX[j]) * MIX[31 - j]
+            out += parts[j][:n]
     return out ^ (out >> np.uint64(29))
 
 
+def sure_run(sizes: Iterable[int], share: float) -> int:
+    """The equal tokens in a row that every stretch of these sizes has, if ``share`` of it is equal."""
+    runs = []
+    for n in sizes:
+        equal = math.ceil(share * n - 1e-9)
+        runs.append(-(-equal // (n - equal + 1)))
+    return max(1, min(runs))
+
+
+def masks_of(size: int, masks: tuple[str, ...] | None, least: int, share: float) -> tuple[str, ...]:
+    """Masks of which one fits every overlap with an item of ``size`` tokens."""
+    if masks is not None:
+        return masks
+    if min(size, least) >= 12 and share >= 0.75:
+        return MASKS
+    # an overlap is the whole of a short item; a longer one holds one of fewer than twice ``least`` tokens
+    return ("1" * sure_run([size] if size < least else range(least, 2 * least), share),)
+
+
 class Bank:
     """The seeds of a block of benchmark items, sorted for look-up."""
 
-    def __init__(self, items: list[tuple[object, bytes]], masks: tuple[str, ...]):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[object, bytes]], masks: tuple[str, ...] | None, least: int, share: float):
+        self.ids, self.least, self.share = [i for i, _ in items], least, share
         self.tokens = token_hashes([lower_words(t) for _, t in items])
-        shortest = min(map(len, masks))
-        self.masks = []
-        for mask in masks:
-            parts = [(s, np.full(len(s), k), np.arange(len(s))) for k, t in enumerate(self.tokens) if len(s := seeds(t, mask))]
-            self.masks.append((mask, *self._sorted(parts)))
-        # items shorter than any mask: one seed over all their tokens
-        for n in sorted({len(t) for t in self.tokens if 0 < len(t) < shortest}):
-            parts = [(seeds(t, "1" * n), np.array([k]), np.array([0])) for k, t in enumerate(self.tokens) if len(t) == n]
-            self.masks.append(("1" * n, *self._sorted(parts)))
+        sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.enough = np.ceil(share * np.minimum(sizes, least) - 1e-9).astype(np.int64)
+        # all items in a row, each followed by a gap as wide as a hit's surroundings
+        self.reach = 2 * least - 1
+        self.starts = self.reach + np.cumsum(sizes + self.reach) - sizes - self.reach
+        self.flat = np.zeros(int((sizes + self.reach).sum()) + self.reach, np.uint64)
+        self.real = np.zeros(len(self.flat), bool)
+        for at, t in zip(self.starts, self.tokens, strict=True):
+            self.flat[at : at + len(t)], self.real[at : at + len(t)] = t, True
+        of_mask: dict[str, list] = {}
+        for k, t in enumerate(self.tokens):
+            for mask in masks_of(len(t), masks, least, share) if len(t) else ():
+                if len(s := seeds(mixed(t, len(mask)), mask)):
+                    of_mask.setdefault(mask, []).append((s, np.full(len(s), k), np.arange(len(s))))
+        self.masks = [(mask, *self._sorted(parts)) for mask, parts in of_mask.items()]
+        self.span = max(map(len, of_mask), default=0)
 
     @staticmethod
     def _sorted(parts: list) -> tuple:
@@ -73,28 +112,53 @@ class Bank:
         quick[(s & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         return s[order], k[order], p[order], quick
 
-    def matches(self, doc: np.ndarray, least: int, share: float) -> list[tuple[int, int, int, int]]:
+    def matches(self, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, first position, aligned tokens, equal tokens) of each verified overlap; the best of an item."""
-        tried, best = set(), {}
+        near, best, parts = set(), {}, mixed(doc, self.span)
+        waiting, count = [], 0
         for mask, s, k, p, quick in self.masks:
-            if not len(s):
-                continue
-            d = seeds(doc, mask)
+            d = seeds(parts, mask)
             at = np.flatnonzero(quick[(d & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(s, d[at], "left"), np.searchsorted(s, d[at], "right")
-            for i in np.flatnonzero(hi > lo):
-                for j in range(lo[i], hi[i]):
-                    item, diagonal = int(k[j]), int(at[i]) - int(p[j])
-                    if (item, diagonal) in tried:
-                        continue
-                    tried.add((item, diagonal))
-                    found = overlap(doc, self.tokens[item], diagonal, int(p[j]), least, share)
-                    if found and found[2] > best.get(item, (0, 0, 0))[2]:
-                        best[item] = found
+            met = hi > lo
+            at, lo, hits = at[met], lo[met], (hi - lo)[met]
+            done, ends = 0, np.cumsum(hits)
+            while done < len(at):  # some hits at a time: a phrase of both texts may meet very often
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS_AT_ONCE, "right")))
+                n = hits[done:upto]
+                which = np.repeat(lo[done:upto] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                here = np.repeat(at[done:upto], n)
+                waiting.append(np.stack([k[which], here - p[which], here]))
+                count, done = count + len(which), upto
+                if count > HITS_AT_ONCE:
+                    near |= self._close(doc, waiting)
+                    waiting, count = [], 0
+        if waiting:
+            near |= self._close(doc, waiting)
+        for item, diagonal in sorted(near):
+            found = overlap(doc, self.tokens[item], diagonal, self.least, self.share)
+            if found and found[2] > best.get(item, (0, 0, 0))[2]:
+                best[item] = found
         return [(item, *x) for item, x in best.items()]
 
+    def _close(self, doc: np.ndarray, hits: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(item, diagonal) of the hits with as many equal tokens around them as the shortest overlap has.
+
+        An overlap of under twice ``least`` tokens that holds a hit lies within ``reach`` of it.
+        """
+        near, around = set(), np.arange(-self.reach, self.reach + self.span)
+        hits = np.concatenate(hits, axis=1)
+        for i in range(0, hits.shape[1], HITS_AT_ONCE):
+            item, diagonal, at = hits[:, i : i + HITS_AT_ONCE]
+            a = at[:, None] + around
+            b = np.clip(a + (self.starts[item] - diagonal)[:, None], 0, len(self.flat) - 1)
+            same = (doc[np.clip(a, 0, len(doc) - 1)] == self.flat[b]) & self.real[b] & (a >= 0) & (a < len(doc))
+            close = same.sum(1) >= self.enough[item]
+            near.update(zip(item[close].tolist(), diagonal[close].tolist(), strict=True))
+        return near
+
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, near: int, least: int, share: float) -> tuple[int, int, int] | None:
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: float) -> tuple[int, int, int] | None:
     """The longest stretch of the diagonal with at least ``share`` equal tokens, if it is long enough.
 
     Long enough: ``least`` tokens, or the whole item where that is shorter.
@@ -113,12 +177,13 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, near: int, least:
     return a + diagonal + i, n, int(same[i:j].sum())
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] | None = None, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
     """A row per document and benchmark item that it overlaps: ids, ``position``, ``n_tokens``, ``n_equal``.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.  An overlap is an aligned
     stretch of ``least`` tokens (the whole item if shorter) of which ``share`` are equal; an item is
-    reported once per document, with its longest stretch.  Every position of every text is searched.
+    reported once per document, with its longest stretch.  Every position of every text is searched,
+    and ``masks`` None, the default, misses no overlap.
     The benchmark goes to the executors in blocks of ``block_items`` items, each searched
     against all documents, so no broadcast grows with it.  Null and empty texts and items overlap
     nothing; repeated documents each have their rows; other columns are not read; empty tables give
@@ -130,12 +195,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
     def search(items: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bank = Bank(items, masks)
+            bank = Bank(items, masks, least, share)
             for batch in batches:
                 rows, out = [], []
                 for i, raw in enumerate(batch.column(1)):
                     (doc,) = token_hashes([lower_words(raw.as_py())])
-                    for m in bank.matches(doc, least, share):
+                    for m in bank.matches(doc):
                         rows.append(i), out.append(m)
                 x = np.asarray(out, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
@@ -165,13 +230,13 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, size: i
         yield block
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] | None = None, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
     """The rows of ``documents`` that ``contaminated`` has no row for, with all their columns."""
     for items in item_blocks(benchmark, item_col, item_text_col, block_items):
 
         def judge(items: list = items):
-            bank = Bank(items, masks)
-            return lambda raws: np.array([not bank.matches(token_hashes([lower_words(raw)])[0], least, share) for raw in raws], bool)
+            bank = Bank(items, masks, least, share)
+            return lambda raws: np.array([not bank.matches(token_hashes([lower_words(raw)])[0]) for raw in raws], bool)
 
         documents = rows_kept(documents, text_col, judge)
     return documents
