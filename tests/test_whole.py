@@ -32,3 +32,11 @@ def test_secrets_are_sought_in_whole_texts(spark, agreed, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in planted_whole(spark, str(tmp_path)).collect()}
     assert all(secret in t and t.count("word") == 100 for t in texts.values())
     assert {r["kind"]: r["with_secret"] for r in plans.QUERIES["secret_scan_whole"](spark, str(tmp_path)).collect()} == dict.fromkeys(range(6), 1)
+
+
+def test_every_supplier_has_a_class(spark, agreed, tmp_path):
+    assert len(agreed("comparison_class_whole")) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    s = spark.createDataFrame([(k, 1, "same" if k in (5000, 1) else f"n{k}") for k in (1, 2, 150, 999, 1000, 5000)], "s_suppkey long, s_nationkey int, s_name string")
+    s.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["id"]: r["class"] for r in plans.QUERIES["comparison_class_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "run-to-run floor", 2: "run-to-run floor", 150: "reproduction", 999: "reproduction", 1000: "run-to-run floor", 5000: "reproduction"}
