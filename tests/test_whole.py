@@ -40,3 +40,21 @@ def test_every_supplier_has_a_class(spark, agreed, tmp_path):
     s.write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r["id"]: r["class"] for r in plans.QUERIES["comparison_class_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "run-to-run floor", 2: "run-to-run floor", 150: "reproduction", 999: "reproduction", 1000: "run-to-run floor", 5000: "reproduction"}
+
+
+def test_every_row_is_replayed_and_audited(spark, agreed):
+    n = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
+    rows = plans.QUERIES["hidden_replay_whole"](spark, "/root/testdata/sf0.01")
+    assert n > 100 and rows.count() == 32 * n
+    agreed("hidden_replay_whole"), agreed("placement_audit_whole")
+
+
+def test_a_misplaced_row_past_the_first_hundred_is_audited(spark):
+    from tidemark.operators import scoring
+
+    unit = [[float(i == k) for i in range(600)] for k in range(600)]
+    moved = [*unit[:300], *unit[301:], unit[300]]
+    d = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(zip(unit, moved, strict=True))], "vec_id long, teacher array<double>, candidate array<double>")
+    assert scoring.placement_audit(d, rows=100, shifts=(1, 8, 64)).first()["passed"]
+    r = scoring.placement_audit(d, rows=None, shifts=(1, 8, 64, 512)).first()
+    assert not r["passed"] and r["aligned"] == 1.0

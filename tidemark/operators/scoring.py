@@ -62,9 +62,9 @@ def local_experts(experts: Column, *, rank: int, per_rank: int) -> Column:
     return F.transform(experts, lambda e: F.when(F.floor(e / per_rank) == rank, F.pmod(e, F.lit(per_rank))).otherwise(F.lit(-1)).cast("long"))
 
 
-def placement_audit(d: DataFrame, *, rows: int, shifts: tuple[int, ...]) -> DataFrame:
-    """Candidate rows against the teacher's own rows and against shifted ones, by relative L2 distance."""
-    cand = d.where(F.col("vec_id") < rows).select(F.explode(F.array(*map(F.lit, (0, *shifts)))).alias("shift"), F.col("vec_id").alias("row"), "candidate").withColumn("at", F.col("row") + F.col("shift"))
+def placement_audit(d: DataFrame, *, rows: int | None, shifts: tuple[int, ...]) -> DataFrame:
+    """Candidate rows (the first ``rows``; None: all) against the teacher's own rows and against shifted ones, by relative L2 distance."""
+    cand = (d if rows is None else d.where(F.col("vec_id") < rows)).select(F.explode(F.array(*map(F.lit, (0, *shifts)))).alias("shift"), F.col("vec_id").alias("row"), "candidate").withColumn("at", F.col("row") + F.col("shift"))
     j = cand.join(d.select(F.col("vec_id").alias("at"), "teacher"), "at")
     rel = F.sqrt(F.sum(V.total(F.zip_with("candidate", "teacher", lambda a, b: (a - b) * (a - b))))) / F.sqrt(F.sum(V.total(F.transform("teacher", lambda x: x * x))))
     r = j.groupBy("shift").agg(rel.alias("rel"))
