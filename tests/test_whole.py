@@ -58,3 +58,8 @@ def test_a_misplaced_row_past_the_first_hundred_is_audited(spark):
     assert scoring.placement_audit(d, rows=100, shifts=(1, 8, 64)).first()["passed"]
     r = scoring.placement_audit(d, rows=None, shifts=(1, 8, 64, 512)).first()
     assert not r["passed"] and r["aligned"] == 1.0
+
+
+def test_a_walk_starts_from_every_part(spark, agreed):
+    starts = {r["start"] for r in agreed("lineage_walk_whole")}
+    assert len(starts) == spark.read.parquet(f"{SF}/part.parquet").count()

@@ -207,6 +207,15 @@ def lineage_walk(spark: SparkSession, sf: str) -> DataFrame:
     return R.lineage(e, p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("start")), 5)
 
 
+@query("lineage_walk_whole", f"WITH RECURSIVE {EDGES}, w(start, hop, node, path) AS (SELECT p_partkey, 0, p_partkey, [p_partkey] FROM part UNION ALL SELECT start, hop + 1, parent, list_append(path, parent) FROM w JOIN e ON e.child = w.node WHERE hop < 5 AND NOT list_contains(path, parent)) SELECT start, hop, node FROM w")
+def lineage_walk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """A walk from every part."""
+    p = table(spark, sf, "part")
+    e = p.where("p_partkey >= 3").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    e = e.unionByName(spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long"))
+    return R.lineage(e, p.select(F.col("p_partkey").alias("start")), 5)
+
+
 @query("panel_pick", f"WITH {M}, p AS (SELECT key, lane, count(*) AS n, avg(value) AS v, bool_or(artifact = 'BUILDING') AS floor_bearing FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY floor_bearing DESC, n DESC, lane) AS rn FROM p) SELECT key, lane, n, rn = 1 AS chosen FROM r")
 def panel_pick(spark: SparkSession, sf: str) -> DataFrame:
     p = measurements(spark, sf).groupBy("key", "lane").agg(F.count("*").alias("n"), F.bool_or(F.col("artifact") == "BUILDING").alias("fb"))
