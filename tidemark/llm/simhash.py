@@ -11,6 +11,8 @@ A partition value that more than ``crowd`` different fingerprints share is not c
 by pair.  There each fingerprint is probed by all the 64-bit values within ceil(radius / 2) bits:
 two fingerprints within ``radius`` meet at some such value, and those that meet are within
 2 * ceil(radius / 2), so a star per value links exactly the right ones without all pairs.
+That is the radius if it is even.  If it is odd, the star's centre is a member within radius // 2
+of the value: two fingerprints within ``radius`` also meet where one of them is that close.
 The work is linear in the fingerprints however many of them crowd together.
 """
 
@@ -199,8 +201,10 @@ def links(distinct: DataFrame, parts: list[tuple[list[int], int]], radius: int,
         two = stars.where("n = 2").select("a", F.col("z").alias("b"))
         more = met.join(stars.where("n > 2").select("at", "a"), "at").where("fp <> a").select("a", F.col("fp").alias("b"))
         return out.union(two).union(more)
-    joined = met.join(stars.select("at", "a"), "at").where((F.col("fp") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= radius))
-    return out.union(joined.select("a", F.col("fp").alias("b")))
+    # odd: a value's members within radius // 2 are within radius of all its members, others maybe not of each other
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("at"))) <= radius // 2
+    centres = met.groupBy("at").agg(F.min(F.when(close, F.col("fp"))).alias("a")).where("a IS NOT NULL")
+    return out.union(met.join(centres, "at").where("fp <> a").select("a", F.col("fp").alias("b")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
