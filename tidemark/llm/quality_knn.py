@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed byte pairs, and levels of repetition.  A truncated singular value decomposition of
+Terms are hashed byte pairs; an extension of the plain method is a term for each level of repetition.  A truncated singular value decomposition of
 a bounded sample's term weights gives the space; the sample's vectors and labels are broadcast, and
 every document's cosine with every one of them is computed in blocks.  The nearest vote, weighted
 by similarity.
@@ -50,13 +50,18 @@ class Space:
         v = (x * self.weight) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
+    def nearest(self, cosine: np.ndarray) -> np.ndarray:
+        """Which of the labelled texts are a row's neighbours: the first of those as near as the last to enter."""
+        k = min(self.neighbours, cosine.shape[1])
+        edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        inside, tied = cosine > edge, cosine == edge
+        return inside | tied & (np.cumsum(tied, axis=1) <= k - inside.sum(axis=1, keepdims=True))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         cosine = self.embed(x) @ self.vectors.T
-        k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** 4
+        vote = np.where(self.nearest(cosine), np.maximum(cosine, 0.0) ** 4, 0.0).astype(np.float64)
         total = vote.sum(axis=1)
-        return np.where(total > 0, (vote * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-30), self.prior)
+        return np.where(total > 0, vote @ self.labels / np.maximum(total, 1e-30), self.prior)
 
 
 def fit(sample: list[tuple[bytes, int]], totals: dict[int, int], *, dimensions: int = 48, neighbours: int = 15) -> Space | None:
@@ -77,7 +82,11 @@ def fit(sample: list[tuple[bytes, int]], totals: dict[int, int], *, dimensions:
 
 
 def learn(documents: DataFrame, labels: DataFrame, learn: Column, *, sample: int = 2400, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Space | None:
-    """The space from at most ``sample`` labelled texts, half of each label as far as there are."""
+    """The space from at most ``sample`` labelled texts of up to ``max_bytes`` bytes, half of each label.
+
+    ``learn`` is a condition on ``id``.  See ``labelled_sample`` for repeated and conflicting rows.  None,
+    whose scores are all 0, without such texts, as in empty tables.
+    """
     rows, totals = labelled_sample(documents, labels, label_col, learn, per_class={0: sample // 2, 1: sample // 2}, max_bytes=max_bytes, id_col=id_col, text_col=text_col)
     return fit(rows, totals)
 

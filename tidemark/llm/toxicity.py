@@ -1,18 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  A text is cut into
-windows of whole words; a window that the toxic dictionary compresses better than the ordinary one is
-evidence.  The dictionaries share their prose, so the difference is what toxic passages add:
-byte strings that many toxic and hardly any ordinary texts contain.  A text's windows are summed up
-in a few figures, and a logistic curve fitted on texts that the dictionaries haven't seen turns
-these into a calibrated probability.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.  A text is cut into
+windows of whole words; what the toxic dictionary saves over the ordinary one in a window is its gain.
+Of toxic texts the trainer gets the windows that set them apart (a test of their byte strings'
+frequencies chooses them), for most of a toxic text is ordinary prose.  So that windows are not told apart by
+which chance prose either dictionary happens to hold, the toxic one goes on with the ordinary one's.
+
+A text is judged by its windows' gains above two thresholds, against its number of windows.  What they have
+to reach is calibrated on texts that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import bucket_of, lower_words, raw_text, release, rows_kept
 from .labelled import labelled_sample
 
 GRAM = 5
+COUNTERS = 22  # bits: strings are counted by hash, so the counts' memory is fixed
+THRESHOLDS = (0, 2)  # bytes of gain from which on a window counts
 _coders: dict[tuple[bytes, bytes], tuple] = {}
 
 
@@ -30,7 +33,7 @@ def _spaced(raw: bytes) -> bytes:
     return b" " + b" ".join(lower_words(raw)) + b" "
 
 
-def grams(text: bytes, n: int = GRAM) -> np.ndarray:
+def grams(text: bytes, n: int) -> np.ndarray:
     """The ``n``-byte strings at every position, as integers."""
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
     if len(b) < n:
@@ -41,6 +44,11 @@ def grams(text: bytes, n: int = GRAM) -> np.ndarray:
     return h
 
 
+def counters(text: bytes) -> np.ndarray:
+    """The counter of the string at every position."""
+    return ((grams(text, GRAM) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
 def distinct_texts(texts: list[bytes]) -> list[bytes]:
     """Without texts that mostly repeat an earlier one: else a family of copies would look like a habit."""
     seen, out = set(), []
@@ -56,47 +64,59 @@ def distinct_texts(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def telling_strings(toxic: list[bytes], ordinary: list[bytes], *, least_texts: int, log_odds: float = 3.0) -> list[bytes]:
-    """Byte strings typical of toxic texts, the most frequent first."""
+def apart(toxic: list[bytes], ordinary: list[bytes], *, least_texts: int = 3, log_odds: float = 1.5, evidence: float = 16.0) -> np.ndarray:
+    """Which counters stand for strings that toxic texts have more often than chance explains.
+
+    A text counts log2(1 + occurrences), so that no single text decides; ``evidence`` is the likelihood
+    ratio statistic of the two frequencies.
+    """
 
     def frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.unique(grams(_spaced(t))) for t in texts]
-        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-    g1, n1 = frequency(toxic)
-    g0, n0 = frequency(ordinary)
-    other = np.zeros(len(g1))
-    if len(g0) and len(g1):
-        at = np.minimum(np.searchsorted(g0, g1), len(g0) - 1)
-        other = np.where(g0[at] == g1, n0[at], 0)
-    odds = np.log((n1 + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(ordinary) + 1))
-    good = (n1 >= least_texts) & (odds > log_odds)
-    g1, n1 = g1[good], n1[good]
-    if not len(g1):
-        return []
-    found: Counter[bytes] = Counter()
+        total, held = np.zeros(1 << COUNTERS, np.float32), np.zeros(1 << COUNTERS, np.int32)
+        for t in texts:
+            at, n = np.unique(counters(_spaced(t)), return_counts=True)
+            total[at] += np.log2(1 + n)
+            held[at] += 1
+        return total, held
+
+    (a, held), (b, _) = frequency(toxic), frequency(ordinary)
+    out = np.zeros(1 << COUNTERS, bool)
+    some = np.flatnonzero(held >= least_texts)
+    a, b = a[some].astype(float), b[some].astype(float)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    term = lambda x, expected: x * np.log(np.maximum(x, 1e-12) / expected)
+    ratio = 2 * (term(a, (a + b) * share) + term(b, (a + b) * (1 - share)))
+    odds = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(ordinary) + 1))
+    out[some[(odds > log_odds) & (ratio >= evidence)]] = True
+    return out
+
+
+def telling_windows(toxic: list[bytes], marked: np.ndarray) -> list[bytes]:
+    """The runs of words of toxic texts in which each word holds, between its spaces, a marked string."""
+    out = []
     for t in toxic:
         text = _spaced(t)
-        h = grams(text)
-        at = np.minimum(np.searchsorted(g1, h), len(g1) - 1) if len(h) else np.empty(0, np.int64)
-        n = np.where(g1[at] == h, n1[at], 0)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], n > 0, [0]])))
-        own = set()
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            core = n[a:b] >= 0.6 * n[a:b].max()  # without the chance context around
-            ends = a + np.flatnonzero(np.diff(np.concatenate([[0], core, [0]])))
-            own.update(text[i : j + GRAM - 1] for i, j in zip(ends[::2], ends[1::2], strict=True))
-        found.update(own)
-    known, out = set(g1.tolist()), []
-    have: set[int] = set()
-    for s, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        new = {x for x in grams(s).tolist() if x in known} - have
-        if n >= least_texts // 2 and new:
-            have |= new
-            out.append(s)
+        hits = np.concatenate([[0], np.cumsum(marked[counters(text)])])
+        space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        first = np.minimum(space[:-1], len(hits) - 1)
+        behind = np.clip(space[1:] + 2 - GRAM, first, len(hits) - 1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hits[behind] > hits[first], [0]])))
+        out += [text[space[i] : space[j] + 1] for i, j in zip(edges[::2], edges[1::2], strict=True)]
     return out
 
 
+def trained(size: int, pieces: list[bytes]) -> bytes:
+    """A dictionary of ``pieces``, trained by zstandard; what too few pieces leave empty holds pieces themselves."""
+    import zstandard as z
+
+    try:
+        out = z.train_dictionary(size, pieces).as_bytes()
+    except z.ZstdError:  # too little to train on
+        out = b""
+    rest = b"".join(dict.fromkeys(pieces))
+    return rest[max(0, len(rest) + len(out) - size) :] + out if len(out) < size else out
+
+
 def windows(raw: bytes, size: int) -> list[bytes]:
     w = lower_words(raw)
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)]
@@ -113,28 +133,34 @@ def coder(content: bytes):
 
 @dataclass(frozen=True)
 class Model:
+    """The dictionaries, and the weights of a text's ``figures``."""
+
     ordinary: bytes
     toxic: bytes
     window: int
-    centre: np.ndarray
-    spread: np.ndarray
     weights: np.ndarray
 
-    def figures(self, raw: bytes) -> list[float]:
-        """What a text's windows say: the largest gain, total gain, windows with gains, and their number."""
+    def gains(self, raw: bytes) -> np.ndarray:
+        """By how many bytes the toxic dictionary compresses each window better; no words: one window, 0."""
         key = (self.ordinary, self.toxic)
         if key not in _coders:
             _coders.clear()
             _coders[key] = coder(self.ordinary), coder(self.toxic)
         plain, toxic = _coders[key]
-        gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows(raw, self.window)] or [0])
-        total, n = max(0, int(gain.sum())), len(gain)
-        a = [np.log1p(max(0, gain.max())), np.log1p(total), np.log1p((gain >= 2).sum()), np.log1p((gain >= 3).sum()), np.log1p((gain >= 5).sum()), np.log1p(n)]
-        return [*a, a[1] * a[5], a[1] ** 2, total / n]
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(raw, self.window)] or [0])
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return probability(figures([self.gains(t) for t in texts]), self.weights)
 
-    def score(self, figures: np.ndarray) -> np.ndarray:
-        x = np.column_stack([(figures - self.centre) / self.spread, np.ones(len(figures))])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+
+def figures(gains: list[np.ndarray]) -> np.ndarray:
+    """Per text: for each threshold the log of all gain above it, the log of the number of windows, one."""
+    above = [[np.maximum(g - t, 0).sum() for t in THRESHOLDS] for g in gains]
+    return np.column_stack([np.log(np.array(above, float).reshape(-1, len(THRESHOLDS)) + 0.5), np.log([len(g) for g in gains]), np.ones(len(gains))])
+
+
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -143,39 +169,42 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     r = np.full(len(w), ridge)
     r[-1] = 1e-6
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = probability(x, w)
         h = (x.T * (weight * p * (1 - p))) @ x + np.diag(r)
         w += np.linalg.solve(h, x.T @ (weight * (y - p)) - r * w)
     return w
 
 
-def fit(sample: list[tuple[bytes, int]], totals: dict[int, int], *, window: int = 12, prose_bytes: int = 8192) -> Model | None:
-    """Dictionaries from one half of the sample, the calibration from the other; None without both labels."""
-    import zstandard as z
+def dictionaries(ordinary: list[bytes], toxic: list[bytes], *, prose_bytes: int, toxic_bytes: int) -> tuple[bytes, bytes]:
+    """The ordinary dictionary and the toxic one."""
+    ordinary, toxic = distinct_texts(ordinary), distinct_texts(toxic)
+    prose = trained(prose_bytes, [w for t in ordinary for w in windows(t, 32)])
+    found = telling_windows(toxic, apart(toxic, ordinary))
+    return prose, (trained(toxic_bytes, found) if found else b"") + prose
+
+
+def fit(sample: list[tuple[bytes, int]], totals: dict[int, int], *, window: int = 12, prose_bytes: int = 8192, toxic_bytes: int = 4096) -> Model | None:
+    """Dictionaries of two thirds of the sample, calibrated on the rest; None with under two texts of a label.
 
-    halves = [[t for k, (t, y) in enumerate(sample) if y == label and k % 2 == half] for label in (0, 1) for half in (0, 1)]
-    ordinary, ordinary2, toxic, toxic2 = halves
-    if not all(halves):
+    For the calibration texts are weighted so that the labels have the shares that ``totals`` gives them.
+    """
+    texts = [[t for t, y in sample if y == label] for label in (0, 1)]
+    if min(map(len, texts)) < 2:
         return None
-    ordinary, toxic = distinct_texts(ordinary), distinct_texts(toxic)
-    pieces = [w for t in ordinary for w in windows(t, 32)]
-    try:
-        prose = z.train_dictionary(prose_bytes, pieces).as_bytes()[-prose_bytes:]
-    except z.ZstdError:  # too little text to train on: the text itself
-        prose = b"".join(pieces)[-prose_bytes:]
-    telling = b"".join(reversed(telling_strings(toxic, ordinary, least_texts=max(2, len(toxic) // 25))))[-prose_bytes:]
-    blank = np.zeros(9)
-    model = Model(prose, telling + prose, window, blank, blank + 1, np.zeros(10))
-    rows = [(t, y) for y, part in ((0, ordinary2), (1, toxic2)) for t in part]
-    x, y = np.array([model.figures(t) for t, _ in rows]), np.array([y for _, y in rows])
-    centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
-    weight = np.where(y == 1, totals[1] / len(toxic2), totals[0] / len(ordinary2))
-    weight = weight * len(y) / weight.sum()
-    weights = logistic(np.column_stack([(x - centre) / spread, np.ones(len(x))]), y, weight)
-    return Model(prose, telling + prose, window, centre, spread, weights)
+    model = Model(*dictionaries(*([t for k, t in enumerate(x) if k % 3] for x in texts), prose_bytes=prose_bytes, toxic_bytes=toxic_bytes), window, np.zeros(0))
+    rest = [x[::3] for x in texts]
+    y = np.repeat([0, 1], [len(x) for x in rest])
+    weight = np.array([totals[label] / len(rest[label]) for label in (0, 1)], float)[y]
+    x = figures([model.gains(t) for part in rest for t in part])
+    return replace(model, weights=logistic(x, y, weight * len(y) / weight.sum()))
 
 
 def learn(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 4000, max_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """The model from at most ``per_class`` labelled texts of each label, of up to ``max_bytes`` bytes.
+
+    ``learn`` is a condition on ``id``.  See ``labelled_sample`` for repeated and conflicting rows.  None,
+    whose scores are all 0, if either label has fewer than two such texts, as in empty tables.
+    """
     sample, totals = labelled_sample(documents, labels, label_col, learn, per_class={0: per_class, 1: per_class}, max_bytes=max_bytes, id_col=id_col, text_col=text_col)
     return fit(sample, totals)
 
@@ -194,7 +223,7 @@ def score(documents: DataFrame, model: Model | None, *, threshold: float = 0.3,
             if model is None or not batch.num_rows:
                 s = np.zeros(batch.num_rows)
             else:
-                s = model.score(np.array([model.figures(raw.as_py()) for raw in batch.column(1)]))
+                s = model.score([raw.as_py() for raw in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return documents.select(F.col(id_col).alias("id"), raw_text(text_col).alias("text")).mapInArrow(run, schema)
@@ -206,7 +235,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that score below ``threshold``, with all their columns."""
+    """The rows of ``documents`` that score below ``threshold``, with all their columns.
+
+    Null ids, repeated rows and columns of any name stay as they are; without a model every row is kept.
+    """
 
     def judge():
         release()
@@ -214,7 +246,7 @@ def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.
         def accepts(raws: list[bytes]) -> np.ndarray:
             if model is None or not raws:
                 return np.ones(len(raws), bool)
-            return model.score(np.array([model.figures(raw) for raw in raws])) < threshold
+            return model.score(raws) < threshold
 
         return accepts
 
