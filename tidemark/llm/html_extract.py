@@ -1,16 +1,22 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events into lines, one per block of text, each with its
-characters, its tags and the containers that it lies in.  The ratio of characters to tags is smoothed
-over neighbouring lines with a Gaussian kernel, and a threshold between two clusters of the smoothed
-ratios marks dense lines.  The content region is the article or main element with the most
-dense text or, where there is none, the innermost container that holds nearly all of it.  What the region's
-markup declares to be something else (menus, adverts, comments and so on) is left out.
+characters, its tags and the element that holds it.  The logarithm of a line's ratio of characters to
+tags is smoothed over neighbouring lines with a Gaussian kernel, and a threshold between two clusters
+of the smoothed values marks dense lines.  Dense lines decide the content region: the innermost element
+that holds nearly all of their text.  Of the region, lines stay that are dense or lie in a dense cluster: directly in
+an element with dense lines or, for what body holds directly, between dense lines.  Sparse lines outside go.
+
+Markup informs in two ways.  What it declares to be something else (menus, adverts, comments and so
+on) is no candidate.  Where the dense text lies in an article or main element, that element is the
+region and the whole of it stays.  All steps take time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +32,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("html body div section article main td center table".split())
 OTHER = frozenset("head title nav header footer aside form script style noscript template svg math iframe object button select option textarea dialog menu canvas audio video datalist".split())
-CLOSED_BY_BLOCKS = frozenset(["p"])
+PAGE = frozenset(["html", "body"])
+LISTS = frozenset("ul ol dl".split())
+HOLDERS = CONTAINERS | LISTS | frozenset("tr th tbody thead tfoot blockquote figure details fieldset address pre".split())
 CLOSED_BY_THEMSELVES = frozenset("li dt dd tr td th option".split())
 OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsors sponsored promo promos promotion promotions"
@@ -61,15 +69,22 @@ def declared_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """``lines``: (text, tags, container); ``parents``, ``articles``: of the containers."""
+    """``lines``: (text, tags, holder, characters in links).  Of the holders, which are numbered as they begin:
+    ``parents``, ``begins`` (their first line), ``regions`` (may be the content region), ``articles``,
+    ``wide`` (the page itself)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.parents, self.articles = [-1], [False]  # container 0 is the page
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container, declared other
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parents, self.begins, self.regions, self.articles, self.wide = [-1], [0], [True], [False], [True]  # holder 0 is the page
+        self.stack: list[tuple[str, int, bool]] = []  # tag, holder, declared other
+        # where in the stack: each tag; blocks; elements that a block does not close from within; OTHER elements
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+        self.others: list[int] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't asked for
@@ -79,41 +94,72 @@ class Lines(HTMLParser):
             return
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
-        if text and not (self.stack and self.stack[-1][2]):
-            self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0))
         if text:
+            _, holder, other = self.stack[-1] if self.stack else ("", 0, False)
+            if not other:
+                self.lines.append((text, self.tags, holder, self.linked))
             self.tags = 0
+        self.linked = 0
+
+    def _open(self, tag: str, holder: int, other: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, holder, other))
+        self.places[tag].append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+        if tag in CONTAINERS or tag in OTHER or tag in LISTS:
+            self.barriers.append(k)
+        if tag in OTHER:
+            self.others.append(k)
+
+    def _close(self, n: int) -> None:
+        """Ends the elements from place ``n`` on."""
+        while len(self.stack) > n:
+            k = len(self.stack) - 1
+            self.places[self.stack.pop()[0]].pop()
+            for marks in (self.blocks, self.barriers, self.others):
+                if marks and marks[-1] == k:
+                    marks.pop()
 
     def _cut(self, n: int) -> None:
         self._end_line()
-        del self.stack[n:]
+        self._close(n)
+
+    def _end_implied(self, tag: str) -> None:
+        """Ends what the beginning of a block ends without saying so."""
+        own = self.places[tag] if tag in CLOSED_BY_THEMSELVES else []
+        if own and self.barriers and own[-1] == self.barriers[-1]:
+            self._cut(own[-1])
+        floor = self.barriers[-1] if self.barriers else -1
+        for places in (self.places["p"], own):
+            if places and places[-1] > floor:
+                self._cut(places[bisect_right(places, floor)])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         inline = tag in INLINE
         if not inline:
             if self.parts:
                 self._end_line()
-            for k in range(len(self.stack) - 1, -1, -1):  # what this element ends without saying so
-                open_tag = self.stack[k][0]
-                if open_tag in CLOSED_BY_BLOCKS or open_tag == tag and tag in CLOSED_BY_THEMSELVES:
-                    self._cut(k)
-                elif open_tag in CONTAINERS or open_tag in OTHER or open_tag in ("ul", "ol", "dl"):
-                    break
+            self._end_implied(tag)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, container, other = self.stack[-1] if self.stack else ("", 0, False)
+        _, holder, other = self.stack[-1] if self.stack else ("", 0, False)
         hidden = other or tag in OTHER or bool(attrs) and declared_other(tag, attrs)
         if hidden and not other and inline:
             self._end_line()
         role = dict(attrs).get("role") if attrs else None
-        if tag in CONTAINERS or role in ARTICLE_ROLES:
-            self.parents.append(container)
-            self.articles.append(tag in ("article", "main") or role in ARTICLE_ROLES)
-            container = len(self.parents) - 1
-        self.stack.append((tag, container, hidden))
+        article = tag in ("article", "main") or role in ARTICLE_ROLES
+        if tag in HOLDERS or article:
+            self.parents.append(holder)
+            self.begins.append(len(self.lines))
+            self.regions.append(tag in CONTAINERS or article)
+            self.articles.append(article)
+            self.wide.append(tag in PAGE)
+            holder = len(self.parents) - 1
+        self._open(tag, holder, hidden)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,56 +167,105 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.parts and tag not in INLINE:
+        inline = tag in INLINE
+        if self.parts and not inline:
             self._end_line()
         self.tags += 1
-        if tag == "p" and not any(t == "p" for t, _, _ in self.stack):
+        if not self.places[tag]:
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            open_tag, _, other = self.stack[k]
-            if open_tag == tag:
-                if tag not in INLINE or other and not (k and self.stack[k - 1][2]):
-                    self._cut(k)
-                else:
-                    del self.stack[k:]
-                return
-            if tag in INLINE and open_tag not in INLINE or open_tag in OTHER and tag not in CONTAINERS | OTHER:
-                return  # a stray end inside another block
+        k = self.places[tag][-1]
+        if inline and self.blocks and self.blocks[-1] > k or tag not in CONTAINERS and tag not in OTHER and self.others and self.others[-1] > k:
+            return  # a stray end inside another block
+        if not inline or self.stack[k][2] and not (k and self.stack[k - 1][2]):
+            self._cut(k)
+        else:
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-
-    def under(self, c: int, outer: int) -> bool:
-        """Whether container ``c`` is ``outer`` or lies in it."""
-        while c > outer:  # a container's number is above its parent's
-            c = self.parents[c]
-        return c == outer
+        if self.places["a"]:
+            self.linked += len(data)
 
     def close(self) -> None:
         super().close()
         self._end_line()
 
 
-def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
+def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; at the page's ends the kernel is cut and renormalised."""
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    here = slice(reach, reach + len(ratio))
-    return np.convolve(ratio, kernel)[here] / np.convolve(np.ones(len(ratio)), kernel)[here]
+    here = slice(reach, reach + len(values))
+    return np.convolve(values, kernel)[here] / np.convolve(np.ones(len(values)), kernel)[here]
+
 
+def dense(values: np.ndarray, *, rounds: int = 20, apart: float = 1.0) -> np.ndarray:
+    """Lines above the threshold between two clusters (midway between their means, by iteration).
 
-def dense(ratio: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Lines above the threshold between two clusters (midway between their means, by iteration)."""
-    low, high = ratio.min(), ratio.max()
+    Clusters whose means are less than ``apart`` from each other are one: every line is dense.
+    """
+    low, high = values.min(), values.max()
     for _ in range(rounds):
-        above = ratio >= (low + high) / 2
+        above = values >= (low + high) / 2
         if above.all() or not above.any():
             break
-        new = ratio[~above].mean(), ratio[above].mean()
+        new = values[~above].mean(), values[above].mean()
         if new == (low, high):
             break
         low, high = new
-    return ratio >= (low + high) / 2
+    return values >= (low + high) / 2 if high - low >= apart else np.ones(len(values), bool)
+
+
+def ratios(page: Lines) -> np.ndarray:
+    """Characters per tag of each line."""
+    return np.array([len(t) / max(n, 1) for t, n, _, _ in page.lines])
+
+
+def content(page: Lines, thick: np.ndarray, share: float) -> np.ndarray:
+    """Which lines are content, given which are dense.
+
+    Holders are numbered as they begin, so sums go up and marks go down in one pass over the numbers.
+    """
+    parents, n = page.parents, len(page.parents)
+    within, first, last = [0] * n, [len(page.lines)] * n, [-1] * n  # dense characters; first, last dense line directly in a holder
+    for i in np.flatnonzero(thick).tolist():
+        text, _, h, _ = page.lines[i]
+        within[h] += len(text)
+        first[h], last[h] = min(first[h], i), i
+    for h in range(n - 1, 0, -1):
+        within[parents[h]] += within[h]
+
+    def innermost(top: int, of: list[bool]) -> int:
+        """The innermost of the holders marked in ``of`` with nearly all that ``top`` has: the last of a chain."""
+        inside, chosen = [False] * n, top
+        inside[top] = True
+        for h in range(top + 1, n):
+            if inside[parents[h]] and within[h] >= share * within[top] and within[h]:
+                inside[h] = True
+                if of[h]:
+                    chosen = h
+        return chosen
+
+    articles = [h for h in range(n) if page.articles[h] and within[h]]
+    chosen = innermost(max(articles, key=lambda h: (within[h], -h)), page.articles) if articles else innermost(0, page.regions)
+    inside, between = [False] * n, [False] * n
+    inside[chosen] = True
+    for h in range(chosen + 1, n):
+        up = parents[h]
+        if up >= 0 and inside[up]:
+            inside[h] = True
+            between[h] = between[up] or first[up] < page.begins[h] <= last[up]
+    if page.articles[chosen]:
+        return np.array([inside[h] for _, _, h, _ in page.lines])
+
+    def stays(i: int, text: str, h: int, linked: int) -> bool:
+        if not inside[h] or thick[i]:
+            return inside[h]
+        if last[h] >= 0 and not page.wide[h]:
+            return True
+        return (between[h] or first[h] < i < last[h]) and 2 * linked < len(text)
+
+    return np.array([stays(i, t, h, linked) for i, (t, _, h, linked) in enumerate(page.lines)])
 
 
 def main_text(html: str, *, sigma: float = 1.0, share: float = 0.8) -> str:
@@ -180,25 +275,8 @@ def main_text(html: str, *, sigma: float = 1.0, share: float = 0.8) -> str:
     page.close()
     if not page.lines:
         return ""
-    size = np.array([len(t) for t, _, _ in page.lines], float)
-    ratio = size / np.maximum([n for _, n, _ in page.lines], 1)
-    mass = size * dense(smoothed(ratio, sigma))
-    within = np.zeros(len(page.parents))
-    for m, (_, _, c) in zip(mass, page.lines, strict=True):
-        while c >= 0:
-            within[c] += m
-            c = page.parents[c]
-    articles = [c for c, a in enumerate(page.articles) if a and within[c] > 0]
-    if articles:
-        chosen = max(articles, key=lambda c: (within[c], -c))
-        while inner := [c for c in articles if c != chosen and page.under(c, chosen) and within[c] >= share * within[chosen]]:
-            chosen = inner[0]
-    else:
-        chosen = 0
-        while inner := [c for c, p in enumerate(page.parents) if p == chosen and within[c] >= share * within[0] and within[c] > 0]:
-            chosen = inner[0]
-
-    return " ".join(t for t, _, c in page.lines if page.under(c, chosen))
+    thick = dense(smoothed(np.log1p(ratios(page)), sigma))
+    return " ".join(t for (t, _, _, _), kept in zip(page.lines, content(page, thick, share), strict=True) if kept)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
