@@ -235,21 +235,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def grouped(docs: DataFrame, radius: int, crowd: int) -> DataFrame:
-    """For each ``fp`` of ``docs`` (``id``, ``fp``): ``least``, the least id of its component (null
-    only if all ids are), and ``keeper``, a fingerprint of the component that has that id."""
-    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
-    distinct = written(docs.groupBy("fp").agg(F.min(first).alias("best")), "distinct")
+def grouped(docs: DataFrame, best: Column, radius: int, crowd: int) -> DataFrame:
+    """For each ``fp`` of ``docs``: ``chosen``, the least ``best`` of its component, and ``n``, its rows."""
+    distinct = written(docs.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n")), "distinct")
     n, both = bit_statistics(distinct)
     parts = allot(n, both, order_bits(n, both), radius)
     edges = written(links(distinct.select("fp"), parts, radius, crowd), "links")
     groups = components(edges).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "best")
     linked = groups.select("fp", "root").join(groups.groupBy("root").agg(F.min("best").alias("chosen")), "root").select("fp", "chosen")
-    final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "best").alias("c"))
-    return written(final.select("fp", F.col("c.id").alias("least"), F.col("c.fp").alias("keeper")), "groups")
+    return written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("chosen", "best").alias("chosen"), "n"), "groups")
 
 
-def near_duplicates(documents: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, crowd: int = 256, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, ``fingerprint`` (16 hex digits), ``component_id``.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` differing
@@ -257,30 +254,43 @@ def near_duplicates(documents: DataFrame, *, radius: int = 2, width: int = 3, se
     ``width`` words hash as one shingle; rows with a null id take part in linking and cannot be a
     smallest id (a component of null ids only has a null id); repeated rows stay.  Other columns are
     not read.  An empty table gives no rows.
+
+    Rows of fingerprints that more than ``frequent`` rows share get theirs by broadcast: there are at
+    most rows / ``frequent`` such fingerprints.  So no task holds all rows of one.
     """
     docs = written(fingerprints(documents, width=width, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
-    groups = grouped(docs, radius, crowd).select("fp", F.col("least").alias("component_id"))
-    return docs.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = grouped(docs, F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")), radius, crowd)
+    groups = groups.select("fp", F.col("chosen.id").alias("component_id"), "n")
+    often = F.broadcast(groups.where(F.col("n") > frequent).drop("n"))
+    named = docs.join(often, "fp").unionByName(docs.join(often.select("fp"), "fp", "left_anti").join(groups.where(F.col("n") <= frequent).drop("n"), "fp"))
+    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(documents: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with the smallest id, with all its columns.
 
-    Links as in ``near_duplicates``.  A row with a null id is kept only where its component has no other;
-    of repeated rows one stays.
+    Links as in ``near_duplicates``.  A row with a null id is kept only where its component has no other.
+    Of several rows with the smallest id, the one with the least fingerprint stays, of these the one whose
+    text has the least hash, and of rows with one text the first as they were read.  An empty table gives no rows.
+
+    Rows are numbered and written once; fingerprints and numbers decide, and texts move at most once, when
+    the chosen numbers are joined back.
     """
-    at, id_at = documents.columns.index(text_col), documents.columns.index(id_col)
-    own = "tidemark_fp"
-    schema = T.StructType([*documents.schema.fields, T.StructField(own, T.LongType())])
+    at = documents.columns.index(text_col)
+    fp, digest, row = (f"tidemark_{x}" for x in ("fp", "digest", "row"))
+    schema = T.StructType([*documents.schema.fields, T.StructField(fp, T.LongType()), T.StructField(digest, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         release()
         for batch in batches:
-            fp = np.fromiter((fingerprint(lower_words(t.as_py()), width, seed) for t in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
-
-    marked = written(documents.mapInArrow(run, schema), "marked")
-    ids = marked.select(F.col(documents.columns[id_at]).alias("id"), F.col(own).alias("fp"))
-    keepers = grouped(ids, radius, crowd).where("fp = keeper").select(F.col("fp").alias("keeper_fp"), F.col("least").alias("keeper_id"))
-    kept = marked.join(keepers, (F.col(own) == F.col("keeper_fp")) & F.col(id_col).eqNullSafe(F.col("keeper_id")))
-    return kept.dropDuplicates([own]).select(*documents.columns)
+            raws = [raw.as_py() or b"" for raw in batch.column(at).cast(pa.binary())]
+            own = (np.fromiter(x, np.uint64, batch.num_rows).view(np.int64) for x in ((fingerprint(lower_words(r), width, seed) for r in raws), map(xxhash.xxh3_64_intdigest, raws)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, own)], names=[*batch.schema.names, fp, digest])
+
+    marked = written(documents.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
+    ids = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(digest).alias("digest"), F.col(row).alias("row"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "digest", "row")
+    kept = grouped(ids, order, radius, crowd).select(F.col("chosen.row").alias(row)).distinct()
+    return marked.join(kept, row, "left_semi").select(*documents.columns)
