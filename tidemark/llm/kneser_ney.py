@@ -7,7 +7,8 @@ Word shards merge that and write theirs.  Nothing but a few totals reaches the d
 
 The model is a folder of sorted hash arrays in the shared folder.  Workers map the files and look up a
 batch's sorted keys by binary search, so memory holds only a batch, and executors on one machine
-share the pages.
+share the pages.  A file's number of entries is part of the model: a file that is absent or short, as on a
+worker that doesn't share the folder, is refused instead of read as empty.
 
     P(w | h) = max(c(h w) - D(c(h w)), 0) / c(h) + gamma(h) * P(w)
     P(w)     = max(N1+(. w) - D'(N1+(. w)), 0) / N1+(. .) + gamma' / (V + 1)
@@ -35,6 +36,7 @@ U = np.uint64
 BEGIN, END = b"\n<s>", b"\n</s>"  # no word holds white space
 SPREAD = 16  # parts over which the successors of one context are spread
 CHUNK_BYTES, MERGE_PAIRS = 4 << 20, 2_500_000
+MAPS = 8192  # files that a worker keeps mapped; a process may have some 65,000 maps
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,8 +52,8 @@ def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _edges(n: int) -> np.ndarray:
-    """The first key of each of ``n`` shards but the first, by the first 16 bits."""
-    return np.array([-(-(k << 16) // n) for k in range(1, n)], U) << U(48)
+    """The first key of each of ``n`` shards but the first."""
+    return np.array([-(-(k << 64) // n) for k in range(1, n)], U)
 
 
 def _slices(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -151,6 +153,7 @@ def _count(shards: int):
 CONTEXT = (U, np.int64, np.uint32, np.uint32, np.uint32)  # word, c(w), successors seen once, twice, more often
 WORD = (U, np.uint32, np.int64)  # word, contexts, occurrences
 STATS = ("n1", "n2", "n3", "n4", "pairs")
+PAIRS, WORDS = (U, np.uint32), (U, *[np.int64] * 6)  # the columns of the two kinds of files
 
 
 def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
@@ -181,10 +184,10 @@ def _merge_pairs(folder: str, word_shards: int):
         rows = []
         for kind, arrays, kinds in ((0, contexts, CONTEXT), (1, words, WORD)):
             for k, a, b in _slices(arrays[0], word_shards):
-                rows.append((k, kind, _packed(*(x[a:b].astype(t) for x, t in zip(arrays, kinds, strict=True))), *(stats if not rows else [0] * 5)))
+                rows.append((k, kind, _packed(*(x[a:b].astype(t) for x, t in zip(arrays, kinds, strict=True))), -1 if rows else shard, *([0] * 5 if rows else stats)))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word_shard", "kind", "part", *STATS])
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word_shard", "kind", "part", "shard", *STATS])
 
     return run
 
@@ -209,7 +212,9 @@ def _merge_words(folder: str):
         _save(folder, f"words-{shard}", keys, count, total, before, one, two, more)
         row = [int((count > 0).sum()), int(count.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum())]
         row += [int(np.sum(group.column(s).to_numpy())) for s in STATS]
-        return pa.table([pa.array([x], pa.int64()) for x in row], names=list(TOTALS))
+        own = group.filter(pc.greater_equal(group.column("shard"), 0))
+        lists = [pa.array([own.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("shard", "pairs")]
+        return pa.table([*(pa.array([x], pa.int64()) for x in (shard, len(keys), *row)), *lists], names=["word_shard", "entries", *TOTALS, "pair_shards", "pair_entries"])
 
     return run
 
@@ -225,9 +230,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
+    """``pairs`` and ``words``: the entries of each shard's file, 0 where there is none."""
+
     folder: str
-    shards: int
-    word_shards: int
+    pairs: np.ndarray
+    words: np.ndarray
     totals: dict[str, int]
 
 
@@ -240,25 +247,30 @@ class Reader:
         self.d2, self.d1 = discounts(*(t[k] for k in ("n1", "n2", "n3", "n4"))), discounts(*(t[k] for k in ("m1", "m2", "m3", "m4")))
         self.unknown = (float(self.d1[1] * t["m1"] + self.d1[2] * t["m2"] + self.d1[3] * t["more"]) / t["types"] if t["types"] else 1.0) / (t["words"] + 1)
 
-    def arrays(self, name: str, kinds: tuple) -> list[np.ndarray]:
-        if name not in self.open:
-            path, out = f"{self.model.folder}/{name}", [np.empty(0, k) for k in kinds]
-            if os.path.exists(path):
-                with open(path, "rb") as f:
-                    view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-                (n,), at = struct.unpack_from("<q", view), 8
-                for i, k in enumerate(kinds):
-                    out[i] = np.frombuffer(view, k, n, at)
-                    at += n * np.dtype(k).itemsize
-            self.open[name] = out
-        return self.open[name]
-
-    def find(self, keys: np.ndarray, what: str, n: int, kinds: tuple) -> list[np.ndarray]:
+    def arrays(self, name: str, entries: int, kinds: tuple) -> list[np.ndarray]:
+        """The columns of a file; the least recently used map is given up for a new one."""
+        found = self.open.pop(name, None)
+        if found is None:
+            path = f"{self.model.folder}/{name}"
+            with open(path, "rb") as f:
+                view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            if len(view) != 8 + entries * sum(np.dtype(k).itemsize for k in kinds) or struct.unpack_from("<q", view) != (entries,):
+                raise ValueError(f"{path} does not hold the {entries} entries of the model")
+            found, at = [], 8
+            for k in kinds:
+                found.append(np.frombuffer(view, k, entries, at))
+                at += entries * np.dtype(k).itemsize
+            if len(self.open) >= MAPS:
+                self.open.pop(next(iter(self.open)))
+        self.open[name] = found
+        return found
+
+    def find(self, keys: np.ndarray, what: str, sizes: np.ndarray, kinds: tuple) -> list[np.ndarray]:
         """Values of sorted ``keys``; 0 where absent."""
         out = [np.zeros(len(keys), np.int64) for _ in kinds[1:]]
-        for k, a, b in _slices(keys, n):
-            own, *values = self.arrays(f"{what}-{k}", kinds)
-            if len(own):
+        for k, a, b in _slices(keys, len(sizes)):
+            if sizes[k]:
+                own, *values = self.arrays(f"{what}-{k}", int(sizes[k]), kinds)
                 at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
                 hit = own[at] == keys[a:b]
                 for o, v in zip(out, values, strict=True):
@@ -270,11 +282,11 @@ class Reader:
         t = self.model.totals
         h1, h2, n = _pairs(texts)
         distinct, at = np.unique(np.concatenate([h1, h2]), return_inverse=True)
-        count, total, before, one, two, more = self.find(distinct, "words", self.model.word_shards, (U, *[np.int64] * 6))
+        count, total, before, one, two, more = self.find(distinct, "words", self.model.words, WORDS)
         key = pair_keys(h1, h2)
         order = np.argsort(key)
         pair = np.empty(len(key), np.int64)
-        (pair[order],) = self.find(key[order], "pairs", self.model.shards, (U, np.uint32))
+        (pair[order],) = self.find(key[order], "pairs", self.model.pairs, PAIRS)
         low = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(t["types"], 1) + self.unknown
         gamma = np.where(total > 0, (self.d2[1] * one + self.d2[2] * two + self.d2[3] * more) / np.maximum(total, 1), 1.0)
         a, b = at[: len(h1)], at[len(h1) :]
@@ -300,18 +312,24 @@ def train(documents: DataFrame, *, text_col: str = "text", shards: int | None =
     """The model of all ``documents``; every pair is counted.
 
     ``shards``: by default twice the tasks that read the texts, so a shard's memory doesn't grow with
-    the input.
+    the input.  The driver gets one row for each of a fourth as many word shards, and keeps 8 bytes a shard.  A
+    null text is the end alone; repeated rows count as often; ids and other columns are not read.  Empty
+    tables give a model of nothing.
     """
     spark = documents.sparkSession
     folder = local_path(scratch(spark, "kneser-ney"))
     texts = documents.select(raw_text(text_col).alias("text"))
-    shards = shards or max(8, min(1 << 16, 2 * texts.rdd.getNumPartitions()))
+    shards = shards or max(8, 2 * texts.rdd.getNumPartitions())
     word_shards = max(1, shards // 4)
     counted = texts.mapInArrow(_count(shards), "shard int, part binary")
-    pairs = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), "word_shard int, kind int, part binary, " + ", ".join(f"{s} long" for s in STATS))
-    words = pairs.groupBy("word_shard").applyInArrow(_merge_words(folder), ", ".join(f"{s} long" for s in TOTALS))
-    row = words.agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in TOTALS)).first()
-    return Model(folder, shards, word_shards, row.asDict())
+    merged = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), "word_shard int, kind int, part binary, shard int, " + ", ".join(f"{s} long" for s in STATS))
+    kinds = ", ".join(f"{s} long" for s in ("word_shard", "entries", *TOTALS)) + ", pair_shards array<long>, pair_entries array<long>"
+    rows = merged.groupBy("word_shard").applyInArrow(_merge_words(folder), kinds).collect()
+    pairs, words = np.zeros(shards, np.int64), np.zeros(word_shards, np.int64)
+    for r in rows:
+        words[r["word_shard"]] = r["entries"]
+        pairs[r["pair_shards"]] = r["pair_entries"]
+    return Model(folder, pairs, words, {s: sum(r[s] for r in rows) for s in TOTALS})
 
 
 def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
