@@ -62,6 +62,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(url: str) -> str:
+    """The shared folder as the path that workers open; memory maps need a file system that is mounted."""
+    if url.startswith("file:"):
+        return "/" + url[5:].lstrip("/")
+    if "://" in url:
+        raise ValueError(f"files are mapped into memory: spark.checkpoint.dir must be a mounted shared folder, not {url}")
+    return url
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, raw_text, scratch
+from .common import local_path, lower_words, raw_text, scratch
 from .decontaminate import token_hashes
 
 U = np.uint64
@@ -299,15 +299,6 @@ class Reader:
 _readers: dict[str, Reader] = {}
 
 
-def local_path(url: str) -> str:
-    """The shared folder as the path that workers open; maps need a file system that is mounted."""
-    if url.startswith("file:"):
-        return "/" + url[5:].lstrip("/")
-    if "://" in url:
-        raise ValueError(f"the model is mapped from files: spark.checkpoint.dir must be a mounted shared folder, not {url}")
-    return url
-
-
 def train(documents: DataFrame, *, text_col: str = "text", shards: int | None = None) -> Model:
     """The model of all ``documents``; every pair is counted.
 
