@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexical import CJK, folded_text
 from .vector import let
 
-# One token per Han or Kana character, else a run of letters, digits and underscores.
-TOKEN = r"[⺀-鿿豈-﫿぀-ヿ]|[\p{L}\p{N}_\p{M}&&[^⺀-鿿豈-﫿぀-ヿ]]+"
+TOKEN = rf"[{CJK}]|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*"
 # Shapes of credentials.
 SECRET_SHAPES = (
     r"\bhf_[A-Za-z0-9]{20,}\b",
@@ -23,7 +23,8 @@ REDACTED = "***REDACTED***"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lexical tokens as strings: a Han or Kana character each, else runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.regexp_replace(folded_text(text), f"([{CJK}])", " $1 "), F.lit(TOKEN), F.lit(0))
 
 
 def ngrams(toks: Column, n: int, separator: str = "\u001f") -> Column:

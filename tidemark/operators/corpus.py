@@ -2,63 +2,126 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
+from tidemark.functions import lexical as L
 from tidemark.functions import text as T
 
-
-def positional_grams(d: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``pos`` (from 0), ``gram``: a row per n-gram position."""
-    return d.select(F.col(id_col).alias("id"), F.posexplode(T.ngrams(T.tokens(F.col(text_col)), n)).alias("pos", "gram"))
+SENT_KEYS = 4_000_000  # a calibration text's keys are sent to the tasks if there are no more: 32 MB
 
 
 def gram_set(d: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    return d.select(F.explode(T.ngrams(T.tokens(F.col(text_col)), n)).alias("gram")).distinct()
+    """``key``: each n-gram of the texts once."""
+    return d.select(F.explode(L.keys_of(F.col(text_col), n, distinct=True)).alias("key")).distinct()
+
+
+def sent(keys: DataFrame, most: int) -> np.ndarray | None:
+    """The keys in order, or None if there are more than ``most``."""
+    found = keys.limit(most + 1).toArrow().column(0).to_numpy()
+    return np.sort(found) if len(found) <= most else None
+
 
+def inside(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
-def calibration_overlap(docs: DataFrame, calibration: DataFrame, n: int, most: float = 0.05) -> DataFrame:
+
+def calibration_overlap(docs: DataFrame, calibration: DataFrame, n: int, most: float = 0.05, sent_keys: int = SENT_KEYS) -> DataFrame:
     """Distinct n-grams shared with the calibration text.
 
     A document with fewer than ``n`` tokens can't be scanned: it is excluded with a reason, its
-    fraction is null and never 0.
+    fraction is null and never 0.  Calibration keys are sent to the tasks if there are at most ``sent_keys``, and nothing
+    is shuffled; more are joined.
     """
-    own = docs.select(F.col("doc_id").alias("id"), F.array_distinct(T.ngrams(T.tokens(F.col("text")), n)).alias("grams"))
-    long = own.select("id", F.explode("grams").alias("gram"))
-    shared = long.join(gram_set(calibration, n), "gram", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    d = own.select("id", F.size("grams").cast("long").alias("distinct_ngrams")).join(shared, "id", "left").withColumn("shared_ngrams", F.coalesce("shared", F.lit(0)))
+    keys = gram_set(calibration, n)
+    known = sent(keys, sent_keys)
+    if known is not None:
+
+        @F.pandas_udf(S.StructType().add("distinct_ngrams", "long").add("shared_ngrams", "long"))
+        def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                own = [np.unique(L.gram_keys(L.digests(L.word_tokens(t)), n)) for t in batch]
+                yield pd.DataFrame({"distinct_ngrams": [len(k) for k in own], "shared_ngrams": [inside(k, known).sum() for k in own]}, dtype=np.int64)
+
+        d = docs.select("doc_id", counts("text").alias("c")).select("doc_id", "c.*")
+    else:
+        long = docs.select("doc_id", F.explode_outer(L.keys_of(F.col("text"), n, distinct=True)).alias("key"))
+        d = long.join(keys.withColumn("hit", F.lit(1)), "key", "left").groupBy("doc_id").agg(F.count("key").alias("distinct_ngrams"), F.count("hit").alias("shared_ngrams"))
     fraction = F.when(F.col("distinct_ngrams") > 0, F.round(F.col("shared_ngrams") / F.col("distinct_ngrams"), 6))
     reason = F.when(F.col("distinct_ngrams") == 0, "unscannable").when(fraction > most, "overlap")
-    return d.select(F.col("id").alias("doc_id"), "distinct_ngrams", "shared_ngrams", fraction.alias("fraction"), reason.alias("excluded"))
+    return d.select("doc_id", "distinct_ngrams", "shared_ngrams", fraction.alias("fraction"), reason.alias("excluded"))
 
 
-def hits(docs: DataFrame, calibration: DataFrame, n: int) -> DataFrame:
-    """``id``, ``pos``, ``hit`` (0 or 1) for every n-gram position."""
-    marked = gram_set(calibration, n).withColumn("hit", F.lit(1))
-    return positional_grams(docs, n).join(marked, "gram", "left").select("id", "pos", F.coalesce("hit", F.lit(0)).alias("hit"))
+def hits(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``doc_id``, ``pos`` (from 0), ``hit`` (0 or 1) for every n-gram position."""
+    long = docs.select("doc_id", F.posexplode(L.keys_of(F.col("text"), n)).alias("pos", "key"))
+    return long.join(keys.withColumn("hit", F.lit(1)), "key", "left").select("doc_id", "pos", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
 def longest_runs(h: DataFrame) -> DataFrame:
-    """The longest run of consecutive hits of each document."""
-    only = h.where("hit = 1").withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    return only.groupBy("id", "island").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum("n").alias("hits"), F.max("n").alias("longest"))
+    """The hits of each document, and the longest run of consecutive ones."""
+    only = h.where("hit = 1").withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    return only.groupBy("doc_id", "island").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("hits"), F.max("n").alias("longest"))
 
 
-def window_containment(docs: DataFrame, h: DataFrame, n: int, window: int, stride: int) -> DataFrame:
+def window_containment(h: DataFrame, n: int, window: int, stride: int) -> DataFrame:
     """The largest share of hits in any window of ``window`` tokens, by prefix sums.
 
     Windows start at every multiple of ``stride`` and once so that one ends with the text.
     """
     width = window - n + 1
-    sums = h.withColumn("upto", F.sum("hit").over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).select("id", "pos", "upto")
-    tokens = docs.select(F.col("doc_id").alias("id"), F.size(T.tokens(F.col("text"))).alias("nt")).where(F.col("nt") >= n)
+    sums = h.withColumn("upto", F.sum("hit").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "pos", "upto")
+    tokens = h.groupBy("doc_id").agg((F.max("pos") + n).alias("nt"))
     last = F.greatest(F.lit(0), F.col("nt") - window)
-    starts = tokens.select("id", "nt", F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))).alias("start"))
+    starts = tokens.select("doc_id", "nt", F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))).alias("start"))
     ends = starts.withColumn("stop", F.least(F.col("start") + width, F.col("nt") - (n - 1)) - 1).withColumn("before", F.col("start") - 1)
-    a = ends.join(sums.select("id", F.col("pos").alias("stop"), F.col("upto").alias("to")), ["id", "stop"])
-    b = a.join(sums.select("id", F.col("pos").alias("before"), F.col("upto").alias("from")), ["id", "before"], "left")
+    a = ends.join(sums.select("doc_id", F.col("pos").alias("stop"), F.col("upto").alias("to")), ["doc_id", "stop"])
+    b = a.join(sums.select("doc_id", F.col("pos").alias("before"), F.col("upto").alias("from")), ["doc_id", "before"], "left")
     share = (F.col("to") - F.coalesce("from", F.lit(0))) / (F.col("stop") - F.col("start") + 1)
-    return b.select("id", share.alias("share")).groupBy("id").agg(F.max("share").alias("containment"))
+    return b.select("doc_id", share.alias("share")).groupBy("doc_id").agg(F.max("share").alias("containment"))
+
+
+def near_duplicate_audit(docs: DataFrame, calibration: DataFrame, *, exact: int = 12, near: int = 5, window: int = 50, stride: int = 25, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """How much of each document stands in the calibration text: its ``words``, ``exact_hits`` (positions of shared
+    ``exact``-grams), ``longest_run_words`` and ``containment``, the largest share of shared ``near``-grams in a window.
+
+    Calibration keys are sent to the tasks if there are at most ``sent_keys``: a document is then judged where it is
+    read.  Else positions are joined to them and summed in windows.
+    """
+    sets = [gram_set(calibration, n) for n in (exact, near)]
+    known = [sent(k, sent_keys) for k in sets]
+    if any(k is None for k in known):
+        runs, close = longest_runs(hits(docs, sets[0], exact)), window_containment(hits(docs, sets[1], near), near, window, stride)
+        d = docs.select("doc_id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).cast("long").alias("words")).join(runs, "doc_id", "left").join(close, "doc_id", "left")
+        longest = F.when(F.col("longest") > 0, F.col("longest") + exact - 1).otherwise(0)
+        return d.select("doc_id", "words", F.coalesce("hits", F.lit(0)).alias("exact_hits"), longest.alias("longest_run_words"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+
+    def judged(text: str | None) -> tuple[int, int, int, float]:
+        tokens = L.digests(L.word_tokens(text))
+        whole = inside(L.gram_keys(tokens, exact), known[0])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], whole, [0]])))
+        longest = int((edges[1::2] - edges[::2]).max(initial=0))
+        sums = np.concatenate([[0], np.cumsum(inside(L.gram_keys(tokens, near), known[1]))])
+        containment = 0.0
+        if len(sums) > 1:
+            start = np.append(np.arange(0, max(0, len(tokens) - window) + 1, stride), max(0, len(tokens) - window))
+            stop = np.minimum(start + window - near + 1, len(sums) - 1)
+            containment = float(((sums[stop] - sums[start]) / (stop - start)).max())
+        return len(tokens), int(whole.sum()), longest and longest + exact - 1, containment
+
+    @F.pandas_udf(S.StructType().add("words", "long").add("exact_hits", "long").add("longest_run_words", "long").add("containment", "double"))
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([judged(t) for t in batch], columns=["words", "exact_hits", "longest_run_words", "containment"])
+
+    return docs.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
 
 
 def token_windows(docs: DataFrame, size: int) -> DataFrame:

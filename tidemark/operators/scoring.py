@@ -47,14 +47,23 @@ def chunked_normalizer(d: DataFrame, chunk: int) -> DataFrame:
     return whole.select("vec_id", F.round(F.col("gm") + F.log(V.total(F.transform("ps", lambda p: p["s"] * F.exp(p["m"] - F.col("gm"))))), 9).alias("log_normalizer"))
 
 
-def replay(hidden: DataFrame, head: DataFrame) -> DataFrame:
-    """Hidden rows times a head matrix: logits in long form.
+def replay(hidden: DataFrame, head: DataFrame, *, head_bytes: int = 64 << 20) -> DataFrame:
+    """Hidden rows (``vec_id``, ``v``) times a head matrix (``token``, ``w``): logits in long form.
 
-    Joined on the dimension, so neither side is broadcast and the product isn't a cross join.
+    A head of up to ``head_bytes`` bytes, which is measured, goes to every task.  A larger one is cut into blocks of that
+    size, which meet the hidden rows one row per (row, block): every block is one row, and what a task multiplies
+    is one hidden row and one block.
     """
-    h = hidden.select("vec_id", F.posexplode("v").alias("i", "x"))
-    w = head.select("token", F.posexplode("w").alias("i", "y"))
-    return h.join(w, "i").groupBy("vec_id", "token").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("logit"))
+    logit = lambda v, w: F.round(V.total(F.zip_with(v, w, lambda x, y: x * y)), 6)
+    size = head.agg(F.count("*").alias("n"), F.max(F.size("w")).alias("width")).first()
+    blocks = -(-8 * size["n"] * (size["width"] or 0) // head_bytes)
+    if blocks <= 1:
+        return hidden.join(F.broadcast(head)).select("vec_id", "token", logit("v", "w").alias("logit"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    rows = head.groupBy(part("token").alias("block")).agg(F.collect_list(F.struct("token", "w")).alias("rows"))
+    each = hidden.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = each.join(rows, "block").select("vec_id", "v", F.explode("rows").alias("r"))
+    return met.select("vec_id", F.col("r.token").alias("token"), logit("v", "r.w").alias("logit"))
 
 
 def local_experts(experts: Column, *, rank: int, per_rank: int) -> Column:
@@ -62,9 +71,9 @@ def local_experts(experts: Column, *, rank: int, per_rank: int) -> Column:
     return F.transform(experts, lambda e: F.when(F.floor(e / per_rank) == rank, F.pmod(e, F.lit(per_rank))).otherwise(F.lit(-1)).cast("long"))
 
 
-def placement_audit(d: DataFrame, *, rows: int | None, shifts: tuple[int, ...]) -> DataFrame:
-    """Candidate rows (the first ``rows``; None: all) against the teacher's own rows and against shifted ones, by relative L2 distance."""
-    cand = (d if rows is None else d.where(F.col("vec_id") < rows)).select(F.explode(F.array(*map(F.lit, (0, *shifts)))).alias("shift"), F.col("vec_id").alias("row"), "candidate").withColumn("at", F.col("row") + F.col("shift"))
+def placement_audit(d: DataFrame, *, shifts: tuple[int, ...]) -> DataFrame:
+    """Candidate rows against the teacher's own rows and against shifted ones, by relative L2 distance."""
+    cand = d.select(F.explode(F.array(*map(F.lit, (0, *shifts)))).alias("shift"), F.col("vec_id").alias("row"), "candidate").withColumn("at", F.col("row") + F.col("shift"))
     j = cand.join(d.select(F.col("vec_id").alias("at"), "teacher"), "at")
     rel = F.sqrt(F.sum(V.total(F.zip_with("candidate", "teacher", lambda a, b: (a - b) * (a - b))))) / F.sqrt(F.sum(V.total(F.transform("teacher", lambda x: x * x))))
     r = j.groupBy("shift").agg(rel.alias("rel"))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as T
 from tidemark.operators import corpus as C
 from tidemark.operators import registry as R
 
@@ -24,9 +23,8 @@ def coded(d: DataFrame, checks: dict[str, Column], id_col: str) -> DataFrame:
 
 @query("context_recheck", f"WITH {TOK}, b AS (SELECT DISTINCT unnest({sql_grams('c', 12)}) AS g FROM c), w AS (SELECT doc_id, unnest(range(0, len(t) // 64)) AS i, t FROM t), x AS (SELECT doc_id, i, t[i * 64 + 1:i * 64 + 64] AS t FROM w), y AS (SELECT doc_id, i, unnest({sql_grams('x', 12)}) AS g FROM x) SELECT count(*) AS rejected FROM (SELECT DISTINCT doc_id, i FROM y SEMI JOIN b USING (g))")
 def context_recheck(spark: SparkSession, sf: str) -> DataFrame:
-    w = C.token_windows(docs(spark, sf), 64).select("doc_id", "window_index", F.explode(T.ngrams(F.split("text", " "), 12)).alias("gram"))
-    hit = w.join(C.gram_set(table(spark, sf, "benchmark"), 12), "gram", "left_semi").select("doc_id", "window_index").distinct()
-    return hit.agg(F.count("*").alias("rejected"))
+    w = C.token_windows(docs(spark, sf), 64).select(F.col("doc_id").alias("id"), "window_index", "text").withColumn("doc_id", F.struct("id", "window_index"))
+    return C.calibration_overlap(w, table(spark, sf, "benchmark"), 12).agg(F.count_if(F.col("shared_ngrams") > 0).alias("rejected"))
 
 
 @query("suite_validation", "WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, sha256(text) AS h FROM documents), v AS (SELECT source, count(*) AS n, count(DISTINCT h) AS hashes, max(position) AS last, sha256(string_agg(h, chr(10) ORDER BY position)) AS suite FROM s GROUP BY source) SELECT source, n - hashes AS repeated_hashes, last = n - 1 AS dense, suite FROM v")

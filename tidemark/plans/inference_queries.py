@@ -102,17 +102,8 @@ def wider_interval(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("label", F.round(F.when(wide, F.col("mu") - F.col("r") / 2).otherwise(F.col("mu") - 1.96 * F.col("se")), 9).alias("low"), F.when(wide, "range").otherwise("z").alias("source"))
 
 
-@query("comparison_class", "SELECT a.s_suppkey AS id, CASE WHEN a.s_nationkey % 4 = 0 THEN 'refused: same states, other head' WHEN sha256(a.s_name) = sha256(b.s_name) THEN 'reproduction' WHEN a.s_nationkey = b.s_nationkey THEN 'run-to-run floor' ELSE 'measurement' END AS class FROM supplier a JOIN supplier b ON b.s_suppkey = CASE WHEN a.s_suppkey % 3 = 0 THEN a.s_suppkey ELSE (a.s_suppkey + 1) % 100 END WHERE a.s_suppkey < 100")
+@query("comparison_class", "WITH s AS (SELECT *, coalesce(lead(s_suppkey) OVER (ORDER BY s_suppkey), min(s_suppkey) OVER ()) AS next FROM supplier) SELECT a.s_suppkey AS id, CASE WHEN a.s_nationkey % 4 = 0 THEN 'refused: same states, other head' WHEN sha256(a.s_name) = sha256(b.s_name) THEN 'reproduction' WHEN a.s_nationkey = b.s_nationkey THEN 'run-to-run floor' ELSE 'measurement' END AS class FROM s a JOIN supplier b ON b.s_suppkey = CASE WHEN a.s_suppkey % 3 = 0 THEN a.s_suppkey ELSE a.next END")
 def comparison_class(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier")
-    a = s.where("s_suppkey < 100").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), F.sha2("s_name", 256).alias("h"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey")).otherwise((F.col("s_suppkey") + 1) % 100).alias("other"))
-    b = s.select(F.col("s_suppkey").alias("other"), F.col("s_nationkey").alias("n2"), F.sha2("s_name", 256).alias("h2"))
-    c = F.when(F.col("n") % 4 == 0, "refused: same states, other head").when(F.col("h") == F.col("h2"), "reproduction").when(F.col("n") == F.col("n2"), "run-to-run floor").otherwise("measurement")
-    return a.join(b, "other").select("id", c.alias("class"))
-
-
-@query("comparison_class_whole", "WITH s AS (SELECT *, coalesce(lead(s_suppkey) OVER (ORDER BY s_suppkey), min(s_suppkey) OVER ()) AS next FROM supplier) SELECT a.s_suppkey AS id, CASE WHEN a.s_nationkey % 4 = 0 THEN 'refused: same states, other head' WHEN sha256(a.s_name) = sha256(b.s_name) THEN 'reproduction' WHEN a.s_nationkey = b.s_nationkey THEN 'run-to-run floor' ELSE 'measurement' END AS class FROM s a JOIN supplier b ON b.s_suppkey = CASE WHEN a.s_suppkey % 3 = 0 THEN a.s_suppkey ELSE a.next END")
-def comparison_class_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every supplier against itself or the one with the next key; the last key's next is the first."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.sha2("s_name", 256).alias("h"))
     a = s.withColumn("block", F.floor(F.col("s_suppkey") / 1000))  # the next key is sought in a block of keys, else in the next block

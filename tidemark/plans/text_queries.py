@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexical as L
 from tidemark.functions import text as T
+from tidemark.functions.lexical import CJK
 from tidemark.operators import corpus as C
 
 from .catalog import query, table
 
-TOK = r"t AS (SELECT doc_id, lang, source, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), c AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM benchmark)"
+# The data hold one character that case folding changes and lower case doesn't; for Han and Kana the SQL has its own branch.
+SQL_TOKENS = rf"regexp_extract_all(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '([{CJK}])', ' \1 ', 'g'), '[{CJK}]|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*')"
+TOK = f"t AS (SELECT doc_id, lang, source, text, {SQL_TOKENS} AS t FROM documents), c AS (SELECT item_id, {SQL_TOKENS} AS t FROM benchmark)"
 
 
 def sql_grams(src: str, n: int, distinct: bool = False) -> str:
@@ -30,7 +34,7 @@ def lexical_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ngram_positions", f"WITH {TOK} SELECT doc_id, CAST(len({sql_grams('t', 12)}) AS INTEGER) AS positions, CAST(len({sql_grams('t', 12, True)}) AS INTEGER) AS distinct_grams FROM t")
 def ngram_positions(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select("doc_id", T.ngrams(T.tokens(F.col("text")), 12).alias("g"))
+    d = docs(spark, sf).select("doc_id", L.keys_of(F.col("text"), 12).alias("g"))
     return d.select("doc_id", F.size("g").alias("positions"), F.size(F.array_distinct("g")).alias("distinct_grams"))
 
 
@@ -63,17 +67,11 @@ u AS (SELECT doc_id, pos, sum(hit) OVER (PARTITION BY doc_id ORDER BY pos) AS up
 st AS (SELECT doc_id, len(t) AS nt, unnest(list_distinct(list_append(range(0, greatest(0, len(t) - 50) + 1, 25), greatest(0, len(t) - 50)))) AS start FROM t WHERE len(t) >= 5),
 e AS (SELECT doc_id, start, least(start + 46, nt - 4) - 1 AS stop FROM st),
 w AS (SELECT e.doc_id, max((a.upto - coalesce(z.upto, 0)) / CAST(e.stop - e.start + 1 AS DOUBLE)) AS containment FROM e JOIN u a ON a.doc_id = e.doc_id AND a.pos = e.stop LEFT JOIN u z ON z.doc_id = e.doc_id AND z.pos = e.start - 1 GROUP BY 1),
-au AS (SELECT t.doc_id, len(t) AS words, CAST(coalesce(hits, 0) AS BIGINT) AS exact_hits, CASE WHEN longest > 0 THEN longest + 11 ELSE 0 END AS longest_run_words, coalesce(containment, 0) AS containment FROM t LEFT JOIN r USING (doc_id) LEFT JOIN w USING (doc_id)) """
+au AS (SELECT t.doc_id, len(t) AS words, CAST(coalesce(hits, 0) AS BIGINT) AS exact_hits, CAST(CASE WHEN longest > 0 THEN longest + 11 ELSE 0 END AS BIGINT) AS longest_run_words, coalesce(containment, 0) AS containment FROM t LEFT JOIN r USING (doc_id) LEFT JOIN w USING (doc_id)) """
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    d, b = docs(spark, sf), table(spark, sf, "benchmark")
-    runs = C.longest_runs(C.hits(d, b, 12))
-    near = C.window_containment(d, C.hits(d, b, 5), 5, 50, 25)
-    words = d.select(F.col("doc_id").alias("id"), F.size(T.tokens(F.col("text"))).cast("long").alias("words"))
-    return words.join(runs, "id", "left").join(near, "id", "left").select(
-        F.col("id").alias("doc_id"), "words", F.coalesce("hits", F.lit(0)).alias("exact_hits"), F.when(F.col("longest") > 0, F.col("longest") + 11).otherwise(0).alias("longest_run_words"), F.coalesce("containment", F.lit(0.0)).alias("containment")
-    )
+    return C.near_duplicate_audit(docs(spark, sf), table(spark, sf, "benchmark"))
 
 
 @query("near_duplicate_audit", AUDIT + "SELECT doc_id, words, exact_hits, longest_run_words, round(containment, 9) AS containment FROM au")
@@ -94,10 +92,9 @@ def top_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("contaminated_documents", f"WITH {TOK}, b AS (SELECT DISTINCT unnest({sql_grams('c', 12)}) AS g FROM c), x AS (SELECT DISTINCT doc_id, unnest({sql_grams('t', 12)}) AS g FROM t), p AS (SELECT DISTINCT doc_id FROM x SEMI JOIN b USING (g)) SELECT doc_id, p.doc_id IS NOT NULL AS hit, strlen(text) < 400 AS too_short FROM t LEFT JOIN p USING (doc_id) WHERE p.doc_id IS NOT NULL OR strlen(text) < 400")
 def contaminated_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d, b = docs(spark, sf), table(spark, sf, "benchmark")
-    hit = C.positional_grams(d, 12).join(C.gram_set(b, 12), "gram", "left_semi").select(F.col("id").alias("doc_id"), F.lit(True).alias("h")).distinct()
-    m = d.select("doc_id", (F.octet_length("text") < 400).alias("too_short")).join(hit, "doc_id", "left").withColumn("hit", F.coalesce("h", F.lit(False)))
-    return m.where("hit OR too_short").select("doc_id", "hit", "too_short")
+    d = docs(spark, sf)
+    o = C.calibration_overlap(d, table(spark, sf, "benchmark"), 12).select("doc_id", (F.col("shared_ngrams") > 0).alias("hit"))
+    return d.select("doc_id", (F.octet_length("text") < 400).alias("too_short")).join(o, "doc_id").where("hit OR too_short").select("doc_id", "hit", "too_short")
 
 
 @query("exact_dedup", "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -144,13 +141,13 @@ def license_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SEC = r"'\bhf_[A-Za-z0-9]{20,}\b'", r"'\bapi_org_[A-Za-z0-9]{20,}\b'", r"'\bsk-[A-Za-z0-9_\-]{20,}\b'", r"'(?i)\btoken=[A-Za-z0-9._\-]{24,}'", r"'(?i)\bauthorization:\s*bearer\s+[A-Za-z0-9._\-]{20,}'"
-PLANTED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 200) || ' hf_' || sha256(text) WHEN 1 THEN 'token=' || sha256(text) || ' ' || substr(text, 1, 50) WHEN 2 THEN 'Authorization: Bearer ' || sha256(text) ELSE text END AS text FROM documents)"
+PLANTED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || ' hf_' || sha256(text) WHEN 1 THEN 'token=' || sha256(text) || ' ' || text WHEN 2 THEN 'Authorization: Bearer ' || sha256(text) || ' ' || text ELSE text END AS text FROM documents)"
 
 
 def planted(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of which half get a synthetic credential: the data hold none."""
+    """Whole documents, beside half of which stands a synthetic credential: the data hold few."""
     h, k = F.sha2("text", 256), F.col("doc_id") % 6
-    return docs(spark, sf).select("doc_id", F.when(k == 0, F.concat(F.substring("text", 1, 200), F.lit(" hf_"), h)).when(k == 1, F.concat(F.lit("token="), h, F.lit(" "), F.substring("text", 1, 50))).when(k == 2, F.concat(F.lit("Authorization: Bearer "), h)).otherwise(F.col("text")).alias("text"))
+    return docs(spark, sf).select("doc_id", F.when(k == 0, F.concat("text", F.lit(" hf_"), h)).when(k == 1, F.concat(F.lit("token="), h, F.lit(" "), "text")).when(k == 2, F.concat(F.lit("Authorization: Bearer "), h, F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def _nested(expr: str) -> str:
@@ -169,25 +166,6 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return planted(spark, sf).groupBy((F.col("doc_id") % 6).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(T.holds_secret(F.col("text"))).alias("with_secret"))
 
 
-WHOLE_PLANTED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || ' hf_' || sha256(text) WHEN 1 THEN 'token=' || sha256(text) || ' ' || text WHEN 2 THEN 'Authorization: Bearer ' || sha256(text) || ' ' || text ELSE text END AS text FROM documents)"
-
-
-def planted_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``planted``, with the credential beside the whole text: a text's own secrets stay to be found."""
-    h, k = F.sha2("text", 256), F.col("doc_id") % 6
-    return docs(spark, sf).select("doc_id", F.when(k == 0, F.concat("text", F.lit(" hf_"), h)).when(k == 1, F.concat(F.lit("token="), h, F.lit(" "), "text")).when(k == 2, F.concat(F.lit("Authorization: Bearer "), h, F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
-
-
-@query("secret_redact_whole", f"SELECT doc_id, sha256({_nested('text')}) AS redacted_sha256 FROM {WHOLE_PLANTED}")
-def secret_redact_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_whole(spark, sf).select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("redacted_sha256"))
-
-
-@query("secret_scan_whole", f"SELECT doc_id % 6 AS kind, count(*) AS documents, CAST(count(*) FILTER ({' OR '.join(f'regexp_matches(text, {s})' for s in SEC)}) AS BIGINT) AS with_secret FROM {WHOLE_PLANTED} GROUP BY 1")
-def secret_scan_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return planted_whole(spark, sf).groupBy((F.col("doc_id") % 6).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(T.holds_secret(F.col("text"))).alias("with_secret"))
-
-
 @query("credential_names", r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)')")
 def credential_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").where(F.col("url").rlike(r"(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)")).select("page_id", "url")

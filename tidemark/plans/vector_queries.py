@@ -145,18 +145,11 @@ def chunked_normalizer(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.chunked_normalizer(scoring.rows(table(spark, sf, "embeddings"), bits=4), chunk=16)
 
 
-@query("hidden_replay", f"WITH {TEACHER}, h AS (SELECT vec_id AS tok, v AS w FROM t WHERE vec_id < 32) SELECT t.vec_id, h.tok AS token, round(list_sum([t.v[i] * h.w[i] FOR i IN range(1, 65)]), 6) AS logit FROM t, h WHERE t.vec_id < 100")
+@query("hidden_replay", f"WITH {TEACHER}, h AS (SELECT vec_id AS tok, v AS w FROM t WHERE vec_id < 32) SELECT t.vec_id, h.tok AS token, round(list_sum([t.v[i] * h.w[i] FOR i IN range(1, 65)]), 6) AS logit FROM t, h")
 def hidden_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row against a head of 32 rows, which stands for a model's fixed output matrix."""
     d = scoring.rows(table(spark, sf, "embeddings"), bits=4).select("vec_id", F.col("teacher").alias("v"))
-    return scoring.replay(d.where("vec_id < 100"), d.where("vec_id < 32").select(F.col("vec_id").alias("token"), F.col("v").alias("w")))
-
-
-@query("hidden_replay_whole", f"WITH {TEACHER}, h AS (SELECT vec_id AS tok, v AS w FROM t WHERE vec_id < 32) SELECT t.vec_id, h.tok AS token, round(list_sum([t.v[i] * h.w[i] FOR i IN range(1, 65)]), 6) AS logit FROM t, h")
-def hidden_replay_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row against the fixed head; the 32 rows of the head are broadcast."""
-    d = scoring.rows(table(spark, sf, "embeddings"), bits=4).select("vec_id", F.col("teacher").alias("v"))
-    head = d.where("vec_id < 32").select(F.col("vec_id").alias("token"), F.col("v").alias("w"))
-    return d.join(F.broadcast(head)).select("vec_id", "token", F.round(V.total(F.zip_with("v", "w", lambda x, y: x * y)), 6).alias("logit"))
+    return scoring.replay(d, d.where("vec_id < 32").select(F.col("vec_id").alias("token"), F.col("v").alias("w")))
 
 
 @query("live_vs_replay", f"WITH {sql_lp(6)} SELECT vec_id, round(list_sum([exp(p[i]) * (p[i] - q2[i]) FOR i IN range(1, 65)]), 9) AS kld FROM (SELECT vec_id, p, {sql_lsm('q')} AS q2 FROM lp)")
@@ -200,22 +193,12 @@ def sparse_to_dense(spark: SparkSession, sf: str) -> DataFrame:
     return dense.select("vec_id", F.size(kept).cast("long").alias("present"), F.round(V.total(kept), 9).alias("kept_sum"))
 
 
-@query("placement_audit", f"""WITH {TEACHER}, {sql_rtn(4)}, sh AS (SELECT unnest([0, 1, 8, 64]) AS shift),
-j AS (SELECT sh.shift, list_sum([(a.w[i] - b.v[i]) ** 2 FOR i IN range(1, 65)]) AS d2, list_sum([x * x FOR x IN b.v]) AS n2 FROM q_4 a, sh, q_4 b WHERE b.vec_id = a.vec_id + sh.shift AND a.vec_id < 100),
-r AS (SELECT shift, sqrt(sum(d2)) / sqrt(sum(n2)) AS rel FROM j GROUP BY shift)
-SELECT round(max(rel) FILTER (shift = 0), 9) AS aligned, round(min(rel) FILTER (shift > 0), 9) AS best_control,
-  max(rel) FILTER (shift = 0) < 0.5 AND min(rel) FILTER (shift > 0) > 0.5 AND min(rel) FILTER (shift > 0) > 4 * max(rel) FILTER (shift = 0) AS passed FROM r""")
-def placement_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = scoring.rows(table(spark, sf, "embeddings"), bits=4)
-    return scoring.placement_audit(d, rows=100, shifts=(1, 8, 64))
-
-
-@query("placement_audit_whole", f"""WITH {TEACHER}, {sql_rtn(4)}, sh AS (SELECT unnest([0, 1, 8, 64, 512]) AS shift),
+@query("placement_audit", f"""WITH {TEACHER}, {sql_rtn(4)}, sh AS (SELECT unnest([0, 1, 8, 64, 512]) AS shift),
 j AS (SELECT sh.shift, list_sum([(a.w[i] - b.v[i]) ** 2 FOR i IN range(1, 65)]) AS d2, list_sum([x * x FOR x IN b.v]) AS n2 FROM q_4 a, sh, q_4 b WHERE b.vec_id = a.vec_id + sh.shift),
 r AS (SELECT shift, sqrt(sum(d2)) / sqrt(sum(n2)) AS rel FROM j GROUP BY shift)
 SELECT round(max(rel) FILTER (shift = 0), 9) AS aligned, round(min(rel) FILTER (shift > 0), 9) AS best_control,
   max(rel) FILTER (shift = 0) < 0.5 AND min(rel) FILTER (shift > 0) > 0.5 AND min(rel) FILTER (shift > 0) > 4 * max(rel) FILTER (shift = 0) AS passed FROM r""")
-def placement_audit_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row, and the four control shifts of the reference; a row without a shifted partner is left out of that shift."""
+def placement_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row, and four control shifts; a row without a shifted partner is left out of that shift."""
     d = scoring.rows(table(spark, sf, "embeddings"), bits=4)
-    return scoring.placement_audit(d, rows=None, shifts=(1, 8, 64, 512))
+    return scoring.placement_audit(d, shifts=(1, 8, 64, 512))
