@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import constraints
 from tidemark.operators import corpus as C
 from tidemark.operators import registry as R
 
@@ -134,3 +135,44 @@ def bias_checks(spark: SparkSession, sf: str) -> DataFrame:
     checks = {"BIAS-001": F.col("o_totalprice") < 0, "BIAS-003": (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 150000), "BIAS-006": F.col("o_orderpriority").isNull()}
     codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))
     return table(spark, sf, "orders").where(reduce(lambda a, b: a | b, checks.values())).select(F.col("o_orderkey").alias("id"), codes.alias("codes"))
+
+
+RULES_SQL = """WITH v AS (
+  SELECT 'REF-003' AS code FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 23 = 0
+  UNION ALL SELECT 'STAT-001' FROM orders WHERE o_orderkey % 31 = 0
+  UNION ALL SELECT 'STAT-003' FROM orders WHERE o_orderkey % 29 = 0
+  UNION ALL SELECT 'DET-001' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW'
+  UNION ALL SELECT 'DET-003' FROM orders WHERE o_orderkey % 37 = 0
+  UNION ALL SELECT 'BIAS-001' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0
+  UNION ALL SELECT 'BIAS-003' FROM orders WHERE o_orderkey % 15 = 0)
+SELECT code, count(*) AS n FROM v GROUP BY code"""
+
+
+@query("measurement_rules", RULES_SQL)
+def measurement_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as measurements of customers, some of which break rules, against the registry's rules."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    artifacts = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("model--"), "c_nationkey").alias("model_ref"), "c_nationkey")
+    nations = artifacts.select(F.col("id").alias("artifact_ref"), "c_nationkey")
+    o = table(spark, sf, "orders").withColumn("artifact_ref", F.col("o_custkey").cast("string")).join(nations, "artifact_ref", "left")
+    bias = F.struct(F.lit("cross_stack_capture_replay").alias("kind"), F.lit("above").alias("direction"), F.lit("no floor was measured through this stack so far").alias("detail"), F.lit(None).cast("string").alias("floor_measurement_ref"))
+    measurements = o.select(
+        k.cast("string").alias("id"),
+        "artifact_ref",
+        F.concat(F.lit("model--"), (F.col("c_nationkey") + F.when(k % 23 == 0, 1).otherwise(0)).cast("string")).alias("model_ref"),
+        F.struct(F.lit("mean_of_run_means_tokenwise_kld").alias("name"), v.alias("value"), F.when(k % 29 == 0, "bits").otherwise("nats").alias("units")).alias("metric"),
+        F.struct(F.lit("bca").alias("method"), (v * 0.9).alias("ci95_low"), (v * F.when(k % 31 == 0, 0.95).otherwise(1.1)).alias("ci95_high")).alias("uncertainty"),
+        F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "cross_stack").otherwise("same_stack").alias("stack_relation")).alias("estimator"),
+        F.struct(F.when(k % 5 == 0, "strict").otherwise("advisory").alias("class"), F.when(k % 3 == 0, bias).alias("bias")).alias("comparability"),
+        F.struct(
+            F.lit(2).alias("run_count"),
+            F.when(F.col("o_orderpriority") == "5-LOW", "report_sha256").otherwise("tokenwise_kld_sha256").alias("evidence_kind"),
+            F.array(F.sha2(k.cast("string"), 256)).alias("evidence_hashes"),
+            F.lit(1).alias("distinct_evidence_hash_count"),
+            (k % 2 == 0).alias("identical_across_runs"),
+            F.array(v, v * F.when(k % 37 == 0, 2.0).otherwise(1.0)).alias("run_means"),
+        ).alias("determinism"),
+    )
+    wanted = {"REF-003", "STAT-001", "STAT-003", "DET-001", "DET-003", "BIAS-001", "BIAS-003"}
+    rules = [r for r in constraints.MEASUREMENT_RULES if r[0] in wanted]
+    return constraints.broken(constraints.referring(measurements, "m", a=("artifact_ref", artifacts)), rules).groupBy("code").agg(F.count("*").alias("n"))
