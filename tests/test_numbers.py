@@ -12,8 +12,8 @@ from tidemark.operators import inference, registry, sketch
 
 
 def test_comparability_key_known_answer(spark):
-    parts = ["panel--glm53.brandonmusic.final25", "reference--brandonmusic.glm53-bf16-fp32-logits.final25", "mean_of_run_means_tokenwise_kld", "reference_to_candidate", "float64", "same_stack", "native_head"]
-    assert spark.range(1).select(registry.comparability_key(*map(F.lit, parts))).first()[0] == "cmp--202b717f3219c414"
+    parts = ["panel--x.heldout", "reference--x.bf16.heldout", "mean_of_run_means_tokenwise_kld", "reference_to_candidate", "float64", "same_stack", "native_head"]
+    assert spark.range(1).select(registry.comparability_key(*map(F.lit, parts))).first()[0] == "cmp--4cac6dc7b760877a"
 
 
 @pytest.mark.parametrize("part", [None, "a|b"])
@@ -22,6 +22,28 @@ def test_key_refuses_missing_parts_and_separators(spark, part):
         spark.range(1).select(registry.comparability_key(F.lit("x"), F.lit(part).cast("string"))).collect()
 
 
+def test_paired_report_against_plain_numpy(spark):
+    rng = np.random.default_rng(1)
+    d = {g: np.round(rng.normal(0.02, 0.1, n), 2) for g, n in (("x", 30), ("y", 12), ("one", 1))}
+    rows = [(g, k, float(v)) for g, own in d.items() for k, v in enumerate(own)]
+    got = {r["g"]: r for r in inference.paired_report(spark.createDataFrame(rows, "g string, window_id int, b_minus_a double"), "g").collect()}
+    for g in ("x", "y"):
+        v, r = d[g], got[g]
+        half = special.t_ppf(0.975, len(v) - 1) * v.std(ddof=1) / math.sqrt(len(v))
+        assert (r["windows"], r["a_better"], r["b_better"], r["ties"]) == (len(v), (v > 0).sum(), (v < 0).sum(), (v == 0).sum())
+        assert r["b_minus_a"] == pytest.approx(v.mean()) and r["t_low"] == pytest.approx(v.mean() - half) and r["t_high"] == pytest.approx(v.mean() + half)
+        bca = inference.bca(v)
+        assert (r["bca_low"], r["bca_high"]) == (pytest.approx(bca["bca_low"]), pytest.approx(bca["bca_high"]))
+        n, k = (v != 0).sum(), min((v > 0).sum(), (v < 0).sum())
+        assert r["sign_p"] == pytest.approx(min(1, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n))
+        w = np.abs(v[v != 0])
+        rank = np.array([(w < x).sum() + ((w == x).sum() + 1) / 2 for x in w])
+        ties = sum(t**3 - t for t in np.unique(w, return_counts=True)[1])
+        z = (rank[v[v != 0] > 0].sum() - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        assert r["wilcoxon_z"] == pytest.approx(z) and r["wilcoxon_p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+    assert got["one"]["t_low"] is None and got["one"]["bca_low"] is None
+
+
 def test_kl_of_a_row_with_itself_is_zero_and_analytic_value(spark):
     d = spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 1.0, 1.0])], "a array<double>, b array<double>")
     r = d.select(V.kl(V.log_softmax(F.col("a")), V.log_softmax(F.col("a"))).alias("same"), V.kl(V.log_softmax(F.col("a")), V.log_softmax(F.col("b"))).alias("kl")).first()

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
     value, weight = (F.col(x) if isinstance(x, str) else x for x in (value, weight))
@@ -28,10 +30,12 @@ def bucket(value: Column, edges: list[int]) -> Column:
     return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0]))
 
 
-def stats_block(value: str, digits: int = 9) -> list[Column]:
+def stats_block(d: DataFrame, by: list[str], value: str, digits: int = 9) -> DataFrame:
     """mean, median, p95, p99, p99.9 and max, exact, with linear interpolation."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), digits)
-    return [F.round(F.avg(value), digits).alias("mean"), q(0.5).alias("median"), q(0.95).alias("p95"), q(0.99).alias("p99"), q(0.999).alias("p999"), F.round(F.max(value), digits).alias("max")]
+    names = {0.5: "median", 0.95: "p95", 0.99: "p99", 0.999: "p999"}
+    q = ordering.wide(ordering.quantiles(d, by, value, list(names)), by, names)
+    ends = d.groupBy(*by).agg(F.round(F.avg(value), digits).alias("mean"), F.round(F.max(value), digits).alias("max"))
+    return ends.join(q, by).select(*by, "mean", *(F.round(n, digits).alias(n) for n in names.values()), "max")
 
 
 def pooled(w: DataFrame) -> DataFrame:
@@ -82,6 +86,6 @@ def stratified(samples: DataFrame) -> DataFrame:
     ``samples``: stratum ``w``, population ``nn``, value ``x``.  Strata with one sample add no variance.
     """
     s = samples.groupBy("w").agg(F.max("nn").alias("nn"), F.count("*").alias("m"), F.avg("x").alias("mean"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("s2"))
-    share = F.col("nn") / F.sum("nn").over(Window.partitionBy())
-    s = s.withColumn("share", share)
+    whole = s.agg(F.sum("nn").alias("whole"))  # one row
+    s = s.join(F.broadcast(whole)).withColumn("share", F.col("nn") / F.col("whole"))
     return s.agg(F.sum(F.col("share") * F.col("mean")).alias("mu"), F.sum(F.when(F.col("m") > 1, F.col("share") ** 2 * (1 - F.col("m") / F.col("nn")) * F.col("s2") / F.col("m")).otherwise(0.0)).alias("var"), F.sum("m").alias("m"))

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.special import _NORMAL, student_t_ppf
+from tidemark.functions.special import _NORMAL, norm_cdf, sign_test_p, student_t_ppf
+
+from .ordering import average_ranks
+
+
+def picks(g: int, b: int, seed: int | tuple[int, ...], cells: int = 4_000_000) -> Iterator[np.ndarray]:
+    """``b`` resamples of ``g`` places, some rows at a time; the blocks together are those of one draw."""
+    rng, step = np.random.default_rng(seed), max(1, cells // g)
+    for k in range(0, b, step):
+        yield rng.integers(0, g, size=(min(step, b - k), g))
 
 
 def bca(values: np.ndarray, b: int = 5000, seed: int = 20260829, alpha: float = 0.05) -> dict[str, float]:
     """Window bootstrap of the mean: percentile and bias-corrected accelerated endpoints."""
     g = len(values)
-    means = values[np.random.default_rng(seed).integers(0, g, size=(b, g))].mean(axis=1)
+    means = np.concatenate([values[pick].mean(axis=1) for pick in picks(g, b, seed)])
     observed = values.mean()
     below = float(np.clip((means < observed).mean(), 1.0 / (b + 1), 1 - 1.0 / (b + 1)))
     z0 = _NORMAL.inv_cdf(below)
@@ -47,8 +58,7 @@ def cluster_bootstrap(clusters: DataFrame, by: str, *, b: int = 2000, seed: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
         t, n = pdf["total"].to_numpy(), pdf["n"].to_numpy()
-        pick = np.random.default_rng(seed).integers(0, len(t), size=(b, len(t)))
-        means = np.sort(t[pick].sum(axis=1) / n[pick].sum(axis=1))
+        means = np.sort(np.concatenate([t[pick].sum(axis=1) / n[pick].sum(axis=1) for pick in picks(len(t), b, seed)]))
         return pd.DataFrame([{by: pdf[by].iloc[0], "clusters": len(t), "mean": t.sum() / n.sum(), "low": means[int(0.025 * b)], "high": means[int(0.975 * b) - 1]}])
 
     kind = clusters.schema[by].dataType.simpleString()
@@ -63,8 +73,8 @@ def bootstrap_t_log(windows: DataFrame, by: str, *, b: int = 2000, seed: int = 1
         g, m = len(v), v.mean()
         row = {by: pdf[by].iloc[0], "mean": m, "low": None, "high": None, "degenerate": 0}
         if g > 1 and m > 0 and v.std(ddof=1) > 0:
-            x = v[np.random.default_rng(seed).integers(0, g, size=(b, g))]
-            means, se = x.mean(axis=1), x.std(axis=1, ddof=1) / np.sqrt(g)
+            parts = [(x.mean(axis=1), x.std(axis=1, ddof=1) / np.sqrt(g)) for x in (v[pick] for pick in picks(g, b, seed))]
+            means, se = (np.concatenate(p) for p in zip(*parts, strict=True))
             good = (se > 0) & (means > 0)
             t = (np.log(means[good]) - np.log(m)) / (se[good] / means[good])
             own = v.std(ddof=1) / np.sqrt(g) / m
@@ -86,7 +96,7 @@ def position_bootstrap(samples: DataFrame, *, b: int = 500, seed: int = 3) -> Da
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(pdf["x"].to_numpy())
         own = int(pdf["window_id"].iloc[0])
-        means = v[np.random.default_rng((seed, own)).integers(0, len(v), size=(b, len(v)))].mean(axis=1)
+        means = np.concatenate([v[pick].mean(axis=1) for pick in picks(len(v), b, (seed, own))])
         return pd.DataFrame({"r": np.arange(b), "m": means * len(v), "n": len(v)})
 
     r = samples.groupBy("window_id").applyInPandas(run, "r int, m double, n long").groupBy("r").agg((F.sum("m") / F.sum("n")).alias("mean"))
@@ -105,6 +115,28 @@ def delta_t_log(windows: DataFrame, by: str, alpha: float = 0.05) -> DataFrame:
     return d.select(by, "windows", F.round("mean", 9).alias("mean"), F.when(ok, F.round(F.exp(F.log("mean") - half), 8)).alias("low"), F.when(ok, F.round(F.exp(F.log("mean") + half), 8)).alias("high"), (F.col("windows") < 10).alias("small_g"))
 
 
+def signed_ranks(d: DataFrame, by: str, gap: str) -> DataFrame:
+    """``n``, ``w_plus`` and tie-corrected ``z`` of the Wilcoxon signed-rank test; gaps of zero are left out."""
+    n, t = F.col("n").cast("double"), F.col("t").cast("double")
+    ranked = average_ranks(d.where(F.col(gap) != 0).select(by, gap), by, F.abs(gap))
+    s = ranked.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(gap) > 0, F.col("rk")).otherwise(0.0)).alias("w_plus"), F.sum(t * t - 1).alias("ties"))
+    z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return s.select(by, "n", "w_plus", z.alias("z"))
+
+
+def paired_report(pairs: DataFrame, by: str) -> DataFrame:
+    """One row for each group of ``pairs`` (``by``, ``window_id``, ``b_minus_a``): mean, t and BCa intervals, wins, sign
+    and Wilcoxon tests.  Lower is better: a positive gap is a win of a.  Under two windows there is no interval.
+    """
+    gap = F.col("b_minus_a")
+    g = pairs.groupBy(by).agg(F.count("*").alias("windows"), F.avg(gap).alias("b_minus_a"), F.stddev_samp(gap).alias("sd"), F.count_if(gap > 0).alias("a_better"), F.count_if(gap < 0).alias("b_better"), F.count_if(gap == 0).alias("ties"))
+    half = student_t_ppf(F.lit(0.975), (F.col("windows") - 1).cast("double")) * F.col("sd") / F.sqrt("windows")
+    w = signed_ranks(pairs, by, "b_minus_a").select(by, F.col("z").alias("wilcoxon_z"), F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs("z")))).alias("wilcoxon_p"))
+    own = bca_by(pairs.select(by, "window_id", gap.alias("m")), by).select(by, "bca_low", "bca_high")
+    d = g.withColumns({"half": half, "sign_p": sign_test_p("a_better", "b_better")}).join(own, by).join(w, by, "left")
+    return d.select(by, "windows", "b_minus_a", (gap - F.col("half")).alias("t_low"), (gap + F.col("half")).alias("t_high"), "bca_low", "bca_high", "a_better", "b_better", "ties", "sign_p", "wilcoxon_z", "wilcoxon_p")
+
+
 def coverage(cells: DataFrame, *, reps: int = 2000, seed: int = 5) -> DataFrame:
     """Measured coverage of the t interval on logs for log-normal windows.  ``cells``: g, cv."""
 

@@ -56,7 +56,7 @@ def duplicates(d: DataFrame, keys: list[str], id_col: str, live: str) -> DataFra
 
 
 def ranked(d: DataFrame, key: list[str], value: str, id_col: str) -> DataFrame:
-    """Rank within key and lane, ascending, nulls last, ties by id."""
+    """Rank within key and lane, ascending, nulls last, ties by id; for the first few of each.  ``ordering.placed`` ranks all."""
     return d.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(value), id_col)))
 
 

@@ -27,6 +27,14 @@ def scored(embeddings: DataFrame, *, bits: int, kind: str = "perrow") -> DataFra
     return d.withColumns({"kld": V.kl(F.col("lp"), F.col("lq")), "jsd": V.jsd_bits(F.col("lp"), F.col("lq")), "top1_match": (V.first_argmax(F.col("teacher")) == V.first_argmax(F.col("candidate"))).cast("int")})
 
 
+def scored_at(embeddings: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """A row for each width: ``bits``, ``kld``, ``top1_match``.  The table is read, and the teacher scored, once."""
+    t = rows(embeddings, bits=widths[0]).select("teacher", V.log_softmax(F.col("teacher")).alias("lp"), V.first_argmax(F.col("teacher")).alias("best"))
+    each = F.array(*(F.struct(F.lit(b).alias("bits"), V.rtn_symmetric(F.col("teacher"), b).alias("w")) for b in widths))
+    d = t.select("lp", "best", F.explode(each).alias("c"))
+    return d.select("c.bits", V.kl(F.col("lp"), V.log_softmax(F.col("c.w"))).alias("kld"), (V.first_argmax(F.col("c.w")) == F.col("best")).cast("int").alias("top1_match"))
+
+
 def offset_audit(d: DataFrame, offsets: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
     """Mean divergence with the candidate's rows shifted within their window; edge rows drop out.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
-from tidemark.operators import scoring, sketch
+from tidemark.operators import ordering, scoring, sketch
 
 from .catalog import query, table
 from .vector_queries import SQL_KL, sql_lp
@@ -48,12 +48,15 @@ def depth_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stats_block", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, CAST(0.5 AS DOUBLE)), 4) AS median, round(quantile_cont(l_extendedprice, CAST(0.95 AS DOUBLE)), 4) AS p95, round(quantile_cont(l_extendedprice, CAST(0.99 AS DOUBLE)), 4) AS p99, round(quantile_cont(l_extendedprice, CAST(0.999 AS DOUBLE)), 4) AS p999, round(max(l_extendedprice), 4) AS max FROM lineitem GROUP BY l_returnflag")
 def stats_block(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*A.stats_block("l_extendedprice", 4))
+    return A.stats_block(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", 4)
 
 
 @query("rental_spread", "WITH g AS (SELECT l_returnflag AS provider, l_linestatus AS gpu, count(*) AS n, min(l_extendedprice) AS lo, quantile_cont(l_extendedprice, CAST(0.5 AS DOUBLE)) AS med, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1, 2) SELECT provider, gpu, n, round(lo, 4) AS lowest, round(med, 4) AS median, round(hi, 4) AS highest, round(hi / nullif(lo, 0), 2) AS spread, row_number() OVER (ORDER BY med NULLS LAST, provider, gpu) AS place FROM g")
 def rental_spread(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("provider"), F.col("l_linestatus").alias("gpu")).agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("lo"), F.percentile("l_extendedprice", F.lit(0.5)).alias("med"), F.max("l_extendedprice").alias("hi"))
+    by = ["provider", "gpu"]
+    d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("provider"), F.col("l_linestatus").alias("gpu"), "l_extendedprice")
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    g = g.join(ordering.wide(ordering.quantiles(d, by, "l_extendedprice", [0.5]), by, {0.5: "med"}), by, "left")
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("med"), "provider", "gpu")).cast("long")  # a row per pair
     return g.select("provider", "gpu", "n", F.round("lo", 4).alias("lowest"), F.round("med", 4).alias("median"), F.round("hi", 4).alias("highest"), F.round(F.try_divide("hi", "lo"), 2).alias("spread"), place.alias("place"))
 

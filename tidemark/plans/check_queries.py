@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import constraints
 from tidemark.operators import corpus as C
+from tidemark.operators import ordering
 from tidemark.operators import registry as R
 
 from .catalog import query, table
@@ -28,11 +29,12 @@ def context_recheck(spark: SparkSession, sf: str) -> DataFrame:
     return C.calibration_overlap(w, table(spark, sf, "benchmark"), 12).agg(F.count_if(F.col("shared_ngrams") > 0).alias("rejected"))
 
 
-@query("suite_validation", "WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, sha256(text) AS h FROM documents), v AS (SELECT source, count(*) AS n, count(DISTINCT h) AS hashes, max(position) AS last, sha256(string_agg(h, chr(10) ORDER BY position)) AS suite FROM s GROUP BY source) SELECT source, n - hashes AS repeated_hashes, last = n - 1 AS dense, suite FROM v")
+@query("suite_validation", "WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, sha256(text) AS h FROM documents), v AS (SELECT source, count(*) AS n, count(DISTINCT h) AS hashes, max(doc_id) - min(doc_id) + 1 AS span, sha256(string_agg(h, chr(10) ORDER BY position)) AS suite FROM s GROUP BY source) SELECT source, n - hashes AS repeated_hashes, span = n AS dense, suite FROM v")
 def suite_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated digests, whether ids are dense, and the suite's digest: one row of all its digests, as the format asks."""
     s = docs(spark, sf).select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    v = s.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("h").alias("k"), F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("rows"))
-    return v.select("source", (F.col("n") - F.col("k")).alias("repeated_hashes"), (F.size("rows") == F.col("n")).alias("dense"), F.sha2(F.array_join(F.transform("rows", lambda r: r["h"]), "\n"), 256).alias("suite"))
+    v = s.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("h").alias("k"), (F.max("doc_id") - F.min("doc_id") + 1).alias("span"), F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("rows"))
+    return v.select("source", (F.col("n") - F.col("k")).alias("repeated_hashes"), (F.col("span") == F.col("n")).alias("dense"), F.sha2(F.array_join(F.transform("rows", lambda r: r["h"]), "\n"), 256).alias("suite"))
 
 
 @query("surface_sniff", "SELECT CASE WHEN p_name LIKE '%.gguf' OR p_type LIKE '%STEEL' THEN 'gguf' WHEN p_type LIKE 'PROMO%' THEN 'exl3' WHEN p_size < 10 THEN 'mlx' WHEN p_brand = 'Brand#11' THEN 'nvfp4' ELSE 'unknown' END AS surface, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
@@ -63,7 +65,9 @@ def digest_preimages(spark: SparkSession, sf: str) -> DataFrame:
 @query("pooled_percentile_refusal", "SELECT l_returnflag, CASE WHEN count(l_tax) = count(*) AND l_returnflag <> 'N' THEN round(quantile_cont(l_tax, CAST(0.99 AS DOUBLE)), 9) END AS p99, CASE WHEN l_returnflag = 'N' THEN 'refused: no token rows' END AS reason FROM lineitem GROUP BY l_returnflag")
 def pooled_percentile_refusal(spark: SparkSession, sf: str) -> DataFrame:
     """A pooled percentile needs the pooled rows: percentiles of windows can't be combined into one."""
-    g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_tax", F.lit(0.99)).alias("p"), (F.count("l_tax") == F.count("*")).alias("whole"))
+    d, by = table(spark, sf, "lineitem").select("l_returnflag", "l_tax"), ["l_returnflag"]
+    p = ordering.wide(ordering.quantiles(d.where("l_returnflag <> 'N'"), by, "l_tax", [0.99]), by, {0.99: "p"})
+    g = d.groupBy(*by).agg((F.count("l_tax") == F.count("*")).alias("whole")).join(p, by, "left")
     refused = F.col("l_returnflag") == "N"
     return g.select("l_returnflag", F.when(F.col("whole") & ~refused, F.round("p", 9)).alias("p99"), F.when(refused, "refused: no token rows").alias("reason"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import special as S
 from tidemark.operators import inference as I
+from tidemark.operators import ordering
 
 from .aggregate_queries import k_rows, sql_k
 from .catalog import query, table
@@ -37,14 +38,22 @@ def paired_delta(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).groupBy("label").agg(F.count("*").alias("windows"), F.round(-F.avg("d"), 9).alias("b_minus_a"), F.round(F.stddev_samp("d") / F.sqrt(F.count("*")), 9).alias("se"))
 
 
+@query("paired_report")
+def paired_report(spark: SparkSession, sf: str) -> DataFrame:
+    return I.paired_report(pairs(spark, sf).select("label", "window_id", (-F.col("d")).alias("b_minus_a")), "label")
+
+
 @query("sign_counts", f"WITH {PAIR} SELECT label, CAST(count(*) FILTER (d < 0) AS BIGINT) AS a_better, CAST(count(*) FILTER (d > 0) AS BIGINT) AS b_better, CAST(count(*) FILTER (d = 0) AS BIGINT) AS ties FROM p GROUP BY label")
 def sign_counts(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).groupBy("label").agg(F.count_if(F.col("d") < 0).alias("a_better"), F.count_if(F.col("d") > 0).alias("b_better"), F.count_if(F.col("d") == 0).alias("ties"))
 
 
-@query("sign_test")
+SIGN_P = "CASE WHEN a_better + b_better > 0 THEN round(least(1, 2 * list_sum([exp(lgamma(a_better + b_better + 1) - lgamma(k + 1) - lgamma(a_better + b_better - k + 1) - (a_better + b_better) * ln(CAST(2 AS DOUBLE))) FOR k IN range(0, least(a_better, b_better) + 1)])), 10) ELSE CAST('NaN' AS DOUBLE) END"
+
+
+@query("sign_test", f"WITH {PAIR}, s AS (SELECT label, CAST(count(*) FILTER (d < 0) AS BIGINT) AS a_better, CAST(count(*) FILTER (d > 0) AS BIGINT) AS b_better, CAST(count(*) FILTER (d = 0) AS BIGINT) AS ties FROM p GROUP BY label) SELECT *, {SIGN_P} AS p FROM s")
 def sign_test(spark: SparkSession, sf: str) -> DataFrame:
-    return sign_counts(spark, sf).withColumn("p", F.round(S.sign_test_p("a_better", "b_better"), 12))
+    return sign_counts(spark, sf).withColumn("p", F.round(S.sign_test_p("a_better", "b_better"), 10))
 
 
 DOC = "d AS (SELECT l_orderkey AS doc, avg(l_discount - l_tax) AS diff FROM lineitem GROUP BY 1)"
@@ -73,8 +82,7 @@ WIL = "WITH d AS (SELECT event_type, event_id, round(value, 0) - 20 AS d FROM ev
 
 def ranks(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "events").select("event_type", "event_id", (F.round("value", 0) - 20).alias("d")).where("d <> 0")
-    w, ties = Window.partitionBy("event_type").orderBy(F.abs("d")), Window.partitionBy("event_type", F.abs("d"))
-    return d.withColumns({"t": F.count("*").over(ties), "rk": F.rank().over(w)}).withColumn("rk", F.col("rk") + (F.col("t") - 1) / 2)
+    return ordering.average_ranks(d, "event_type", F.abs("d"))
 
 
 @query("average_ranks", WIL + "SELECT event_type, event_id, rk FROM r")
@@ -84,10 +92,8 @@ def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("wilcoxon_ranks", WIL + ", s AS (SELECT event_type, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY 1) SELECT event_type, n, w AS w_plus, round((w - n * (n + 1) / CAST(4 AS DOUBLE)) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s")
 def wilcoxon_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    n, t = F.col("n").cast("double"), F.col("t").cast("double")
-    s = ranks(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w"), F.sum(t * t - 1).alias("ties"))
-    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return s.select("event_type", "n", F.col("w").alias("w_plus"), F.round(z, 9).alias("z"))
+    d = table(spark, sf, "events").select("event_type", (F.round("value", 0) - 20).alias("d"))
+    return I.signed_ranks(d, "event_type", "d").select("event_type", "n", "w_plus", F.round("z", 9).alias("z"))
 
 
 @query("wilcoxon_test")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordering
 from tidemark.operators import registry as R
 
 from .catalog import query, table
@@ -113,7 +114,7 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rank_in_key_lane", f"WITH {M} SELECT key, lane, id, row_number() OVER (PARTITION BY key, lane ORDER BY value NULLS LAST, id) AS place FROM m")
 def rank_in_key_lane(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ranked(measurements(spark, sf), ["key", "lane"], "value", "id").select("key", "lane", "id", F.col("place").cast("long").alias("place"))
+    return ordering.placed(measurements(spark, sf).select("key", "lane", "id", "value"), ["key", "lane"], "value", "id").select("key", "lane", "id", "place")
 
 
 @query("adjacent_pairs", f"WITH {M}, a AS (SELECT key, lane, artifact, avg(value) AS v FROM m GROUP BY 1, 2, 3), r AS (SELECT *, lead(artifact) OVER w AS nxt, lead(v) OVER w AS nv FROM a WINDOW w AS (PARTITION BY key, lane ORDER BY v, artifact)) SELECT key, lane, artifact AS lower_artifact, nxt AS higher_artifact, round(nv - v, 6) AS higher_minus_lower FROM r WHERE nxt IS NOT NULL")
@@ -281,8 +282,8 @@ def largest_feasible(spark: SparkSession, sf: str) -> DataFrame:
 @query("jackknife_means", "WITH w AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) SELECT event_type, user_id, round((sum(m) OVER (PARTITION BY event_type) - m) / nullif(count(*) OVER (PARTITION BY event_type) - 1, 0), 9) AS without FROM w")
 def jackknife_means(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m"))
-    p = Window.partitionBy("event_type")
-    return w.select("event_type", "user_id", F.round(F.try_divide(F.sum("m").over(p) - F.col("m"), F.count("*").over(p) - 1), 9).alias("without"))
+    whole = w.groupBy("event_type").agg(F.sum("m").alias("s"), F.count("*").alias("n"))
+    return w.join(whole, "event_type").select("event_type", "user_id", F.round(F.try_divide(F.col("s") - F.col("m"), F.col("n") - 1), 9).alias("without"))
 
 
 @query("shard_overlap", "SELECT o_orderkey AS idx, count(*) AS shards FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 1 OR o_orderkey % 40 = 1) GROUP BY 1 HAVING count(*) > 1")

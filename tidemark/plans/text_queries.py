@@ -81,8 +81,11 @@ def near_duplicate_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("near_dup_summary", AUDIT + "SELECT count(*) AS documents, round(avg(containment), 9) AS mean, round(quantile_cont(containment, CAST(0.95 AS DOUBLE)), 9) AS p95, round(quantile_cont(containment, CAST(0.99 AS DOUBLE)), 9) AS p99, round(max(containment), 9) AS worst FROM au")
 def near_dup_summary(spark: SparkSession, sf: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("containment", F.lit(p)), 9)
-    return audit(spark, sf).agg(F.count("*").alias("documents"), F.round(F.avg("containment"), 9).alias("mean"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.max("containment"), 9).alias("worst"))
+    # shares of at most 46 positions: there are no more than some 1,000 different ones, and their counts decide
+    c = audit(spark, sf).groupBy("containment").agg(F.count("*").alias("n"))
+    q = lambda p: F.round(F.percentile("containment", F.lit(p), F.col("n")), 9)
+    mean = F.sum(F.col("containment") * F.col("n")) / F.sum("n")
+    return c.agg(F.sum("n").alias("documents"), F.round(mean, 9).alias("mean"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.round(F.max("containment"), 9).alias("worst"))
 
 
 @query("top_near_duplicates", AUDIT + "SELECT doc_id, longest_run_words, round(containment, 9) AS containment FROM au ORDER BY round(containment, 9) DESC, longest_run_words DESC, doc_id LIMIT 20")

@@ -86,11 +86,8 @@ def jsd_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("top1_agreement", " UNION ALL ".join(f"(WITH {sql_lp(b)} SELECT {b} AS bits, count(*) AS positions, CAST(sum(CASE WHEN list_position(v, list_max(v)) = list_position(w, list_max(w)) THEN 1 ELSE 0 END) AS BIGINT) AS matches, round(avg({SQL_KL}), 9) AS mean_kld FROM lp)" for b in (2, 3, 4, 6, 8)))
 def top1_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    e, out = table(spark, sf, "embeddings"), None
-    for bits in (2, 3, 4, 6, 8):
-        part = scoring.scored(e, bits=bits).agg(F.count("*").alias("positions"), F.sum(F.col("top1_match").cast("long")).alias("matches"), F.round(F.avg("kld"), 9).alias("mean_kld")).select(F.lit(bits).alias("bits"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    d = scoring.scored_at(table(spark, sf, "embeddings"), (2, 3, 4, 6, 8))
+    return d.groupBy("bits").agg(F.count("*").alias("positions"), F.sum(F.col("top1_match").cast("long")).alias("matches"), F.round(F.avg("kld"), 9).alias("mean_kld"))
 
 
 @query("entropy_rows", f"WITH {sql_lp(4)} SELECT vec_id, round(-list_sum([exp(x) * x FOR x IN p]), 9) AS entropy FROM lp")
