@@ -1,6 +1,7 @@
 """Pages, urls and conversations: against plain Python and in awkward cases."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -59,8 +60,21 @@ def test_urls_match_brute_force(spark):
     rules = [*queries.URL_RULES, ("block", "b.example.com/"), ("allow", "a.b.example.com/en/x"), ("block", "org/")]
     d = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 3)], "page_id long, url string, host string")
     want = sorted((i, *verdict(u, rules, "allow")) for i, u in enumerate(URLS * 3))
-    for salts in (1, 64):
-        got = sorted(map(tuple, url_filter.url_verdicts(d, url_filter.rules_frame(spark, rules), salts=salts).collect()))
+    for part_rows in (2, 1 << 20):
+        got = sorted(map(tuple, url_filter.url_verdicts(d, url_filter.rules_frame(spark, rules), part_rows=part_rows).collect()))
+        assert str(got) == str(want)
+
+
+def test_nested_path_rules_match_brute_force(spark):
+    rng = random.Random(2)
+    path = lambda n: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(n)))
+    host = lambda: ".".join(rng.choice("xyz") for _ in range(rng.randrange(1, 4)))
+    rules = sorted({h + p: (rng.choice(["allow", "block"]), h + p) for h, p in ((host(), path(5)) for _ in range(150))}.values(), key=lambda r: r[1])
+    urls = [f"http://{host()}{path(8)}?q" for _ in range(400)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted((i, *verdict(u, rules, "allow")) for i, u in enumerate(urls))
+    for part_rows in (7, 1 << 20):
+        got = sorted(map(tuple, url_filter.url_verdicts(d, url_filter.rules_frame(spark, rules), part_rows=part_rows).collect()))
         assert str(got) == str(want)
 
 

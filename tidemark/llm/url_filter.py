@@ -1,16 +1,18 @@
 """URL filters by a sort-merge range join, in DataFrame expressions only.
 
-A host becomes its labels in reverse, each ended by a dot (``www.a.com`` ->
-``com.a.www.``), so a host rule covers one interval of that order: every key that
-begins with its own.  Such intervals nest and never cross.  Rule bounds and urls are
-sorted together and swept once: behind the rule's opening bound the stack of active
-rules is the rule and its enclosing rules, behind its closing bound the stack is that
-of the enclosing rules.  A url takes the stack of the bound last swept, and of that
-stack the longest rule whose path begins the url's path.
-
-The sweep runs in blocks of the sorted order (the first two labels and the beginning
-of the third).  A block starts with the stack that is active where it begins, and is
-dealt out over ``salts`` equal parts, so a host with a third of all urls is spread.
+A host becomes its labels in reverse, each ended by a dot (``www.a.com`` -> ``com.a.www.``), so a rule's host
+covers one interval of that order: every key that begins with its own.  Such intervals nest and never
+cross.  Bounds and urls are sorted together and swept once: behind a host's opening bound the stack of active
+hosts is that host and those around it, behind its closing bound the stack is that of the hosts around it.  A
+url takes the stack of the bound last swept: at most one host for each of its labels.
+
+Paths are prefixes too, so among the rules of one host they are intervals that nest.  A second sweep, over (host of
+the rule, path), gives a url the innermost of them by the bound last swept, however many rules a host has.
+The longest over the url's hosts wins.
+
+Both sweeps run in parts: the first in blocks of the order (the first two labels and the beginning of the third),
+which start with the stack that is active there, the second by host of the rule.  Both are counted, and dealt out
+over as many equal parts as they need to have at most ``part_rows`` urls, so a host with a third of all urls is spread.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER
+from .common import ASCII_LOWER, ASCII_UPPER, written
 
 LAST = "\U0010ffff"  # sorts behind every label
 
@@ -49,16 +51,81 @@ def block_of(key: Column) -> Column:
     return F.concat_ws(".", F.coalesce(F.get(labels, F.lit(0)), F.lit("")), F.coalesce(F.get(labels, F.lit(1)), F.lit("")), F.substring(F.coalesce(F.get(labels, F.lit(2)), F.lit("")), 1, 2))
 
 
-def _stacks(keys: DataFrame, rules: DataFrame, strict: bool) -> DataFrame:
-    """For each key of ``keys``, the rules of its host and the hosts above it (``strict``: only above)."""
+def _stacks(keys: DataFrame, hosts: DataFrame, strict: bool) -> DataFrame:
+    """For each key of ``keys``, the hosts of rules at and above it (``strict``: only above)."""
     above = keys.select("key", F.explode(prefixes_of(F.col("key"))).alias("rkey"))
     if strict:
         above = above.where("rkey <> key")
-    found = above.join(rules, "rkey").groupBy("key").agg(F.collect_list("rule").alias("stack"))
-    return keys.join(found, "key", "left").select("key", F.coalesce("stack", F.array().cast(found.schema["stack"].dataType)).alias("stack"))
+    found = above.join(hosts, "rkey").groupBy("key").agg(F.collect_list("rkey").alias("stack"))
+    return keys.join(found, "key", "left").select("key", F.coalesce("stack", F.array().cast("array<string>")).alias("stack"))
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = 64) -> DataFrame:
+def _dealt(urls: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """``urls`` with ``salt``: its part of those that ``sizes`` (``by``, ``parts``) asks for.
+
+    Only what needs several parts is broadcast: there are at most rows / ``part_rows`` of that.  Urls without ``by``
+    meet no bound and are spread.
+    """
+    several = F.broadcast(sizes.where("parts > 1").select(by, "parts"))
+    parts = F.when(F.col(by).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("parts", F.lit(1)))
+    return urls.join(several, by, "left").withColumn("salt", F.pmod(F.xxhash64("row"), parts)).drop("parts")
+
+
+def _parts(n: str, part_rows: int) -> Column:
+    return F.ceil(F.col(n) / part_rows).alias("parts")
+
+
+def _each_part(sizes: DataFrame) -> DataFrame:
+    return sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
+def _rule_hosts(urls: DataFrame, rules: DataFrame, part_rows: int) -> DataFrame:
+    """The first sweep: ``urls`` with ``active``, the hosts of rules that fit a url's host."""
+    hosts = rules.select("rkey").distinct()
+    keyed = urls.withColumn("block", block_of(F.col("key")))
+    start = F.concat(F.array_join(F.slice(F.split("key", r"\."), 1, 2), "."), F.lit("."))
+    sizes = keyed.groupBy("block").agg(F.first(start).alias("start"), F.count("*").alias("n")).select("block", "start", _parts("n", part_rows))
+    blocks = _each_part(sizes)
+
+    # where a block begins: the hosts above it that were opened in an earlier block
+    entry = _stacks(blocks.select(F.col("start").alias("key")).distinct(), hosts, strict=False).withColumnRenamed("key", "start")
+    begins = blocks.join(entry, "start").select("block", "salt", F.lit("").alias("key"), F.lit(0).alias("kind"), "stack")
+
+    # bounds within the blocks: one opening and one closing key per host
+    keys = hosts.select(F.col("rkey").alias("key"))
+    opens = _stacks(keys, hosts, strict=False).select("key", F.lit(1).alias("kind"), "stack")
+    closes = _stacks(keys, hosts, strict=True).select(F.concat("key", F.lit(LAST)).alias("key"), F.lit(3).alias("kind"), "stack")
+    bounds = opens.unionByName(closes).withColumn("block", block_of(F.col("key"))).join(blocks.select("block", "salt"), "block")
+
+    none = F.lit(None)
+    events = begins.unionByName(bounds.select(*begins.columns)).select("*", *(none.cast(f.dataType).alias(f.name) for f in urls.schema if f.name != "key"))
+    events = events.unionByName(_dealt(keyed, sizes, "block").withColumns({"kind": F.lit(2), "stack": none.cast("array<string>")}))
+    sweep = Window.partitionBy("block", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 2").select(*urls.columns, "active")
+
+
+def _innermost(pairs: DataFrame, urls: DataFrame, rules: DataFrame, part_rows: int) -> DataFrame:
+    """The second sweep: ``pairs`` of a url and the host of a rule with ``rule``, that host's longest for the url's path."""
+    hosts = rules.select("rkey").distinct()
+    under = urls.groupBy("key").agg(F.count("*").alias("n")).select(F.explode(prefixes_of(F.col("key"))).alias("rkey"), "n")
+    sizes = hosts.join(under, "rkey").groupBy("rkey").agg(F.sum("n").alias("n")).select("rkey", _parts("n", part_rows))
+
+    length = F.length("path")
+    inner = rules.select("rkey", "path", F.explode(F.when(length > 0, F.sequence(F.lit(0), length - 1))).alias("cut")).select("rkey", "path", F.substring("path", F.lit(1), F.col("cut")).alias("outer"))
+    outer = inner.join(rules.select("rkey", F.col("path").alias("outer"), F.col("rule").alias("around")), ["rkey", "outer"]).groupBy("rkey", "path").agg(F.max_by("around", F.length("outer")).alias("around"))
+    nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema["rule"].dataType))
+    opens = rules.select("rkey", F.col("path").alias("at"), F.lit(1).alias("kind"), F.col("rule").alias("bound"))
+    closes = rules.join(outer, ["rkey", "path"], "left").select("rkey", F.concat("path", F.lit(LAST)).alias("at"), F.lit(3).alias("kind"), F.coalesce("around", nothing).alias("bound"))
+    bounds = opens.unionByName(closes).join(_each_part(sizes), "rkey")
+
+    none = F.lit(None)
+    events = bounds.select("*", *(none.cast(f.dataType).alias(f.name) for f in pairs.schema if f.name != "rkey"))
+    events = events.unionByName(_dealt(pairs, sizes, "rkey").withColumns({"at": F.col("path"), "kind": F.lit(2), "bound": none.cast(rules.schema["rule"].dataType)}))
+    sweep = Window.partitionBy("rkey", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("rule", F.last("bound", ignorenulls=True).over(sweep)).where("kind = 2").select(*pairs.columns, "rule")
+
+
+def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", part_rows: int = 1 << 20) -> DataFrame:
     """One row per row of ``pages``: id, ``host``, ``path``, ``rule``, ``verdict``.
 
     ``rules`` has ``rule_host``, ``rule_path`` and ``action``.  A rule fits its host and
@@ -66,36 +133,22 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     wins, of equals the first in alphabetical order, of repeats ``block``.  No rule:
     ``rule`` is null and the verdict ``default``.  Null urls and urls without ``://`` have
     an empty host and path.  Empty tables give empty results; repeated rows stay; other
-    columns of ``pages`` are not read, whatever their names.
+    columns of ``pages`` are not read, whatever their names.  ``pages`` is read once: hosts and paths are written
+    to the shared folder.
     """
     rules = (
         rules.select(F.translate("rule_host", ASCII_UPPER, ASCII_LOWER).alias("host"), F.coalesce("rule_path", F.lit("")).alias("path"), "action")
         .where("host is not null")
-        .select(key_of(F.col("host")).alias("rkey"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("name"), "path", "action").alias("rule"))
-        .distinct()
+        .groupBy(key_of(F.col("host")).alias("rkey"), "host", "path")
+        .agg(F.min(F.struct((F.col("action") != "block").alias("later"), "action")).alias("first"))
+        .select("rkey", "path", F.struct((-F.length(F.concat("host", "path"))).alias("size"), F.concat("host", "path").alias("name"), F.col("first.action").alias("action")).alias("rule"))
     )
-    urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("key", key_of(F.col("host")))
-    salted = urls.withColumns({"block": block_of(F.col("key")), "salt": F.pmod(F.xxhash64("id", "path"), F.lit(salts)).cast("int")})
-
-    # where a block begins: the rules above it that were opened in an earlier block
-    blocks = salted.select("block", F.concat(F.array_join(F.slice(F.split("key", r"\."), 1, 2), "."), F.lit(".")).alias("key"), "salt").distinct()
-    entry = _stacks(blocks.select("key").distinct(), rules, strict=False).withColumnRenamed("key", "start")
-    begins = blocks.withColumnRenamed("key", "start").join(entry, "start").select("block", "salt", F.lit("").alias("key"), F.lit(0).alias("kind"), "stack")
-
-    # rule bounds within the blocks: one opening and one closing key per rule host
-    rule_keys = rules.select(F.col("rkey").alias("key")).distinct()
-    opens = _stacks(rule_keys, rules, strict=False).select("key", F.lit(1).alias("kind"), "stack")
-    closes = _stacks(rule_keys, rules, strict=True).select(F.concat("key", F.lit(LAST)).alias("key"), F.lit(3).alias("kind"), "stack")
-    bounds = opens.unionByName(closes).withColumn("block", block_of(F.col("key"))).join(blocks.select("block", "salt"), "block").select("block", "salt", "key", "kind", "stack")
-
-    none = F.lit(None)
-    events = begins.unionByName(bounds).select("*", none.cast(urls.schema["id"].dataType).alias("id"), none.cast("string").alias("host"), none.cast("string").alias("path"))
-    events = events.unionByName(salted.select("block", "salt", "key", F.lit(2).alias("kind"), none.cast(bounds.schema["stack"].dataType).alias("stack"), "id", "host", "path"))
-    sweep = Window.partitionBy("block", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 2")
-    fitting = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
-    best = F.get(F.array_sort(F.transform(fitting, lambda r: F.struct((-r["size"]).alias("size"), r["name"].alias("name"), (r["action"] != "block").alias("later"), r["action"].alias("action")))), F.lit(0))
-    return swept.withColumn("best", best).select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    urls = written(urls.withColumn("key", key_of(F.col("host"))), "urls")
+    swept = _rule_hosts(urls, rules, part_rows).select("row", "id", "host", "path", F.explode_outer("active").alias("rkey"))
+    judged = _innermost(swept, urls, rules, part_rows)
+    best = judged.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(F.when(F.col("rule.name").isNotNull(), F.col("rule"))).alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
