@@ -44,3 +44,40 @@ def test_run_equals_the_stages_one_after_the_other(spark):
 def test_names_and_modules():
     assert [n for n, _ in P.STAGES] == ["quality_rules", "toxicity", "simhash_near_dedup", "decontamination", "best_fit_packing"]
     assert P.ORACLE_SQL is None and best_fit.pack
+
+
+def tables(spark, folder, docs):
+    """A folder with ``docs`` and small other tables; labels have nulls, repeats and conflicts."""
+    from .fixtures import prose
+
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k % 40, k % 2, (k // 2) % 2 if k % 7 else None) for k in range(50)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, prose(2, 200)[100:400]), (2, None), (3, ""), (1, "again and again")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_every_stage_takes_awkward_rows(spark, tmp_path):
+    from .fixtures import documents
+
+    docs = documents(spark)
+    sf = tables(spark, tmp_path, docs)
+    ids = {r["doc_id"] for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema, name
+        assert {r["doc_id"] for r in out.collect()} <= ids
+    assert {r["doc_id"] for r in P.STAGES[-1][1](spark, docs, sf).collect()} == ids
+    kept = {r["doc_id"] for r in decontaminate.clean(docs, table(spark, sf, "benchmark")).collect()}
+    assert kept == ids - {2}
+    assert P.run(spark, sf).count() > 0
+
+
+def test_every_stage_takes_empty_tables(spark, tmp_path):
+    from .fixtures import empty
+
+    docs = empty(spark)
+    sf = tables(spark, tmp_path, docs)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema and out.count() == 0, name
+    assert P.run(spark, sf).count() == 0
