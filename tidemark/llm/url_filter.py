@@ -12,7 +12,8 @@ The longest over the url's hosts wins.
 
 Both sweeps run in parts: the first in blocks of the order (the first two labels and the beginning of the third),
 which start with the stack that is active there, the second by host of the rule.  Both are counted, and dealt out
-over as many equal parts as they need to have at most ``part_rows`` urls, so a host with a third of all urls is spread.
+over as many equal parts as they need to have at most ``part_rows`` urls, or half a shuffle partition's share if that is
+less, so a host with a third of all urls is spread.
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     )
     urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = written(urls.withColumn("key", key_of(F.col("host"))), "urls")
+    part_rows = min(part_rows, max(32, urls.count() // (2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     swept = _rule_hosts(urls, rules, part_rows).select("row", "id", "host", "path", F.explode_outer("active").alias("rkey"))
     judged = _innermost(swept, urls, rules, part_rows)
     best = judged.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(F.when(F.col("rule.name").isNotNull(), F.col("rule"))).alias("best"))
