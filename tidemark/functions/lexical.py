@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 
 # The ranges of Han and Kana characters.
 CJK = "㐀-䶿一-鿿\U00020000-\U000323af぀-ヿㇰ-ㇿｦ-ﾝ"
-WORDS_KEPT = 200_000
-_digests: dict[str, int] = {}
+WORDS_KEPT = 400_000
 
 
 def folded(text: str) -> str:
@@ -54,12 +53,21 @@ def word_tokens(text: str | None) -> list[str]:
     return _ascii_run.findall(text) if text.isascii() else _run().findall(_cjk.sub(r" \1 ", text))
 
 
+class _Digests(dict):
+    """64-bit digest of a word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return out
+
+
+_digests = _Digests()
+
+
 def digests(tokens: list[str]) -> np.ndarray:
-    """64-bit digest of every token; a worker keeps those of words, and starts anew when it holds too many."""
+    """The digest of every token; a worker keeps those of words, and starts anew when it holds too many."""
     if len(_digests) > WORDS_KEPT:
         _digests.clear()
-    for w in set(tokens).difference(_digests):
-        _digests[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     return np.fromiter(map(_digests.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -85,6 +93,18 @@ def keys_of(text: Column, n: int, distinct: bool = False) -> Column:
     return keys(text)
 
 
+def windows_of(text: Column, size: int) -> Column:
+    """Adjacent windows of ``size`` tokens, joined by blanks; what is left at the end is no window."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            own = map(word_tokens, batch)
+            yield pd.Series([[" ".join(t[i : i + size]) for i in range(0, len(t) - size + 1, size)] for t in own], dtype=object)
+
+    return windows(text)
+
+
 @F.pandas_udf(T.StringType())
 def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:

@@ -126,19 +126,18 @@ def near_duplicate_audit(docs: DataFrame, calibration: DataFrame, *, exact: int
 
 def token_windows(docs: DataFrame, size: int) -> DataFrame:
     """Adjacent windows of ``size`` lexical tokens; what is left at a text's end is dropped, as a window is a unit."""
-    w = docs.select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("t"))
-    w = w.where(F.size("t") >= size).select("doc_id", "lang", "source", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("t") / size).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("t", i * size + 1, size), " ").alias("x")))).alias("w"))
-    return w.select("doc_id", "lang", "source", F.col("w.i").alias("window_index"), F.col("w.x").alias("text"))
+    return docs.select("doc_id", "lang", "source", F.posexplode(L.windows_of(F.col("text"), size)).alias("window_index", "text"))
 
 
-def round_robin(windows: DataFrame, stratum: str, quota: int) -> DataFrame:
-    """One window of each document per round, until the stratum's quota.
+def round_robin(windows: DataFrame, stratum: str, quota: int, eligible: Column | None = None) -> DataFrame:
+    """One window of each document per round, until the stratum's quota of ``eligible`` ones (default: all).
 
-    A row's place in its stratum is its position in (round, document) order; only the first ``quota``
-    are kept, so Spark limits each group before the rows are gathered.
+    A window that isn't eligible uses up its document's turn and is not replaced in that round.  A row's place
+    in its stratum is its position in (round, document) order among the eligible; only the first ``quota`` are
+    kept, so Spark limits each group before the rows are gathered.
     """
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("window_index", "doc_id"))
-    return windows.withColumn("place", place).where(F.col("place") <= quota)
+    return (windows if eligible is None else windows.where(eligible)).withColumn("place", place).where(F.col("place") <= quota)
 
 
 def take_until(clusters: DataFrame, stratum: str, target: int) -> DataFrame:

@@ -192,6 +192,16 @@ def round_robin_quota(spark: SparkSession, sf: str) -> DataFrame:
     return C.round_robin(C.token_windows(docs(spark, sf), 64).drop("text"), "lang", 50).select("lang", "doc_id", "window_index", "place")
 
 
+@query("round_robin_eligible", WIN + f", b AS (SELECT DISTINCT unnest({sql_grams('c', 5)}) AS g FROM c), y AS (SELECT doc_id, lang, window_index, text, string_split(text, ' ') AS t FROM x), z AS (SELECT doc_id, window_index, unnest({sql_grams('t', 5)}) AS g FROM y), hit AS (SELECT DISTINCT doc_id, window_index FROM z SEMI JOIN b USING (g)), f AS (SELECT text, min((window_index, doc_id)) AS first FROM y GROUP BY text), e AS (SELECT y.* FROM y JOIN f ON y.text = f.text AND f.first = (y.window_index, y.doc_id) ANTI JOIN hit ON hit.doc_id = y.doc_id AND hit.window_index = y.window_index), r AS (SELECT lang, doc_id, window_index, row_number() OVER (PARTITION BY lang ORDER BY window_index, doc_id) AS place FROM e) SELECT lang, doc_id, CAST(window_index AS INTEGER) AS window_index, CAST(place AS INTEGER) AS place FROM r WHERE place <= 50")
+def round_robin_eligible(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that repeat an earlier one, or share a 5-gram with the calibration text, use up their document's turn."""
+    w = C.token_windows(docs(spark, sf), 64)
+    first = w.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("window_index", "doc_id")).alias("first"))
+    hits = C.calibration_overlap(w.select(F.struct("window_index", "doc_id").alias("doc_id"), "text"), table(spark, sf, "benchmark"), 5).where("shared_ngrams > 0").select(F.col("doc_id").alias("at"))
+    d = w.select("lang", "doc_id", "window_index", F.struct("window_index", "doc_id").alias("at"), F.sha2("text", 256).alias("digest")).join(first, "digest").where("at = first").join(hits, "at", "left_anti")
+    return C.round_robin(d, "lang", 50).select("lang", "doc_id", "window_index", "place")
+
+
 @query("panel_first_n", f"WITH {TOK}, e AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM t WHERE len(t) >= 128), s AS (SELECT * FROM e WHERE rn <= 4) SELECT lang, doc_id, row_number() OVER (ORDER BY lang, rn) AS window_number FROM s")
 def panel_first_n(spark: SparkSession, sf: str) -> DataFrame:
     e = docs(spark, sf).where(F.size(T.tokens(F.col("text"))) >= 128).select("lang", "doc_id")
