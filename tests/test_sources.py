@@ -61,3 +61,19 @@ def test_lease_machine_refuses_illegal_steps(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert {(r["user_id"], r["state"], r["refused"]) for r in spark.table("leases").collect()} == {(1, "TERMINAL", 1), (2, "", 1)}
+
+
+def test_a_line_that_names_a_key_twice_fails_the_read(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"id": 1, "x": {"a": 2}}\n\n{"id": 2, "x": null}\n')
+    (tmp_path / "bad.jsonl").write_text('{"id": 1, "x": {"a": 2, "a": 3}}\n')
+    schema = "id long, x struct<a:long>"
+    assert [(r["id"], r["x"] and r["x"]["a"]) for r in files.read_unique_jsonl(spark, f"{tmp_path}/good.jsonl", schema).collect()] == [(1, 2), (2, None)]
+    with pytest.raises(Exception, match="names a key twice"):
+        files.read_unique_jsonl(spark, f"{tmp_path}/bad.jsonl", schema).collect()
+
+
+def test_a_corpus_tree_is_read_with_its_strata(spark, tmp_path):
+    for name, text in (("a/x.txt", "one"), ("b/y.txt", "two")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert files.read_corpus_tree(spark, str(tmp_path)).count() == 2

@@ -114,3 +114,20 @@ def lineage(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         step = step.join(e, "node").where(~F.array_contains("path", F.col("parent"))).select("start", F.lit(hop).alias("hop"), F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
         out = out.unionByName(step)
     return out.select("start", "hop", "node")
+
+
+def in_partition(d: DataFrame, column: str, wanted: str, default: str = "analysis") -> DataFrame:
+    """Rows of the partition; those without one belong to ``default``."""
+    return d.where(F.coalesce(F.col(column), F.lit(default)) == wanted)
+
+
+def first_match(walk: DataFrame, known: DataFrame) -> DataFrame:
+    """Of a walk (start, hop, node) the first node that is ``known`` (node, matched, prio): least hop, then least prio, then node."""
+    best = F.min(F.struct("hop", "prio", "node", "matched")).alias("b")
+    return walk.join(known, "node").groupBy("start").agg(best).select("start", "b.hop", "b.node", "b.matched")
+
+
+def id_ngrams(ids: str, n: int) -> Column:
+    """Every run of ``n`` ids once; none where there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(ids) - (n - 1)), lambda i: F.slice(ids, i, n))
+    return F.when(F.size(ids) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<array<long>>"))

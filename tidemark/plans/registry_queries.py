@@ -379,3 +379,38 @@ def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+# --- selections and walks -------------------------------------------------------------------
+
+
+@query("partition_select", "SELECT partition, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'P' THEN 'selection' WHEN 'F' THEN 'analysis' END, 'analysis') AS partition FROM orders) GROUP BY partition")
+def partition_select(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by partition; a row without one belongs to the analysis."""
+    named = F.when(F.col("o_orderstatus") == "P", "selection").when(F.col("o_orderstatus") == "F", "analysis")
+    d = table(spark, sf, "orders").withColumn("partition", named)
+    parts = [R.in_partition(d, "partition", p).select(F.lit(p).alias("partition"), "o_orderkey") for p in ("selection", "analysis")]
+    return parts[0].unionByName(parts[1]).groupBy("partition").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("ranked_per_teacher", f"WITH {M}, a AS (SELECT key AS teacher, artifact, count(*) AS n, round(avg(value), 3) AS mean FROM m WHERE status <> 'P' GROUP BY 1, 2) SELECT teacher, artifact, n, mean, row_number() OVER (PARTITION BY teacher ORDER BY mean, artifact) AS place, round(mean - min(mean) OVER (PARTITION BY teacher), 3) AS behind_best FROM a")
+def ranked_per_teacher(spark: SparkSession, sf: str) -> DataFrame:
+    a = measurements(spark, sf).where("status <> 'P'").groupBy(F.col("key").alias("teacher"), "artifact").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"))
+    best = a.groupBy("teacher").agg(F.min("mean").alias("best"))
+    return ordering.placed(a, ["teacher"], "mean", "artifact").join(best, "teacher").select("teacher", "artifact", "n", "mean", "place", F.round(F.col("mean") - F.col("best"), 3).alias("behind_best"))
+
+
+@query("lineage_first_match", f"WITH RECURSIVE {EDGES}, w(start, hop, node, path) AS (SELECT p_partkey, 0, p_partkey, [p_partkey] FROM part UNION ALL SELECT start, hop + 1, parent, list_append(path, parent) FROM w JOIN e ON e.child = w.node WHERE hop < 5 AND NOT list_contains(path, parent)), h AS (SELECT start, hop, node, CASE WHEN p_size % 10 = 0 THEN 0 WHEN p_type LIKE 'PROMO%' THEN 1 END AS prio FROM w JOIN part ON p_partkey = node) SELECT start, min(hop) AS hop, arg_min(node, (hop, prio)) AS node, CASE arg_min(prio, (hop, prio)) WHEN 0 THEN 'artifact' ELSE 'model' END AS matched FROM h WHERE prio IS NOT NULL GROUP BY start")
+def lineage_first_match(spark: SparkSession, sf: str) -> DataFrame:
+    """From each part upwards, the first that is known: by itself before by its kind."""
+    p = table(spark, sf, "part")
+    known = p.where("p_size % 10 = 0").select(F.col("p_partkey").alias("node"), F.lit("artifact").alias("matched"), F.lit(0).alias("prio"))
+    kinds = p.where("p_type LIKE 'PROMO%'").select(F.col("p_partkey").alias("node"), F.lit("model").alias("matched"), F.lit(1).alias("prio"))
+    return R.first_match(lineage_walk(spark, sf), known.unionByName(kinds))
+
+
+@query("token_id_ngrams", "WITH t AS (SELECT vec_id, [CAST((vec_id * 31 + k * k) % 7 AS BIGINT) FOR k IN range(0, 64)] AS ids FROM embeddings) SELECT vec_id, CAST(len(list_distinct([array_to_string(ids[i:i+4], ',') FOR i IN range(1, 61)])) AS INTEGER) AS distinct_ngrams FROM t")
+def token_id_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Each n-gram of token ids once, as a set."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.col("vec_id") * 31 + k * k) % 7)
+    return table(spark, sf, "embeddings").select("vec_id", ids.alias("ids")).select("vec_id", F.size(R.id_ngrams("ids", 5)).alias("distinct_ngrams"))

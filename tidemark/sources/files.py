@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.codecs import bf16_to_float32
 
@@ -47,6 +48,20 @@ def unique_object(text: str) -> dict:
     return json.loads(text, object_pairs_hook=pairs, parse_constant=refuse)
 
 
+def read_unique_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As ``read_jsonl``, and a line in which any object names a key twice fails the read."""
+
+    @F.pandas_udf(T.StringType())
+    def checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for line in batch:
+                unique_object(line)
+            yield batch
+
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json(checked("value"), schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
 def npy_values(raw: bytes) -> np.ndarray:
     """A one-dimensional integer array in C order; anything else is refused."""
     if raw[:6] != b"\x93NUMPY":
