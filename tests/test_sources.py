@@ -77,3 +77,23 @@ def test_a_corpus_tree_is_read_with_its_strata(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     assert files.read_corpus_tree(spark, str(tmp_path)).count() == 2
+
+
+def test_the_ladder_adds_up_shards_and_refuses_what_arrives_twice(spark, tmp_path):
+    source, schema = tmp_path / "in", "idx long, n long, m double"
+    source.mkdir()
+
+    def arrive(name, rows):
+        (tmp_path / name).write_text("\n".join(json.dumps(dict(zip(("idx", "n", "m"), r, strict=True))) for r in rows))
+        (tmp_path / name).rename(source / name)
+        stream = spark.readStream.schema(schema).json(str(source))
+        query = jobs.ladder(stream, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/own").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    arrive("a.json", [(0, 10, 1.0), (1, 30, 2.0)])
+    arrive("b.json", [(2, 60, 3.0)])
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/ladder").orderBy("batch").select("contexts", "positions", "token_mean", "macro_mean").collect()]
+    assert got == [(2, 40, 1.75, 1.5), (3, 100, 2.5, 2.0)]
+    with pytest.raises(Exception, match="arrive twice"):
+        arrive("c.json", [(3, 1, 1.0), (1, 5, 9.0)])
+    assert spark.read.parquet(f"{tmp_path}/out/rows").count() == 3

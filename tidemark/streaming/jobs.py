@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import sketch
@@ -52,3 +54,34 @@ def lease_machine(events: DataFrame, allowed: list[tuple[str | None, str]], *, k
         yield pd.DataFrame([(k[0], was, refused, False)], columns=[key, "state", "refused", "expired"])
 
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, state string, refused long, expired boolean", "state string, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def ladder(shards: DataFrame, folder: str, *, index: str = "idx", value: str = "m", weight: str = "n") -> DataStreamWriter:
+    """Shards of scored contexts as they arrive, and after each batch the figures over all so far.
+
+    A batch's rows go to ``folder/rows/batch=<id>``, its checkpoint (``contexts``, ``positions``, ``token_mean``,
+    ``macro_mean``) to ``folder/ladder/batch=<id>``.  An index that was there before, in this batch or an earlier one,
+    refuses the batch: the stream fails and nothing of it is written.  A batch that is replayed after a failure
+    overwrites what it left.  Start the writer with a checkpoint location of its own.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark, rows = batch.sparkSession, f"{folder}/rows"
+        schema = f"{batch.schema.toDDL()}, batch long"
+        own = batch.withColumn("batch", F.lit(number).cast("long"))
+        try:
+            before = spark.read.schema(schema).parquet(rows).where(F.col("batch") != number)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            before = spark.createDataFrame([], schema)
+        twice = own.groupBy(index).count().where("count > 1").select(index).unionByName(own.select(index).join(before.select(index), index, "left_semi"))
+        found = twice.distinct().orderBy(index).limit(8).collect()
+        if found:
+            raise ValueError(f"contexts arrive twice: {[r[0] for r in found]}")
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        weighted = F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
+        every = spark.read.schema(schema).parquet(rows)
+        every.agg(F.count("*").alias("contexts"), F.sum(weight).alias("positions"), weighted.alias("token_mean"), F.avg(value).alias("macro_mean")).write.mode("overwrite").parquet(f"{folder}/ladder/batch={number}")
+
+    return shards.writeStream.foreachBatch(add)
