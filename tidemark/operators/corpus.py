@@ -16,6 +16,12 @@ from tidemark.functions import text as T
 SENT_KEYS = 4_000_000  # a calibration text's keys are sent to the tasks if there are no more: 32 MB
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where the scan has fewer parts than two a core: a small input, often of one row group."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores, "doc_id") if docs.rdd.getNumPartitions() < 2 * cores else docs
+
+
 def gram_set(d: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     """``key``: each n-gram of the texts once."""
     return d.select(F.explode(L.keys_of(F.col(text_col), n, distinct=True)).alias("key")).distinct()
@@ -50,7 +56,7 @@ def calibration_overlap(docs: DataFrame, calibration: DataFrame, n: int, most: f
                 own = [np.unique(L.gram_keys(L.digests(L.word_tokens(t)), n)) for t in batch]
                 yield pd.DataFrame({"distinct_ngrams": [len(k) for k in own], "shared_ngrams": [inside(k, known).sum() for k in own]}, dtype=np.int64)
 
-        d = docs.select("doc_id", counts("text").alias("c")).select("doc_id", "c.*")
+        d = spread(docs.select("doc_id", "text")).select("doc_id", counts("text").alias("c")).select("doc_id", "c.*")
     else:
         long = docs.select("doc_id", F.explode_outer(L.keys_of(F.col("text"), n, distinct=True)).alias("key"))
         d = long.join(keys.withColumn("hit", F.lit(1)), "key", "left").groupBy("doc_id").agg(F.count("key").alias("distinct_ngrams"), F.count("hit").alias("shared_ngrams"))
@@ -121,12 +127,12 @@ def near_duplicate_audit(docs: DataFrame, calibration: DataFrame, *, exact: int
         for batch in batches:
             yield pd.DataFrame([judged(t) for t in batch], columns=["words", "exact_hits", "longest_run_words", "containment"])
 
-    return docs.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
+    return spread(docs.select("doc_id", "text")).select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
 
 
 def token_windows(docs: DataFrame, size: int) -> DataFrame:
     """Adjacent windows of ``size`` lexical tokens; what is left at a text's end is dropped, as a window is a unit."""
-    return docs.select("doc_id", "lang", "source", F.posexplode(L.windows_of(F.col("text"), size)).alias("window_index", "text"))
+    return spread(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(L.windows_of(F.col("text"), size)).alias("window_index", "text"))
 
 
 def round_robin(windows: DataFrame, stratum: str, quota: int, eligible: Column | None = None) -> DataFrame:
