@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import best_fit, chat_format, decontaminate, html_extract, kneser_ney, quality_knn, quality_rules, simhash, toxicity, url_filter
+from . import ball_trees, best_fit, chat_format, decontaminate, hard_negatives, html_extract, kneser_ney, neighbours, quality_knn, quality_rules, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -72,6 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_trees.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_url_filter": op2_url_filter,
@@ -83,8 +96,34 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
+def _round_sql(n: int) -> str:
+    """A round over the centroids ``c{n}``: each vector's nearest one, and the centroids ``c{n + 1}``."""
+    return f"""
+n{n} AS (
+  SELECT vec_id, v, arg_min(c, d * 1024 + c) AS cluster, min(d) AS distance
+  FROM (SELECT row, vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM r CROSS JOIN c{n}) GROUP BY row, vec_id, v),
+c{n + 1} AS (
+  SELECT c, coalesce(any_value(w.m), any_value(c{n}.m)) AS m FROM c{n} LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS m FROM (
+      SELECT cluster, i, floor(sum(v[i]) / count(*)) AS x FROM n{n} CROSS JOIN range(1, 65) AS t(i) GROUP BY cluster, i) GROUP BY cluster) w ON w.cluster = c GROUP BY c),"""
+
+
+CLUSTERS_SQL = f"""
+WITH r AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM r WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT 16),{"".join(map(_round_sql, range(4)))}
+f AS (SELECT c, sha256(array_to_string(list_transform(m, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM c3)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM n3 JOIN f ON f.c = n3.cluster
+"""
+
 ORACLE = {
     "op2_url_filter": r"""
 WITH u AS (
@@ -115,5 +154,28 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   CAST(sum(text_chars + CASE WHEN merged THEN 8 ELSE 12 + role_chars + 1 + 11 END) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
+""",
+    "op11_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+""",
+    "op12_centroid_clusters": CLUSTERS_SQL,
+    "op13_nearest_neighbours": """
+WITH r AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v) AS score
+  FROM r a JOIN r b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """,
 }
