@@ -106,6 +106,19 @@ def q5_k(raw: bytes) -> np.ndarray:
     return ((d * s)[:, :, None].astype(np.float32) * codes - (dmin * m)[:, :, None].astype(np.float32)).ravel()
 
 
+def q3_k(raw: bytes) -> np.ndarray:
+    """Superblocks of 256: two low bits a code, a plane of third bits that are stored inverted, sixteen six-bit scales around 32."""
+    b = np.frombuffer(raw, np.uint8).reshape(-1, 110)
+    high, low, packed = b[:, :32], b[:, 32:96].reshape(-1, 2, 1, 32), b[:, 96:108].astype(np.int64)
+    fourth = np.concatenate([packed[:, :8] & 15, packed[:, :8] >> 4], axis=1)
+    top = (np.tile(packed[:, 8:], 4) >> np.repeat([0, 2, 4, 6], 4)) & 3
+    s = (fourth | top << 4) - 32
+    codes = ((low >> np.array([0, 2, 4, 6], np.uint8)[None, None, :, None]) & 3).reshape(-1, 8, 32).astype(np.float32)
+    codes -= 4 * (((high[:, None, :] >> np.arange(8, dtype=np.uint8)[None, :, None]) & 1) == 0)
+    d = b[:, 108:].copy().view(np.float16).astype(np.float32)
+    return ((d * s)[:, :, None].astype(np.float32) * codes.reshape(-1, 16, 16)).ravel()
+
+
 def q6_k(raw: bytes) -> np.ndarray:
     """Superblocks of 256: four low and two high bits a code, sixteen signed scales, one half-precision scale."""
     b = np.frombuffer(raw, np.uint8).reshape(-1, 210)
@@ -130,7 +143,7 @@ def iq4_xs(raw: bytes) -> np.ndarray:
     return ((d * s)[:, :, None].astype(np.float32) * codes).ravel()
 
 
-CODECS = {"F32": lambda r: np.frombuffer(r, "<f4"), "F16": lambda r: np.frombuffer(r, "<f2").astype(np.float32), "BF16": bf16_to_float32, "Q8_0": q8_0, "Q4_K": q4_k, "Q5_K": q5_k, "Q6_K": q6_k, "IQ4_XS": iq4_xs}
+CODECS = {"F32": lambda r: np.frombuffer(r, "<f4"), "F16": lambda r: np.frombuffer(r, "<f2").astype(np.float32), "BF16": bf16_to_float32, "Q8_0": q8_0, "Q3_K": q3_k, "Q4_K": q4_k, "Q5_K": q5_k, "Q6_K": q6_k, "IQ4_XS": iq4_xs}
 
 
 def decode(kind: str, raw: bytes) -> np.ndarray:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import closure
 from .registry import comparability_key, duplicates, floor_violations
 
 Registry = dict[str, DataFrame]
@@ -44,8 +45,9 @@ KEY_FIELDS = {"panel_id": "panel_ref", "reference_id": "reference_ref", "metric_
 CONTENT_EVIDENCE = "'tokenwise_kld_sha256', 'logits_tensor_sha256', 'hidden_state_tensor_sha256', 'sealed_tokenwise_digest'"
 HASHED_SOURCES = "'receipt_file', 'hf_file', 'github_file'"
 SEALED_LANE = "sealed-ep8"
+# How a census note spells a group of tensors; endings of source files, and a project whose name has one.
 CENSUS = r"\\b\\d+ x ([A-Za-z0-9_:.\\-]+?(?:@\\d+(?:\\.\\d+)?)?) \\("
-SOURCE_NAME = r"(?i)[^\\s(),]\\.(py|sh|c|cc|cpp|cu|h|hpp|rs|go|java|ts|js)[^\\w./-]*([\\s(),]|$)"
+SOURCE_NAME = r"(?i)(?<![^\\s(),])(?![^\\w(),]*(?-i:llama\\.cpp)[^\\w./-]*([\\s(),]|$))[^\\s(),]+\\.(py|sh|c|cc|cpp|cu|h|hpp|rs|go|java|ts|js)[^\\w./-]*([\\s(),]|$)"
 
 
 def disclosed(of: str, code: str, affects: bool = False) -> str:
@@ -226,30 +228,27 @@ def scope_digest(scope: str = "scope") -> Column:
     return F.expr(f"concat(array_join({each}, '|'), '|head=', {scope}.head_policy, '|kv=', {scope}.kv_cache_dtype)")
 
 
-def chain(records: DataFrame, parent: Column, depth: int) -> DataFrame:
-    """``start``, ``node``, ``closed``: every node on the way up from each row, and whether the way comes back to itself.
+def cycles(records: DataFrame, parent: str, code: str) -> DataFrame:
+    """Rows whose way up, however long, never ends."""
+    ends = closure.forest(records.select(F.col("id").alias("node"), F.col(parent).alias("up"))).ends
+    return ends.where("cycle IS NOT NULL").select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.col("node").alias("id"))
 
-    At most ``depth`` steps, each an equi-join.
-    """
-    edges = records.select(F.col("id").alias("node"), parent.alias("up"))
-    step = records.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(False).alias("closed"))
-    out = step
-    for _ in range(depth):
-        step = step.where("NOT closed").join(edges, "node").where("up IS NOT NULL").select("start", F.col("up").alias("node"), F.concat("path", F.array("up")).alias("path"), F.array_contains("path", F.col("up")).alias("closed"))
-        out = out.unionByName(step)
-    return out.select("start", "node", "closed", F.size("path").alias("steps"))
 
+def token_families(panels: DataFrame) -> DataFrame:
+    """PANEL-004: panels that share a token digest must come from one root by derivations that keep tokens.
 
-def cycles(records: DataFrame, parent: str, code: str, depth: int = 8) -> DataFrame:
-    return chain(records, F.col(parent), depth).where("closed").select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.col("start").alias("id")).distinct()
+    A panel whose derivations go round in a cycle has no root; REF-008 names it.
+    """
+    parent = F.when(F.col("derivation.kind").isin("reformat", "scoring_window_change"), F.col("derived_from"))
+    root = closure.roots(panels.select(F.col("id").alias("node")), panels.select(F.col("id").alias("node"), parent.alias("up"))).select(F.col("node").alias("id"), "root")
+    p = panels.select("id", F.col("identity.panel_token_sha256").alias("token")).where("token IS NOT NULL").join(root, "id")
+    return p.groupBy("token").agg(F.count_distinct("root").alias("roots"), F.min("id").alias("id")).where("roots > 1").select(F.lit("PANEL-004").alias("code"), F.lit("error").alias("severity"), "id")
 
 
-def token_families(panels: DataFrame, depth: int = 8) -> DataFrame:
-    """PANEL-004: panels that share a token digest must come from one root by derivations that keep tokens."""
-    parent = F.when(F.col("derivation.kind").isin("reformat", "scoring_window_change"), F.col("derived_from"))
-    root = chain(panels, parent, depth).groupBy("start").agg(F.max_by("node", "steps").alias("root"))
-    p = panels.select(F.col("id").alias("start"), F.col("identity.panel_token_sha256").alias("token")).where("token IS NOT NULL").join(root, "start")
-    return p.groupBy("token").agg(F.count_distinct("root").alias("roots"), F.min("start").alias("id")).where("roots > 1").select(F.lit("PANEL-004").alias("code"), F.lit("error").alias("severity"), "id")
+def from_base(pairs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The pairs (lower, upper) of which lower is an artifact of kind base that derives from upper, by artifacts of any kind."""
+    base = artifacts.where("kind = 'base'").select(F.col("id").alias("lower")).distinct()
+    return closure.descends(pairs.join(base, "lower"), artifacts.select(F.col("id").alias("node"), F.col("derived_from_artifact_ref").alias("up")))
 
 
 def group_rules(m: DataFrame) -> DataFrame:
@@ -258,6 +257,12 @@ def group_rules(m: DataFrame) -> DataFrame:
     return broken(m.join(g, F.col("want_key") == F.col("k")), [("CMP-003", "error", "kinds > 1 AND measurement_scope.covers_full_panel"), ("CMP-005", "warn", "n = 1")])
 
 
+def unmeasured(measurements: DataFrame, allowed: list[str]) -> DataFrame:
+    """HARN-006: allowed ids that no measurement has."""
+    named = measurements.sparkSession.createDataFrame([(x,) for x in sorted(set(allowed))], "id string")
+    return named.join(measurements.select("id"), "id", "left_anti").select(F.lit("HARN-006").alias("code"), F.lit("error").alias("severity"), "id")
+
+
 def same_weights(artifacts: DataFrame) -> DataFrame:
     """IDENT-002, IDENT-006: the artifact before it has the same repository, revision and path."""
     w = Window.partitionBy("huggingface.repository", "huggingface.revision", F.coalesce("huggingface.path", F.lit(""))).orderBy("id")
@@ -266,11 +271,11 @@ def same_weights(artifacts: DataFrame) -> DataFrame:
     return broken(d, [("IDENT-002", "error", "before IS NOT NULL AND scope_digest <=> before_digest"), ("IDENT-006", "warn", "before IS NOT NULL AND huggingface.path IS NULL")])
 
 
-def violations(registry: Registry, known_codes: list[str], allowed: list[str] = (), depth: int = 8) -> DataFrame:
+def violations(registry: Registry, known_codes: list[str], allowed: list[str] = ()) -> DataFrame:
     """``code``, ``severity``, ``id`` of everything in the registry that breaks a rule.
 
     ``known_codes``: disclosure codes; ``allowed``: ids of measurements that may lack a recorded harness.
-    Chains of derivation are followed for ``depth`` steps.
+    Chains of derivation are followed to their ends, which writes tables to the shared folder.
     """
     models, artifacts, panels, references, pipelines, measurements = (registry[k] for k in SCHEMAS)
     key = comparability_key(*(F.coalesce(F.translate(F.expr(f).cast("string"), "|", "¦"), F.lit("None")) for f in KEY_FIELDS.values()))
@@ -279,7 +284,8 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
         a=("artifact_ref", artifacts), p=("panel_ref", panels), r=("reference_ref", references), l=("pipeline_ref", pipelines), o=("model_ref", models), ra=("r.artifact_ref", artifacts),
         f=(f"{BIAS}.floor_measurement_ref", measurements), s=("supersedes", measurements), v=("provenance.verification.verification_measurement_ref", measurements), fl=("f.pipeline_ref", pipelines),
     )
-    bases = chain(artifacts, F.when(F.col("kind") == "base", F.col("derived_from_artifact_ref")), depth).select(F.col("start").alias("fa"), F.col("node").alias("fr"), F.lit(True).alias("from_base")).distinct()
+    pairs = m.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")).unionByName(m.select(F.col("artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")))
+    bases = from_base(pairs, artifacts).select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
     m = m.join(bases, (F.col("f.artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left").withColumn("floor_is_unquantized", F.coalesce("from_base", F.lit(False)) | F.col("f.artifact_ref").eqNullSafe(F.col("r.artifact_ref")))
     ranked = m.where("status = 'published' AND metric.value IS NOT NULL AND comparability.key IS NOT NULL")
     own_base = bases.select(F.col("fa").alias("ba"), F.col("fr").alias("br"), F.lit(True).alias("base"))
@@ -304,15 +310,16 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
         duplicates(live, ["artifact_ref", "panel_ref", "reference_ref", "pipeline_ref", "name", "stack", "head", "by"], "id", "live").select("code", "severity", "id"),
         broken(referring(artifacts.withColumn("want_digest", scope_digest()), "a", o=("model_ref", models), d=("derived_from_artifact_ref", artifacts)), ARTIFACT_RULES),
         same_weights(artifacts),
-        cycles(artifacts, "derived_from_artifact_ref", "REF-009", depth),
+        cycles(artifacts, "derived_from_artifact_ref", "REF-009"),
         broken(referring(panels, "panel", d=("derived_from", panels)), PANEL_RULES),
-        token_families(panels, depth),
-        cycles(panels, "derived_from", "REF-008", depth),
+        token_families(panels),
+        cycles(panels, "derived_from", "REF-008"),
         broken(scopes, [("REF-001", "error", "there IS NULL"), ("REF-007", "error", "there AND NOT tokenizer <=> other")]),
         broken(weights, [("REF-001", "error", "there IS NULL")]),
         broken(referring(references, "ref", a=("artifact_ref", artifacts), p=("panel_ref", panels), f=("self_consistency.floor_measurement_ref", measurements)), REFERENCE_RULES),
         broken(crossed, [("REFC-004", "warn", "self_consistency.floor_measurement_ref IS NULL")]),
         broken(referring(pipelines, "pipeline", p=("lane.bridge.panel_ref", panels), f=("lane.bridge.sealed_measurement_ref", measurements)), PIPELINE_RULES),
         broken(reduce(DataFrame.unionByName, disclosures).withColumn("known_codes", own), DISCLOSURE_RULES),
+        unmeasured(measurements, list(allowed)),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()

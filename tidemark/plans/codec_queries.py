@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, special
 from tidemark.functions import vector as V
+from tidemark.operators.shared import shared_path
+from tidemark.sources import tensors
 
 from .catalog import query, table
 
@@ -36,3 +38,22 @@ def ulp_distance(spark: SparkSession, sf: str) -> DataFrame:
     x = F.get("embedding", F.lit(0))
     d = table(spark, sf, "embeddings").select("vec_id", x.alias("a"), (x * F.lit(1.000001).cast("float")).alias("b"))
     return d.select("vec_id", special.ulp_distance("a", "b").alias("ulps"))
+
+
+@query("tensor_rows", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS head, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64")
+def tensor_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as tensors in container files, a file a task, and read back row by row."""
+    at = shared_path(spark, "tensors")
+    tensors.write_safetensors(table(spark, sf, "embeddings").where("vec_id IS NOT NULL AND size(embedding) = 64"), at, {"vec_id": "I64", "embedding": "F32"})
+    ids, vecs = (tensors.rows(spark, at, [t], step=65536).select("file", "position", F.col("vec").alias(t)) for t in ("vec_id", "embedding"))
+    return ids.join(vecs, ["file", "position"]).select(F.get("vec_id", F.lit(0)).cast("long").alias("vec_id"), F.get("embedding", F.lit(0)).alias("head"), F.round(V.total(F.col("embedding")), 6).alias("total"))
+
+
+@query("tensor_directory", "SELECT tensor, dtype, CAST(sum(n) AS BIGINT) AS rows, CAST(max(w) AS BIGINT) AS width, CAST(sum(n * w * s) AS BIGINT) AS bytes FROM (SELECT count(*) AS n, 64 AS w, 4 AS s, 'embedding' AS tensor, 'F32' AS dtype FROM embeddings UNION ALL SELECT count(*), 1, 8, 'vec_id', 'I64' FROM embeddings) GROUP BY tensor, dtype")
+def tensor_directory(spark: SparkSession, sf: str) -> DataFrame:
+    """What the same files say they hold, from their headers."""
+    at = shared_path(spark, "tensors")
+    tensors.write_safetensors(table(spark, sf, "embeddings"), at, {"vec_id": "I64", "embedding": "F32"})
+    tensors.register(spark)
+    d = spark.read.format("tensor_directory").option("path", at).load()
+    return d.groupBy("tensor", "dtype").agg(F.sum(F.get("shape", F.lit(0))).alias("rows"), F.max(F.get("shape", F.lit(1))).alias("width"), F.sum("bytes").alias("bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordering
+from tidemark.operators import closure, ordering
 from tidemark.operators import registry as R
 
 from .catalog import query, table
@@ -209,6 +209,34 @@ def lineage_walk(spark: SparkSession, sf: str) -> DataFrame:
     return R.lineage(e, p.select(F.col("p_partkey").alias("start")), 5)
 
 
+DERIVATIONS = """e AS (
+  SELECT CAST(p_partkey AS BIGINT) AS node, CAST(CASE WHEN p_partkey % 97 = 20 AND p_partkey // 97 % 5 = 0 THEN p_partkey + 11 ELSE p_partkey - 1 END AS BIGINT) AS up
+  FROM part WHERE p_partkey % 97 > 1)"""
+
+
+@query("derivation_roots", f"""WITH RECURSIVE {DERIVATIONS},
+w(start, node, hop) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), CAST(0 AS BIGINT) FROM part UNION ALL SELECT start, up, hop + 1 FROM w JOIN e USING (node) WHERE hop < 200)
+SELECT start AS node, CASE WHEN max(hop) < 200 THEN max_by(node, hop) END AS root, CASE WHEN max(hop) < 200 THEN max(hop) END AS steps, CASE WHEN max(hop) = 200 THEN min(node) FILTER (hop > 100) END AS cycle
+FROM w GROUP BY start""")
+def derivation_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part derives from the one before it, in runs of 96; some runs close a cycle of twelve."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(k.cast("long").alias("node"), F.when((k % 97 == 20) & (F.floor(k / 97) % 5 == 0), k + 11).when(k % 97 > 1, k - 1).cast("long").alias("up"))
+    return closure.roots(p, p)
+
+
+@query("floor_descent", f"""WITH RECURSIVE {DERIVATIONS},
+p AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS lower, CAST(l_partkey - l_linenumber * 9 AS BIGINT) AS upper FROM lineitem),
+w(start, node, hop) AS (SELECT lower, lower, 0 FROM (SELECT DISTINCT lower FROM p) UNION ALL SELECT start, up, hop + 1 FROM w JOIN e USING (node) WHERE hop < 200)
+SELECT lower, upper FROM p SEMI JOIN w ON start = lower AND node = upper""")
+def floor_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Which ordered parts derive from the part some numbers before them."""
+    k = F.col("p_partkey")
+    edges = table(spark, sf, "part").select(k.cast("long").alias("node"), F.when((k % 97 == 20) & (F.floor(k / 97) % 5 == 0), k + 11).when(k % 97 > 1, k - 1).cast("long").alias("up"))
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("long").alias("lower"), (F.col("l_partkey") - F.col("l_linenumber") * 9).cast("long").alias("upper"))
+    return closure.descends(pairs, edges)
+
+
 @query("panel_pick", f"WITH {M}, p AS (SELECT key, lane, count(*) AS n, avg(value) AS v, bool_or(artifact = 'BUILDING') AS floor_bearing FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY floor_bearing DESC, n DESC, lane) AS rn FROM p) SELECT key, lane, n, rn = 1 AS chosen FROM r")
 def panel_pick(spark: SparkSession, sf: str) -> DataFrame:
     p = measurements(spark, sf).groupBy("key", "lane").agg(F.count("*").alias("n"), F.bool_or(F.col("artifact") == "BUILDING").alias("fb"))
