@@ -20,6 +20,14 @@ SECRET_SHAPES = (
     r"(?i)\bauthorization:\s*bearer\s+[A-Za-z0-9._\-]{20,}",
 )
 REDACTED = "***REDACTED***"
+# Beginnings of paths on somebody's machine, also as they are spelled inside JSON; names and endings of files of credentials.
+PRIVATE_PATHS = (
+    "/home/", "/root/", "/Users/", "/private/", "/tmp/", "/var/tmp/", "/workspace/", "/mnt/c/Users/", "file:///", ":\\Users\\", ":\\\\Users\\\\",
+    "\\/home\\/", "\\/root\\/", "\\/Users\\/", "\\/private\\/", "\\/tmp\\/", "\\/workspace\\/",
+)
+CREDENTIAL_FILES = (".hf_token", "hf_token", ".env", ".netrc", ".npmrc", ".git-credentials", "id_rsa", "id_ed25519", "credentials.json", "service-account.json")
+CREDENTIAL_FOLDERS = (".secrets", ".ssh", ".aws", ".gnupg", ".git")
+CREDENTIAL_ENDINGS = (".pem", ".key", ".p12", ".pfx")
 
 
 def tokens(text: Column) -> Column:
@@ -52,6 +60,19 @@ def holds_secret(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(s) for s in SECRET_SHAPES])
 
 
+def private_path(text: Column) -> Column:
+    """The text names a path on somebody's machine."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in PRIVATE_PATHS])
+
+
+def credential_name(path: Column) -> Column:
+    """A file that publishing would disclose: by its name, by its ending, or by a folder it lies in."""
+    parts = F.split(path, "/")
+    own = F.element_at(parts, -1)
+    within = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*CREDENTIAL_FOLDERS))
+    return within | own.isin(*CREDENTIAL_FILES, *CREDENTIAL_FOLDERS) | reduce(lambda a, b: a | b, [F.endswith(own, F.lit(e)) for e in CREDENTIAL_ENDINGS])
+
+
 def slug(text: Column, size: int = 56) -> Column:
     """Letters and digits joined by hyphens; what is left with under three is named by its digest."""
     s = F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", "-")), "^-+|-+$", ""), 1, size), "-+$", "")

@@ -1,11 +1,13 @@
-"""Work in sealed parts and guarded histories."""
+"""Work in sealed parts, guarded histories, registered literals, documents in canonical JSON."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import guarded, resume
+from tidemark.functions import documents as J
+from tidemark.functions import text as T
+from tidemark.operators import guarded, literals, resume
 from tidemark.operators.shared import shared_path
 
 from .catalog import query, table
@@ -47,3 +49,37 @@ def guarded_ledger(spark: SparkSession, sf: str) -> DataFrame:
     e = e.select("user_id", seq.alias("seq"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("amount"))
     expected = F.when(F.col("seq") % 4 == 0, F.col("seq") - 1 - F.floor(F.col("seq") / 8)).when(F.col("seq") % 9 == 0, F.lit(0))
     return guarded.folded(e.withColumn("expected", expected.cast("long")), 20_000, key="user_id")
+
+
+@query("literal_redact", """WITH w AS (SELECT list(DISTINCT substr(text, 11, 24)) AS ws FROM benchmark)
+SELECT doc_id, list_reduce(list_prepend(text, ws), lambda t, x: replace(t, x, '***REDACTED***')) AS clean, CAST(list_sum(list_transform(ws, lambda x: (length(text) - length(replace(text, x, ''))) // 24)) AS INTEGER) AS spans
+FROM documents CROSS JOIN w""")
+def literal_redact(spark: SparkSession, sf: str) -> DataFrame:
+    """A stretch of each benchmark item as a secret that was registered, taken out of all documents."""
+    words = table(spark, sf, "benchmark").select(F.substring("text", 11, 24).alias("w"))
+    out = literals.redacted(table(spark, sf, "documents").select("doc_id", "text"), "text", literals.registered(words, "w"))
+    return out.select("doc_id", F.col("text").alias("clean"), F.size("spans").alias("spans"))
+
+
+@query("canonical_documents", """SELECT s_suppkey, '{"account":' || CAST(s_nationkey AS VARCHAR) || ',"name":"' || s_name || '","nested":{"a":[' || CAST(s_suppkey AS VARCHAR) || ',true,null],"b":{"path":' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"rel/' || CAST(s_suppkey AS VARCHAR) || '"' END || '}}}' AS json, CASE WHEN s_suppkey % 3 = 0 THEN 'nested.b.path' ELSE '' END AS removed FROM supplier""")
+def canonical_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as documents with keys out of order and blanks, some with a path of the writing host."""
+    path = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("/data/"), "s_name")).otherwise(F.concat(F.lit("rel/"), F.col("s_suppkey").cast("string")))
+    text = F.format_string('{ "nested": {"b": {"path": "%s"}, "a": [%d, true, null]}, "name": "%s",\n "account": %d}', path, F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey"))
+    d = table(spark, sf, "supplier").select("s_suppkey", J.stripped(text).alias("d"))
+    return d.select("s_suppkey", "d.json", F.array_join("d.removed", ",").alias("removed"))
+
+
+@query("document_seals", """SELECT s_suppkey, s_suppkey % 13 <> 0 AS sealed FROM supplier""")
+def document_seals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that carry the digest of their canonical spelling; some were changed afterwards."""
+    body = lambda seal, nation: F.concat(F.lit('{"name":"'), "s_name", F.lit('","nation":'), nation.cast("string"), F.lit(',"seal":"'), seal, F.lit('"}'))
+    nation = F.col("s_nationkey")
+    later = nation + F.when(F.col("s_suppkey") % 13 == 0, 1).otherwise(0)
+    d = table(spark, sf, "supplier").select("s_suppkey", body(F.sha2(body(F.lit(""), nation), 256), later).alias("text"))
+    return d.select("s_suppkey", J.sealed(F.col("text"), "seal").alias("sealed"))
+
+
+@query("private_paths", """SELECT doc_id, regexp_matches(text, '/home/|/root/|/Users/|/private/|/tmp/|/workspace/|/mnt/c/Users/|file:///|:\\\\{1,2}Users\\\\{1,2}|\\\\/(home|root|Users|private|tmp|workspace)\\\\/') AS private FROM documents""")
+def private_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.private_path(F.col("text")).alias("private"))
