@@ -117,7 +117,7 @@ def test_chats_read_back_exactly(spark):
 def test_queries_agree_with_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         db.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLE[name])
     cols = sorted(got.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, written
 
-LAST = "\U0010ffff"  # sorts behind every label
+FEW_HOSTS = 1 << 17  # hosts of rules that may go to every task
 
 
 def host_of(url: Column) -> Column:
@@ -36,6 +36,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def behind(prefix: Column) -> Column:
+    """A bound behind everything that begins with ``prefix``: a byte that UTF-8 never holds.  Bounds are compared as bytes."""
+    return F.concat(prefix.cast("binary"), F.unhex(F.lit("FF")))
+
+
 def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
@@ -48,16 +53,30 @@ def prefixes_of(key: Column) -> Column:
 
 def block_of(key: Column) -> Column:
     """The first two labels, and two characters of the third: coarser than the order, and along it."""
-    labels = F.split(F.rtrim(key, F.lit(LAST)), r"\.")
+    labels = F.split(key, r"\.")
     return F.concat_ws(".", F.coalesce(F.get(labels, F.lit(0)), F.lit("")), F.coalesce(F.get(labels, F.lit(1)), F.lit("")), F.substring(F.coalesce(F.get(labels, F.lit(2)), F.lit("")), 1, 2))
 
 
-def _stacks(keys: DataFrame, hosts: DataFrame, strict: bool) -> DataFrame:
+def _hosts_above(above: DataFrame, hosts: DataFrame, few: bool, part_rows: int) -> DataFrame:
+    """The rows of ``above`` whose ``rkey`` is a host of a rule.
+
+    Few hosts go to every task.  Of many, those that more than ``part_rows`` rows ask for go to every task (there are
+    at most rows / ``part_rows`` of them), and the rest is joined: no key brings many rows to one task.
+    """
+    if few:
+        return above.join(F.broadcast(hosts), "rkey")
+    asked = above.groupBy("rkey").agg(F.count("*").alias("n")).where(F.col("n") > part_rows).select("rkey")
+    heavy = F.broadcast(written(asked, "heavy-hosts"))
+    often = F.broadcast(hosts.join(heavy, "rkey", "left_semi"))
+    return above.join(heavy, "rkey", "left_anti").join(hosts, "rkey").unionByName(above.join(often, "rkey"))
+
+
+def _stacks(keys: DataFrame, hosts: DataFrame, strict: bool, few: bool, part_rows: int) -> DataFrame:
     """For each key of ``keys``, the hosts of rules at and above it (``strict``: only above)."""
     above = keys.select("key", F.explode(prefixes_of(F.col("key"))).alias("rkey"))
     if strict:
         above = above.where("rkey <> key")
-    found = above.join(hosts, "rkey").groupBy("key").agg(F.collect_list("rkey").alias("stack"))
+    found = _hosts_above(above, hosts, few, part_rows).groupBy("key").agg(F.collect_list("rkey").alias("stack"))
     return keys.join(found, "key", "left").select("key", F.coalesce("stack", F.array().cast("array<string>")).alias("stack"))
 
 
@@ -80,53 +99,50 @@ def _each_part(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
 
-def _rule_hosts(urls: DataFrame, rules: DataFrame, part_rows: int) -> DataFrame:
+def _rule_hosts(urls: DataFrame, hosts: DataFrame, few: bool, part_rows: int) -> DataFrame:
     """The first sweep: ``urls`` with ``active``, the hosts of rules that fit a url's host."""
-    hosts = rules.select("rkey").distinct()
     keyed = urls.withColumn("block", block_of(F.col("key")))
     start = F.concat(F.array_join(F.slice(F.split("key", r"\."), 1, 2), "."), F.lit("."))
     sizes = keyed.groupBy("block").agg(F.first(start).alias("start"), F.count("*").alias("n")).select("block", "start", _parts("n", part_rows))
     blocks = _each_part(sizes)
 
     # where a block begins: the hosts above it that were opened in an earlier block
-    entry = _stacks(blocks.select(F.col("start").alias("key")).distinct(), hosts, strict=False).withColumnRenamed("key", "start")
-    begins = blocks.join(entry, "start").select("block", "salt", F.lit("").alias("key"), F.lit(0).alias("kind"), "stack")
+    entry = _stacks(blocks.select(F.col("start").alias("key")).distinct(), hosts, False, few, part_rows).withColumnRenamed("key", "start")
+    begins = blocks.join(entry, "start").select("block", "salt", F.lit("").cast("binary").alias("at"), F.lit(0).alias("kind"), "stack")
 
     # bounds within the blocks: one opening and one closing key per host
     keys = hosts.select(F.col("rkey").alias("key"))
-    opens = _stacks(keys, hosts, strict=False).select("key", F.lit(1).alias("kind"), "stack")
-    closes = _stacks(keys, hosts, strict=True).select(F.concat("key", F.lit(LAST)).alias("key"), F.lit(3).alias("kind"), "stack")
+    opens = _stacks(keys, hosts, False, few, part_rows).select("key", F.col("key").cast("binary").alias("at"), F.lit(1).alias("kind"), "stack")
+    closes = _stacks(keys, hosts, True, few, part_rows).select("key", behind(F.col("key")).alias("at"), F.lit(3).alias("kind"), "stack")
     bounds = opens.unionByName(closes).withColumn("block", block_of(F.col("key"))).join(blocks.select("block", "salt"), "block")
 
     none = F.lit(None)
-    events = begins.unionByName(bounds.select(*begins.columns)).select("*", *(none.cast(f.dataType).alias(f.name) for f in urls.schema if f.name != "key"))
-    events = events.unionByName(_dealt(keyed, sizes, "block").withColumns({"kind": F.lit(2), "stack": none.cast("array<string>")}))
-    sweep = Window.partitionBy("block", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    events = begins.unionByName(bounds.select(*begins.columns)).select("*", *(none.cast(f.dataType).alias(f.name) for f in urls.schema))
+    events = events.unionByName(_dealt(keyed, sizes, "block").withColumns({"at": F.col("key").cast("binary"), "kind": F.lit(2), "stack": none.cast("array<string>")}))
+    sweep = Window.partitionBy("block", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 2").select(*urls.columns, "active")
 
 
-def _innermost(pairs: DataFrame, urls: DataFrame, rules: DataFrame, part_rows: int) -> DataFrame:
+def _innermost(pairs: DataFrame, rules: DataFrame, part_rows: int) -> DataFrame:
     """The second sweep: ``pairs`` of a url and the host of a rule with ``rule``, that host's longest for the url's path."""
-    hosts = rules.select("rkey").distinct()
-    under = urls.groupBy("key").agg(F.count("*").alias("n")).select(F.explode(prefixes_of(F.col("key"))).alias("rkey"), "n")
-    sizes = hosts.join(under, "rkey").groupBy("rkey").agg(F.sum("n").alias("n")).select("rkey", _parts("n", part_rows))
+    sizes = pairs.where("rkey IS NOT NULL").groupBy("rkey").agg(F.count("*").alias("n")).select("rkey", _parts("n", part_rows))
 
     length = F.length("path")
     inner = rules.select("rkey", "path", F.explode(F.when(length > 0, F.sequence(F.lit(0), length - 1))).alias("cut")).select("rkey", "path", F.substring("path", F.lit(1), F.col("cut")).alias("outer"))
     outer = inner.join(rules.select("rkey", F.col("path").alias("outer"), F.col("rule").alias("around")), ["rkey", "outer"]).groupBy("rkey", "path").agg(F.max_by("around", F.length("outer")).alias("around"))
     nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema["rule"].dataType))
-    opens = rules.select("rkey", F.col("path").alias("at"), F.lit(1).alias("kind"), F.col("rule").alias("bound"))
-    closes = rules.join(outer, ["rkey", "path"], "left").select("rkey", F.concat("path", F.lit(LAST)).alias("at"), F.lit(3).alias("kind"), F.coalesce("around", nothing).alias("bound"))
+    opens = rules.select("rkey", F.col("path").cast("binary").alias("at"), F.lit(1).alias("kind"), F.col("rule").alias("bound"))
+    closes = rules.join(outer, ["rkey", "path"], "left").select("rkey", behind(F.col("path")).alias("at"), F.lit(3).alias("kind"), F.coalesce("around", nothing).alias("bound"))
     bounds = opens.unionByName(closes).join(_each_part(sizes), "rkey")
 
     none = F.lit(None)
     events = bounds.select("*", *(none.cast(f.dataType).alias(f.name) for f in pairs.schema if f.name != "rkey"))
-    events = events.unionByName(_dealt(pairs, sizes, "rkey").withColumns({"at": F.col("path"), "kind": F.lit(2), "bound": none.cast(rules.schema["rule"].dataType)}))
+    events = events.unionByName(_dealt(pairs, sizes, "rkey").withColumns({"at": F.col("path").cast("binary"), "kind": F.lit(2), "bound": none.cast(rules.schema["rule"].dataType)}))
     sweep = Window.partitionBy("rkey", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("rule", F.last("bound", ignorenulls=True).over(sweep)).where("kind = 2").select(*pairs.columns, "rule")
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", part_rows: int = 1 << 20) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", part_rows: int = 1 << 20, few_hosts: int = FEW_HOSTS) -> DataFrame:
     """One row per row of ``pages``: id, ``host``, ``path``, ``rule``, ``verdict``.
 
     ``rules`` has ``rule_host``, ``rule_path`` and ``action``.  A rule fits its host and
@@ -147,8 +163,10 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = written(urls.withColumn("key", key_of(F.col("host"))), "urls")
     part_rows = min(part_rows, max(32, urls.count() // (2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    swept = _rule_hosts(urls, rules, part_rows).select("row", "id", "host", "path", F.explode_outer("active").alias("rkey"))
-    judged = _innermost(swept, urls, rules, part_rows)
+    hosts = rules.select("rkey").distinct()
+    few = hosts.count() <= few_hosts
+    swept = _rule_hosts(urls, hosts, few, part_rows).select("row", "id", "host", "path", F.explode_outer("active").alias("rkey"))
+    judged = _innermost(written(swept, "swept"), rules, part_rows)
     best = judged.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(F.when(F.col("rule.name").isNotNull(), F.col("rule"))).alias("best"))
     return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
