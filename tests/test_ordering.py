@@ -53,3 +53,25 @@ def test_resamples_in_blocks_are_one_draw(seed, g):
     b = 50 if g > 1000 else 501
     whole = np.random.default_rng(seed).integers(0, g, size=(b, g))
     assert (np.concatenate(list(inference.picks(g, b, seed, cells=7 * g))) == whole).all()
+
+
+def test_half_of_all_rows_with_one_value_are_spread(spark, monkeypatch):
+    """200 ranges of 20,000 rows: none has over twice the mean, though 10,000 rows are equal; and the input is computed once."""
+    d = spark.range(20_000).select("id", F.lit("g").alias("g"), F.when(F.col("id") % 2 == 0, 5.0).otherwise((F.col("id") * 7919 % 20_011).cast("double")).alias("x"))
+    seen = []
+    monkeypatch.setattr(O, "ranged", lambda *a, f=O.ranged: seen.append(f(*a)) or seen[-1])
+    got = sorted((r["place"], r["x"], r["id"]) for r in O.placed(d, ["g"], "x", "id", 200).collect())
+    assert got == [(k + 1, x, i) for k, (x, i) in enumerate(sorted((5.0 if i % 2 == 0 else float(i * 7919 % 20_011), i) for i in range(20_000)))]
+    sizes = [r["count"] for r in seen[0][0].groupBy("bucket").count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 400
+    assert {r["q"]: r["x"] for r in O.quantiles(d, ["g"], "x", [0.3], 7).collect()} == {0.3: np.quantile([x for _, x, _ in got], 0.3)}
+    few = {r["id"]: r["rk"] for r in O.average_ranks(d, "g", F.col("x"), entries=100).collect()}
+    many = {r["id"]: r["rk"] for r in O.average_ranks(d, "g", F.col("x")).collect()}
+    assert few == many and len(few) == 20_000
+
+
+def test_null_groups_are_groups(spark):
+    d = spark.createDataFrame([(1, None, 2.0), (2, None, 1.0), (3, "a", 4.0)], "id long, g string, x double")
+    for buckets in (1, 3):
+        assert sorted((r["id"], r["place"]) for r in O.placed(d, ["g"], "x", "id", buckets).collect()) == [(1, 2), (2, 1), (3, 1)]
+        assert {(r["g"], r["x"]) for r in O.quantiles(d, ["g"], "x", [0.5], buckets).collect()} == {(None, 1.5), ("a", 4.0)}

@@ -1,8 +1,9 @@
-"""Ranks and quantiles of groups of any size: no group is sorted in one task.
+"""Ranks and quantiles of groups of any size: no group is sorted in one task, whatever its ties.
 
-Values are cut into buckets at bounds that an approximate quantile sketch gives, so buckets are in order and of
-about equal size.  The bounds only say where to cut: counts of the buckets before it and the order within a
-bucket give exact places.  Rows that are equal in value share a bucket.
+The input is computed once and written.  Places of rows: rows are cut into equal ranges of the order (group, value, id),
+so rows of one value may lie in several ranges.  Quantiles and average ranks: equal values are counted where they are read,
+and the order is that of different values with their counts.  Either way a range has about ``ENTRIES`` entries, and as many
+ranges are made as that takes; sums over a group's earlier ranges and the order within a range give exact places.
 """
 
 from __future__ import annotations
@@ -10,48 +11,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .shared import written
 
+ENTRIES = 100_000  # in a range
 
-def bucketed(d: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """``d`` with ``bucket``, which grows with ``value``; nulls are behind all others."""
-    found = d.agg(F.percentile_approx(F.col(value).cast("double"), [k / buckets for k in range(1, buckets)], 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    inside = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
-    return d.withColumn("bucket", F.when(F.col(value).isNull(), F.lit(len(bounds) + 1)).otherwise(inside))
 
-
-def before(d: DataFrame, by: list[str]) -> DataFrame:
-    """For each group and bucket: its rows ``n`` and the rows ``before`` it; one row a bucket."""
-    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return d.groupBy(*by, "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+def ranged(d: DataFrame, order: list[Column], buckets: int | None) -> tuple[DataFrame, bool]:
+    """``d``, which was written, with ``bucket``: equal ranges of ``order``; and whether there are several."""
+    n = buckets or -(-d.count() // ENTRIES)
+    if n < 2:
+        return d.withColumn("bucket", F.lit(0)), False
+    return written(d.repartitionByRange(n, *order).withColumn("bucket", F.spark_partition_id()), "ranges"), True
 
 
-def placed(d: DataFrame, by: list[str], value: str, id_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """``place``: the row number in the group by ascending value, nulls last, ties by id."""
-    b = bucketed(d, value, buckets)
-    own = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(F.asc_nulls_last(value), id_col))
-    return b.withColumn("own", own).join(before(b, by).drop("n"), [*by, "bucket"]).withColumn("place", F.col("before") + F.col("own")).select(*d.columns, "place")
+def matched(rows: DataFrame, table: DataFrame, by: list[str], often: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, a row for each of ``by``, where null equals null.
 
+    Rows of ``table`` for which ``often`` holds are asked for by so many rows that they can only be few: they are broadcast.
+    """
+    t = table.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in table.columns if c not in by))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    keep = [*rows.columns, *(c for c in table.columns if c not in by)]
+    if often is None:
+        return rows.join(t, same).select(*keep)
+    few = F.broadcast(t.where(often))
+    rest = rows.join(few, same, "left_anti").join(t.where(~often), same).select(*keep)
+    return rows.join(few, same).select(*keep).unionByName(rest)
+
+
+def before(d: DataFrame, by: list[str], size: Column) -> DataFrame:
+    """For each group and bucket: what ``size`` adds up to in it (``n``) and in the group's buckets before it (``before``)."""
+    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return d.groupBy(*by, "bucket").agg(F.sum(size).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
-def quantiles(d: DataFrame, by: list[str], value: str, at: list[float], buckets: int = BUCKETS) -> DataFrame:
-    """``by``, ``q``, ``x``: exact quantiles with linear interpolation; nulls don't count.
 
-    Only the buckets that hold a wanted place are ordered.
-    """
-    b = bucketed(d.where(F.col(value).isNotNull()).select(*by, value), value, buckets)
-    counts = before(b, by)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    want = totals.select(*by, F.explode(F.array(*map(F.lit, at))).alias("q"), "total").withColumn("at", (F.col("total") - 1) * F.col("q"))
-    ends = want.select(*by, "q", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k"))
-    in_bucket = (F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n"))
-    hit = ends.join(counts, by).where(in_bucket) if by else ends.join(F.broadcast(counts), in_bucket)
-    hit = hit.select(*by, "bucket", "q", "at", "k", (F.col("k") - F.col("before") + 1).alias("own"))
-    sought = hit.select(*by, "bucket").distinct()
-    rows = b.join(sought, [*by, "bucket"], "left_semi").withColumn("own", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(value)))
-    found = hit.join(rows.select(*by, "bucket", "own", F.col(value).cast("double").alias("v")), [*by, "bucket", "own"])
-    share = F.when(F.col("at") == F.col("k"), F.lit(1.0)).otherwise(1 - F.abs(F.col("at") - F.col("k")))
-    return found.groupBy(*by, "q").agg(F.sum(share * F.col("v")).alias("x"))
+def placed(d: DataFrame, by: list[str], value: str, id_col: str, buckets: int | None = None) -> DataFrame:
+    """``place``: the row number in the group by ascending value, nulls last, ties by id."""
+    order = [F.asc_nulls_last(value), F.asc(id_col)]
+    b, several = ranged(written(d, "rows"), [*map(F.asc, by), *order], buckets)
+    own = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(*order))
+    if not several:
+        return b.withColumn("place", own.cast("long")).select(*d.columns, "place")
+    offsets = before(b, by, F.lit(1)).drop("n")
+    return matched(b.withColumn("own", own), offsets, [*by, "bucket"]).select(*d.columns, (F.col("before") + F.col("own")).alias("place"))
+
+
+def counted(d: DataFrame, by: list[str], value: str, buckets: int | None = None) -> DataFrame:
+    """A row for each different value of a group: ``n`` rows have it, ``before`` are less.  Nulls don't count."""
+    e = written(d.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "counts")
+    b, several = ranged(e, [*map(F.asc, by), F.asc(value)], buckets)
+    upto = F.sum("n").over(Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    own = b.withColumn("own", upto - F.col("n"))
+    if not several:
+        return own.withColumnRenamed("own", "before").select(*by, value, "n", "before")
+    offsets = before(b, by, F.col("n")).select(*by, "bucket", F.col("before").alias("offset"))
+    return matched(own, offsets, [*by, "bucket"]).select(*by, value, "n", (F.col("offset") + F.col("own")).alias("before"))
+
+
+def quantiles(d: DataFrame, by: list[str], value: str, at: list[float], buckets: int | None = None) -> DataFrame:
+    """``by``, ``q``, ``x``: exact quantiles with linear interpolation; nulls don't count."""
+    places = written(counted(d, by, value, buckets), "places")
+    totals = places.groupBy(*by).agg(F.sum("n").alias("total"), F.count("*").alias("entries"))
+    # a wanted place lies in one entry; each entry looks for those that it covers
+    place = F.array(*(F.struct(F.lit(q).alias("q"), ((F.col("total") - 1) * F.lit(q)).alias("at")) for q in at))
+    # without groups there is one total
+    rows = matched(places, totals, by, F.col("entries") > ENTRIES) if by else places.join(F.broadcast(totals))
+    ends = F.flatten(F.transform(place, lambda p: F.transform(F.array_distinct(F.array(F.floor(p["at"]), F.ceil(p["at"]))), lambda k: F.struct(p["q"].alias("q"), p["at"].alias("at"), k.alias("k")))))
+    covered = F.filter(ends, lambda e: (e["k"] >= F.col("before")) & (e["k"] < F.col("before") + F.col("n")))
+    hit = rows.select(*by, F.col(value).cast("double").alias("v"), F.explode(covered).alias("e"))
+    share = F.when(F.col("e.at") == F.col("e.k"), F.lit(1.0)).otherwise(1 - F.abs(F.col("e.at") - F.col("e.k")))
+    return hit.groupBy(*by, F.col("e.q").alias("q")).agg(F.sum(share * F.col("v")).alias("x"))
 
 
 def wide(q: DataFrame, by: list[str], names: dict[float, str]) -> DataFrame:
@@ -60,15 +89,11 @@ def wide(q: DataFrame, by: list[str], names: dict[float, str]) -> DataFrame:
     return q.groupBy(*by).agg(*columns)
 
 
-def average_ranks(d: DataFrame, by: str, size: Column) -> DataFrame:
+def average_ranks(d: DataFrame, by: str, size: Column, entries: int = ENTRIES) -> DataFrame:
     """``d`` with ``rk``, the mean of the places that its equals in ``size`` take, and ``t``, how many they are.
 
-    Ranks are sums of counts of distinct values, in buckets of them.
+    A size that more than ``entries`` rows have (there are at most rows / ``entries`` of them) is broadcast, the others are joined.
     """
     d = d.withColumn("size", size)
-    counts = bucketed(d.groupBy(by, "size").agg(F.count("*").alias("t")), "size")
-    sums = counts.groupBy(by, "bucket").agg(F.sum("t").alias("s"))
-    offset = sums.select(by, "bucket", F.coalesce(F.sum("s").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    upto = F.sum("t").over(Window.partitionBy(by, "bucket").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn("upto", upto).join(offset, [by, "bucket"]).select(by, "size", "t", (F.col("offset") + F.col("upto") - (F.col("t") - 1) / 2).alias("rk"))
-    return d.join(ranks, [by, "size"]).drop("size")
+    ranks = written(counted(d, [by], "size").select(by, "size", F.col("n").alias("t"), (F.col("before") + (F.col("n") + 1) / 2).alias("rk")), "ranks")
+    return matched(d, ranks, [by, "size"], F.col("t") > entries).drop("size")
