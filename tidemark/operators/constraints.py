@@ -271,8 +271,8 @@ def same_weights(artifacts: DataFrame) -> DataFrame:
     return broken(d, [("IDENT-002", "error", "before IS NOT NULL AND scope_digest <=> before_digest"), ("IDENT-006", "warn", "before IS NOT NULL AND huggingface.path IS NULL")])
 
 
-def violations(registry: Registry, known_codes: list[str], allowed: list[str] = ()) -> DataFrame:
-    """``code``, ``severity``, ``id`` of everything in the registry that breaks a rule.
+def violations(registry: Registry, known_codes: list[str], allowed: list[str] = (), codes: tuple[str, ...] = ()) -> DataFrame:
+    """``code``, ``severity``, ``id`` of everything in the registry that breaks a rule, or one whose code begins with one of ``codes``.
 
     ``known_codes``: disclosure codes; ``allowed``: ids of measurements that may lack a recorded harness.
     Chains of derivation are followed to their ends, which writes tables to the shared folder.
@@ -284,8 +284,12 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
         a=("artifact_ref", artifacts), p=("panel_ref", panels), r=("reference_ref", references), l=("pipeline_ref", pipelines), o=("model_ref", models), ra=("r.artifact_ref", artifacts),
         f=(f"{BIAS}.floor_measurement_ref", measurements), s=("supersedes", measurements), v=("provenance.verification.verification_measurement_ref", measurements), fl=("f.pipeline_ref", pipelines),
     )
-    pairs = m.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")).unionByName(m.select(F.col("artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")))
-    bases = from_base(pairs, artifacts).select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
+    wanted = lambda *own: not codes or any(c.startswith(tuple(codes)) for c in own)
+    if wanted("BIAS-004", "FLOOR-001", "FLOOR-002", "FLOOR-003"):
+        pairs = m.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")).unionByName(m.select(F.col("artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")))
+        bases = from_base(pairs, artifacts).select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
+    else:
+        bases = m.sparkSession.createDataFrame([], "fa string, fr string, from_base boolean")
     m = m.join(bases, (F.col("f.artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left").withColumn("floor_is_unquantized", F.coalesce("from_base", F.lit(False)) | F.col("f.artifact_ref").eqNullSafe(F.col("r.artifact_ref")))
     ranked = m.where("status = 'published' AND metric.value IS NOT NULL AND comparability.key IS NOT NULL")
     own_base = bases.select(F.col("fa").alias("ba"), F.col("fr").alias("br"), F.lit(True).alias("base"))
@@ -301,25 +305,32 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
     scopes = panels.select("id", F.col("tokenizer.id").alias("tokenizer"), F.explode("model_scope").alias("model")).join(models.select(F.col("id").alias("model"), F.col("tokenizer.id").alias("other"), F.lit(True).alias("there")), "model", "left")
     weights = models.select("id", F.col("canonical_weights.artifact_ref").alias("ref")).join(artifacts.select(F.col("id").alias("ref"), F.lit(True).alias("there")), "ref", "left")
     crossed = measurements.where(CROSS).select(F.col("reference_ref").alias("id")).distinct().join(references.select("id", "self_consistency"), "id", "left")
-    parts = [
-        broken(m, MEASUREMENT_RULES),
-        floor_violations(ranked.where("NOT zero"), floors).select("code", "severity", "id"),
-        broken(cells, DOMAIN_RULES),
-        broken(seeds, [("STAT-008", "error", "true")]),
-        group_rules(m),
-        duplicates(live, ["artifact_ref", "panel_ref", "reference_ref", "pipeline_ref", "name", "stack", "head", "by"], "id", "live").select("code", "severity", "id"),
-        broken(referring(artifacts.withColumn("want_digest", scope_digest()), "a", o=("model_ref", models), d=("derived_from_artifact_ref", artifacts)), ARTIFACT_RULES),
-        same_weights(artifacts),
-        cycles(artifacts, "derived_from_artifact_ref", "REF-009"),
-        broken(referring(panels, "panel", d=("derived_from", panels)), PANEL_RULES),
-        token_families(panels),
-        cycles(panels, "derived_from", "REF-008"),
-        broken(scopes, [("REF-001", "error", "there IS NULL"), ("REF-007", "error", "there AND NOT tokenizer <=> other")]),
-        broken(weights, [("REF-001", "error", "there IS NULL")]),
-        broken(referring(references, "ref", a=("artifact_ref", artifacts), p=("panel_ref", panels), f=("self_consistency.floor_measurement_ref", measurements)), REFERENCE_RULES),
-        broken(crossed, [("REFC-004", "warn", "self_consistency.floor_measurement_ref IS NULL")]),
-        broken(referring(pipelines, "pipeline", p=("lane.bridge.panel_ref", panels), f=("lane.bridge.sealed_measurement_ref", measurements)), PIPELINE_RULES),
-        broken(reduce(DataFrame.unionByName, disclosures).withColumn("known_codes", own), DISCLOSURE_RULES),
-        unmeasured(measurements, list(allowed)),
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    tables = [
+        (m, MEASUREMENT_RULES),
+        (cells, DOMAIN_RULES),
+        (seeds, [("STAT-008", "error", "true")]),
+        (referring(artifacts.withColumn("want_digest", scope_digest()), "a", o=("model_ref", models), d=("derived_from_artifact_ref", artifacts)), ARTIFACT_RULES),
+        (referring(panels, "panel", d=("derived_from", panels)), PANEL_RULES),
+        (scopes, [("REF-001", "error", "there IS NULL"), ("REF-007", "error", "there AND NOT tokenizer <=> other")]),
+        (weights, [("REF-001", "error", "there IS NULL")]),
+        (referring(references, "ref", a=("artifact_ref", artifacts), p=("panel_ref", panels), f=("self_consistency.floor_measurement_ref", measurements)), REFERENCE_RULES),
+        (crossed, [("REFC-004", "warn", "self_consistency.floor_measurement_ref IS NULL")]),
+        (referring(pipelines, "pipeline", p=("lane.bridge.panel_ref", panels), f=("lane.bridge.sealed_measurement_ref", measurements)), PIPELINE_RULES),
+        (reduce(DataFrame.unionByName, disclosures).withColumn("known_codes", own), DISCLOSURE_RULES),
+    ]
+    over_several = [
+        (("FLOOR-001", "FLOOR-002", "FLOOR-003"), lambda: floor_violations(ranked.where("NOT zero"), floors).select("code", "severity", "id")),
+        (("CMP-003", "CMP-005"), lambda: group_rules(m)),
+        (("CMP-004",), lambda: duplicates(live, ["artifact_ref", "panel_ref", "reference_ref", "pipeline_ref", "name", "stack", "head", "by"], "id", "live").select("code", "severity", "id")),
+        (("IDENT-002", "IDENT-006"), lambda: same_weights(artifacts)),
+        (("REF-009",), lambda: cycles(artifacts, "derived_from_artifact_ref", "REF-009")),
+        (("PANEL-004",), lambda: token_families(panels)),
+        (("REF-008",), lambda: cycles(panels, "derived_from", "REF-008")),
+        (("HARN-006",), lambda: unmeasured(measurements, list(allowed))),
+    ]
+    kept = [(d, [r for r in rules if wanted(r[0])]) for d, rules in tables]
+    parts = [broken(d, rules) for d, rules in kept if rules] + [make() for own_codes, make in over_several if wanted(*own_codes)]
+    if not parts:
+        raise ValueError(f"no rule has a code that begins with any of {codes}")
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    return found.where(F.col("code").rlike(f"^({'|'.join(codes)})")) if codes else found

@@ -96,51 +96,6 @@ def attributable_gates(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(f, ["key", "lane"], "left").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("value") - F.col("floor")), 4).alias("mean_gap"))
 
 
-@query("identity_violations", "WITH d AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS repo, p_size AS scope, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n, abs(p_retailprice / CAST(1e9 AS DOUBLE) * CASE WHEN p_partkey % 17 = 0 THEN 1.01 ELSE 1 END - p_retailprice / CAST(1e9 AS DOUBLE)) > 1e-6 * p_retailprice / CAST(1e9 AS DOUBLE) AS off FROM part) SELECT 'IDENT-002' AS code, id FROM d WHERE n > 1 UNION ALL SELECT 'IDENT-003', id FROM d WHERE off")
-def identity_violations(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    gb = F.col("p_retailprice") / F.lit(1e9)
-    stated = gb * F.when(F.col("p_partkey") % 17 == 0, 1.01).otherwise(1.0)
-    d = p.withColumns({"n": F.count("*").over(Window.partitionBy("p_brand", "p_type", "p_size")), "off": ~R.close(stated, gb, 1e-6)})
-    return coded(d, {"IDENT-002": F.col("n") > 1, "IDENT-003": F.col("off")}, "p_partkey")
-
-
-@query("scope_violations", "SELECT code, count(*) AS n FROM (SELECT 'SCOPE-002' AS code FROM part WHERE p_size NOT BETWEEN 2 AND 48 UNION ALL SELECT 'SCOPE-004' FROM part WHERE p_type LIKE 'PROMO%' AND p_size % 8 <> 0 UNION ALL SELECT 'SCOPE-011' FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 3)) GROUP BY code")
-def scope_violations(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    rows = coded(p, {"SCOPE-002": ~F.col("p_size").between(2, 48), "SCOPE-004": F.col("p_type").startswith("PROMO") & (F.col("p_size") % 8 != 0)}, "p_partkey").select("code")
-    wide = p.groupBy("p_brand").agg(F.count_distinct("p_type").alias("k")).where("k > 3").select(F.lit("SCOPE-011").alias("code"))
-    return rows.unionByName(wide).groupBy("code").agg(F.count("*").alias("n"))
-
-
-@query("panel_violations", "WITH w AS (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS k, max(turn) AS last, bool_or(role = 'system' AND turn > 0) AS late FROM conversations GROUP BY conv_id) SELECT 'PANEL-001' AS code, conv_id AS id FROM w WHERE n <> k UNION ALL SELECT 'PANEL-002', conv_id FROM w WHERE last <> n - 1 UNION ALL SELECT 'PANEL-005', conv_id FROM w WHERE n < 4 UNION ALL SELECT 'PANEL-008', conv_id FROM w WHERE late")
-def panel_violations(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("k"), F.max("turn").alias("last"), F.bool_or((F.col("role") == "system") & (F.col("turn") > 0)).alias("late"))
-    return coded(w, {"PANEL-001": F.col("n") != F.col("k"), "PANEL-002": F.col("last") != F.col("n") - 1, "PANEL-005": F.col("n") < 4, "PANEL-008": F.col("late")}, "conv_id")
-
-
-@query("key_geometry", f"WITH {M}, g AS (SELECT *, value // 50000 AS geo FROM (SELECT *, floor(value) AS v FROM m)), k AS (SELECT key, count(DISTINCT floor(value / 50000)) AS kinds, count(*) AS n FROM m GROUP BY key) SELECT 'CMP-003' AS code, CAST(id AS VARCHAR) AS id FROM m JOIN k USING (key) WHERE kinds > 1 AND lane = 'sealed' UNION ALL SELECT 'CMP-005', CAST(key AS VARCHAR) FROM k WHERE n = 1")
-def key_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    m = measurements(spark, sf)
-    k = m.groupBy("key").agg(F.count_distinct(F.floor(F.col("value") / 50000)).alias("kinds"), F.count("*").alias("n"))
-    one = m.join(k, "key").where("kinds > 1 AND lane = 'sealed'").select(F.lit("CMP-003").alias("code"), F.col("id").cast("string").alias("id"))
-    return one.unionByName(k.where("n = 1").select(F.lit("CMP-005").alias("code"), F.col("key").cast("string").alias("id")))
-
-
-@query("disclosure_checks", "WITH d AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS codes, count(*) AS n FROM events GROUP BY user_id) SELECT 'DISC-001' AS code, user_id AS id FROM d WHERE NOT list_contains(codes, 'purchase') UNION ALL SELECT 'DISC-002', user_id FROM d WHERE len(codes) > 4 UNION ALL SELECT 'DISC-004', user_id FROM d WHERE n > 60 AND NOT list_contains(codes, 'error')")
-def disclosure_checks(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("codes"), F.count("*").alias("n"))
-    has = lambda c: F.array_contains("codes", c)
-    return coded(d, {"DISC-001": ~has("purchase"), "DISC-002": F.size("codes") > 4, "DISC-004": (F.col("n") > 60) & ~has("error")}, "user_id")
-
-
-@query("bias_checks", "SELECT o_orderkey AS id, [c FOR c IN [CASE WHEN o_totalprice < 0 THEN 'BIAS-001' END, CASE WHEN o_orderstatus = 'P' AND o_totalprice > 150000 THEN 'BIAS-003' END, CASE WHEN o_orderpriority IS NULL THEN 'BIAS-006' END] if c IS NOT NULL] AS codes FROM orders WHERE o_totalprice < 0 OR (o_orderstatus = 'P' AND o_totalprice > 150000) OR o_orderpriority IS NULL")
-def bias_checks(spark: SparkSession, sf: str) -> DataFrame:
-    checks = {"BIAS-001": F.col("o_totalprice") < 0, "BIAS-003": (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 150000), "BIAS-006": F.col("o_orderpriority").isNull()}
-    codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))
-    return table(spark, sf, "orders").where(reduce(lambda a, b: a | b, checks.values())).select(F.col("o_orderkey").alias("id"), codes.alias("codes"))
-
-
 RULES_SQL = """WITH v AS (
   SELECT 'REF-003' AS code FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 23 = 0
   UNION ALL SELECT 'STAT-001' FROM orders WHERE o_orderkey % 31 = 0
