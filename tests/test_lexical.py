@@ -89,3 +89,11 @@ def test_no_calibration_text_overlaps_nothing(spark, tables):
     none = spark.createDataFrame([], "text string")
     assert all(r["shared_ngrams"] == 0 for r in C.calibration_overlap(tables[0], none, 3).collect())
     assert C.near_duplicate_audit(tables[0].limit(0), tables[1]).collect() == []
+
+
+def test_cleaning_composes_and_trims(spark):
+    from tidemark.functions import text
+
+    rows = [(0, "e\u0301a\r\nb \t\rc\x07\n\n\n\nd  "), (1, "  x"), (2, None), (3, "")]
+    got = spark.createDataFrame(rows, "i int, t string").orderBy("i").select(text.cleaned(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["\u00e9a\nb\nc\n\nd\n", "x\n", None, "\n"]

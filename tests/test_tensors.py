@@ -1,5 +1,6 @@
 """Tensor containers: what is read, how little of it, and what is refused; codecs against code by code loops."""
 
+import hashlib
 import json
 import struct
 
@@ -120,6 +121,22 @@ def test_base_of_log_probabilities(spark, tmp_path):
         spark.read.format("kld_base").option("path", str(tmp_path / "k")).load().collect()
 
 
+def test_digests_of_file_payload_and_tensor(spark, folder, monkeypatch):
+    T.register(spark)
+    got = {r["tensor"]: tuple(r)[2:] for r in spark.read.format("tensor_digests").option("path", str(folder)).load().collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for name in ("a.gguf", "b.safetensors"):
+        raw = (folder / name).read_bytes()
+        with opened(folder / name) as b:
+            tensors = [t for t in T.header(b)[1] if t.bytes is not None]
+        begin = min(t.offset for t in tensors)
+        for t in tensors:
+            assert got[t.name] == (sha(raw), sha(raw[begin:]), sha(raw[t.offset : t.offset + t.bytes]))
+    monkeypatch.setattr(T, "STEP", 1000)
+    (path,) = T.listed(str(folder / "a.gguf"))[1]
+    assert {r[1]: r[2:] for r in T.DigestReader({"path": str(folder)}).read(T.File(path))} == {k: got[k] for k in ("big", "q")}
+
+
 def half(raw, at):
     return np.float64(np.frombuffer(raw[at : at + 2], np.float16)[0])
 

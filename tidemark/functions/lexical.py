@@ -105,6 +105,72 @@ def windows_of(text: Column, size: int) -> Column:
     return windows(text)
 
 
+@cache
+def _joins_back() -> frozenset[str]:
+    """Characters that may compose with the one before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(seconds | {chr(c) for c in range(0x1161, 0x1176)} | {chr(c) for c in range(0x11A8, 0x11C3)})
+
+
+@cache
+def _begins(c: str) -> bool:
+    """Whether a text can be cut before this character without changing how it is folded."""
+    first = unicodedata.normalize("NFKC", c)[:1]
+    return bool(first) and unicodedata.combining(first) == 0 and first not in _joins_back()
+
+
+def folded_places(text: str) -> tuple[str, list[int], list[int]]:
+    """The folded text, and for each of its characters where what it came from begins and ends in ``text``."""
+    if text.isascii():
+        return text.lower(), list(range(len(text))), list(range(1, len(text) + 1))
+    cuts = [i for i, c in enumerate(text) if i == 0 or c.isascii() or _begins(c)]
+    out, begins, ends = [], [], []
+    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        piece = folded(text[a:b])
+        out.append(piece)
+        begins += [a] * len(piece)
+        ends += [b] * len(piece)
+    return "".join(out), begins, ends
+
+
+def token_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """The tokens of ``word_tokens`` with the span of the original text that each comes from."""
+    if not text:
+        return []
+    own, begins, ends = folded_places(text)
+    if own.isascii():
+        return [(m[0], begins[m.start()], ends[m.end() - 1]) for m in _ascii_run.finditer(own)]
+    spaced, at = [], []
+    for i, c in enumerate(own):
+        wide = _cjk.match(c) is not None
+        spaced += [" ", c, " "] if wide else [c]
+        at += [i, i, i] if wide else [i]
+    return [(m[0], begins[at[m.start()]], ends[at[m.end() - 1]]) for m in _run().finditer("".join(spaced))]
+
+
+SPAN = T.StructType([T.StructField("window_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("gap", T.IntegerType())])
+
+
+def window_spans(text: Column, size: int) -> Column:
+    """As ``windows_of``, with the characters of the original text that a window spans, and the ``gap`` since the window before (or the beginning)."""
+
+    @F.pandas_udf(T.ArrayType(SPAN))
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                t, own, upto = token_spans(text), [], 0
+                for k in range(0, len(t) - size + 1, size):
+                    start, stop = t[k][1], t[k + size - 1][2]
+                    own.append({"window_index": k // size, "text": " ".join(x[0] for x in t[k : k + size]), "start": start, "stop": stop, "gap": max(0, start - upto)})
+                    upto = stop
+                out.append(own)
+            yield pd.Series(out, dtype=object)
+
+    return windows(text)
+
+
 @F.pandas_udf(T.StringType())
 def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
@@ -114,3 +180,14 @@ def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def folded_text(text: Column) -> Column:
     """NFKC and case folding; ASCII texts, where lower case is the same, don't leave the JVM."""
     return F.coalesce(_fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
+@F.pandas_udf(T.StringType())
+def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """NFC; ASCII texts don't leave the JVM."""
+    return F.coalesce(_compose(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexical import CJK, folded_text
+from .lexical import CJK, composed, folded_text
 from .vector import let
 
 TOKEN = rf"[{CJK}]|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*"
@@ -41,9 +41,9 @@ def ngrams(toks: Column, n: int, separator: str = "\u001f") -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Line ends to LF, control characters out, trailing blanks off, runs of three line ends to two, one at the end."""
+    """Composed characters (NFC), line ends to LF, control characters out, trailing blanks off, runs of three line ends to two, one at the end."""
     steps = ((r"\r\n?", "\n"), (r"[\x00-\x08\x0B-\x1F\x7F]", ""), (r"[ \t]+(?=\n|\z)", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+\z", ""))
-    return F.concat(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text), F.lit("\n"))
+    return F.concat(reduce(lambda c, s: F.regexp_replace(c, *s), steps, composed(text)), F.lit("\n"))
 
 
 def capped(text: Column, n: int) -> Column:

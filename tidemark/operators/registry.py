@@ -131,3 +131,31 @@ def id_ngrams(ids: str, n: int) -> Column:
     """Every run of ``n`` ids once; none where there are fewer."""
     runs = F.transform(F.sequence(F.lit(1), F.size(ids) - (n - 1)), lambda i: F.slice(ids, i, n))
     return F.when(F.size(ids) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<array<long>>"))
+
+
+def chosen_panel(prior: DataFrame, panels: DataFrame, references: DataFrame, streaming: bool) -> DataFrame:
+    """For each model the pair of panel and reference for its next row, and the pairs behind it: ``place`` from 1.
+
+    ``prior``: model, panel, reference of published rows; ``panels``: panel, sealed, subset; ``references``: reference, logits,
+    native, floor.  The panel must be sealed and the reference's logits available; panels that are subsets count only for
+    models without any other.  In order: a reference with a floor (where ``streaming``), a native one, the pair with the most
+    rows, the panel's id.  A model has as many pairs as panels, so its pairs are ranked in one task.
+    """
+    pairs = prior.where("panel IS NOT NULL AND reference IS NOT NULL").groupBy("model", "panel", "reference").agg(F.count("*").alias("rows"))
+    able = pairs.join(panels, "panel").join(references, "reference").where("sealed AND logits")
+    whole = F.min(F.coalesce("subset", F.lit(False)).cast("int")).over(Window.partitionBy("model"))
+    pool = able.withColumn("least", whole).where(F.coalesce("subset", F.lit(False)).cast("int") == F.col("least"))
+    floor = F.coalesce("floor", F.lit(False)) if streaming else F.lit(False)
+    order = Window.partitionBy("model").orderBy(floor.desc(), F.coalesce("native", F.lit(False)).desc(), F.desc("rows"), "panel", "reference")
+    return pool.withColumn("place", F.row_number().over(order)).select("model", "panel", "reference", "rows", "place")
+
+
+def nested_diff(old: DataFrame, new: DataFrame, id_col: str, cells: str, key: str, fields: list[str]) -> DataFrame:
+    """As ``snapshot_diff`` for what lies in an array of structs: ``id``, ``key`` of the element, ``change``; elements meet by their key."""
+    flat = lambda d: d.select(F.col(id_col).alias("id"), F.explode(cells).alias("x")).select("id", F.col(f"x.{key}").alias("key"), *(F.col(f"x.{f}").alias(f) for f in fields))
+    both = old.select(F.col(id_col).alias("id")).join(new.select(F.col(id_col).alias("id")), "id")
+    o = flat(old).join(both, "id", "left_semi").select("id", "key", F.struct(*fields).alias("o"))
+    n = flat(new).join(both, "id", "left_semi").select("id", "key", F.struct(*fields).alias("n"))
+    kind = F.when(F.col("o").isNull(), F.array(F.lit("added"))).when(F.col("n").isNull(), F.array(F.lit("removed")))
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields)))
+    return o.join(n, ["id", "key"], "full_outer").select("id", "key", F.explode(F.coalesce(kind, changed)).alias("change"))

@@ -11,6 +11,7 @@ from tidemark.operators import constraints
 from tidemark.operators import corpus as C
 from tidemark.operators import ordering
 from tidemark.operators import registry as R
+from tidemark.operators import rules as rulebook
 
 from .catalog import query, table
 from .registry_queries import M, measurements
@@ -39,9 +40,10 @@ def suite_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("surface_sniff", "SELECT CASE WHEN p_name LIKE '%.gguf' OR p_type LIKE '%STEEL' THEN 'gguf' WHEN p_type LIKE 'PROMO%' THEN 'exl3' WHEN p_size < 10 THEN 'mlx' WHEN p_brand = 'Brand#11' THEN 'nvfp4' ELSE 'unknown' END AS surface, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
 def surface_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    t, n = F.col("p_type"), F.col("p_name")
-    kind = F.when(n.endswith(".gguf") | t.endswith("STEEL"), "gguf").when(t.startswith("PROMO"), "exl3").when(F.col("p_size") < 10, "mlx").when(F.col("p_brand") == "Brand#11", "nvfp4").otherwise("unknown")
-    return table(spark, sf, "part").groupBy(kind.alias("surface")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    rules = [
+        {"name": "gguf", "when": {"any": [{"ends": ["p_name", ".gguf"]}, {"ends": ["p_type", "STEEL"]}]}}, {"name": "exl3", "when": {"begins": ["p_type", "PROMO"]}}, {"name": "mlx", "when": {"lt": ["p_size", 10]}}, {"name": "nvfp4", "when": {"eq": ["p_brand", "Brand#11"]}},
+    ]
+    return table(spark, sf, "part").groupBy(rulebook.first(rules, "unknown").alias("surface")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
 def _seal(name: Column, nation: Column, seal: Column) -> Column:

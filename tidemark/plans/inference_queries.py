@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,8 @@ def wider_interval(spark: SparkSession, sf: str) -> DataFrame:
 def comparison_class(spark: SparkSession, sf: str) -> DataFrame:
     """Every supplier against itself or the one with the next key; the last key's next is the first."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.sha2("s_name", 256).alias("h"))
-    a = s.withColumn("block", F.floor(F.col("s_suppkey") / 1000))  # the next key is sought in a block of keys, else in the next block
+    width = max(1, math.isqrt(s.count()))  # the next key is sought in a block of keys, else in the next block; both are as many as the root of the rows
+    a = s.withColumn("block", F.floor(F.col("s_suppkey") / width))
     blocks = a.groupBy("block").agg(F.min("s_suppkey").alias("first"))
     after = blocks.select("block", F.coalesce(F.lead("first").over(Window.orderBy("block")), F.min("first").over(Window.partitionBy())).alias("after"))
     a = a.withColumn("next", F.lead("s_suppkey").over(Window.partitionBy("block").orderBy("s_suppkey"))).join(after, "block")
@@ -141,9 +144,3 @@ def bootstrap_t_log(spark: SparkSession, sf: str) -> DataFrame:
 @query("position_bootstrap")
 def position_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return I.position_bootstrap(k_rows(spark, sf).select("window_id", F.col("kld").alias("x")))
-
-
-@query("coverage_sim")
-def coverage_sim(spark: SparkSession, sf: str) -> DataFrame:
-    cells = spark.range(2, 26).select(F.col("id").alias("g"), F.explode(F.array(*map(F.lit, (0.3, 0.5, 1.0)))).alias("cv"))
-    return I.coverage(cells.repartition(8))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import closure, ordering
 from tidemark.operators import registry as R
+from tidemark.operators import rules as rulebook
 
 from .catalog import query, table
 
@@ -151,8 +152,44 @@ def lane_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gate_ladder", "SELECT gate, count(*) AS rows FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN '1-form' WHEN o_totalprice < 5000 THEN '2-provenance' WHEN o_custkey % 11 = 0 THEN '3-panel' WHEN o_orderpriority = '5-LOW' THEN '4-lane' END AS gate FROM orders) WHERE gate IS NOT NULL GROUP BY gate")
 def gate_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    gate = F.when(F.col("o_orderstatus") == "P", "1-form").when(F.col("o_totalprice") < 5000, "2-provenance").when(F.col("o_custkey") % 11 == 0, "3-panel").when(F.col("o_orderpriority") == "5-LOW", "4-lane")
-    return table(spark, sf, "orders").select(gate.alias("gate")).where("gate IS NOT NULL").groupBy("gate").agg(F.count("*").alias("rows"))
+    rules = [
+        {"name": "1-form", "when": {"eq": ["o_orderstatus", "P"]}}, {"name": "2-provenance", "when": {"lt": ["o_totalprice", 5000]}}, {"name": "3-panel", "when": {"eq": ["eleventh", 0]}}, {"name": "4-lane", "when": {"eq": ["o_orderpriority", "5-LOW"]}},
+    ]
+    return rulebook.gated(table(spark, sf, "orders").withColumn("eleventh", F.col("o_custkey") % 11), rules).where("gate IS NOT NULL").groupBy("gate").agg(F.count("*").alias("rows"))
+
+
+SEARCHES = {
+    "all": {}, "model or family": {"model": "ASIA"}, "part of a model": {"model": "An"}, "artifact": {"artifact": "00012"}, "panel": {"panel": "mach"}, "no lane": {"lane": "none"}, "lane": {"lane": "2-HIGH"}, "measurer": {"measured_by": "BUILDING"}, "several": {"model": "asia", "panel": "AUTO", "lane": "1-URGENT", "bpw": 6},
+}
+
+
+@query("registry_search", """WITH r AS (
+  SELECT o_orderstatus = 'F' AS ok, lower(n_name) AS model, lower(r_name) AS family, lower(c_name) AS artifact, lower(c_mktsegment) AS panel, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS lane, c_mktsegment AS measurer, CASE WHEN o_orderkey % 3 = 0 THEN 6.0 WHEN o_orderkey % 3 = 1 THEN 4.0 END AS bpw
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT * FROM r WHERE ok)
+SELECT 'all' AS search, count(*) AS n FROM f UNION ALL SELECT 'model or family', count(*) FROM f WHERE contains(model, 'asia') OR family = 'asia' UNION ALL SELECT 'part of a model', count(*) FROM f WHERE contains(model, 'an') OR family = 'an' UNION ALL SELECT 'artifact', count(*) FROM f WHERE contains(artifact, '00012')
+UNION ALL SELECT 'panel', count(*) FROM f WHERE contains(panel, 'mach') UNION ALL SELECT 'no lane', count(*) FROM f WHERE lane IS NULL UNION ALL SELECT 'lane', count(*) FROM f WHERE lane = '2-HIGH' UNION ALL SELECT 'measurer', count(*) FROM f WHERE measurer = 'BUILDING'
+UNION ALL SELECT 'several', count(*) FROM f WHERE (contains(model, 'asia') OR family = 'asia') AND contains(panel, 'auto') AND lane = '1-URGENT' AND bpw = 6""")
+def registry_search(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows each of several searches finds, in one pass."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = {"model": "n_name", "family": "r_name", "artifact": "c_name", "panel": "c_mktsegment", "measurer": "c_mktsegment"}
+    o = o.select(F.when(F.col("o_orderstatus") == "F", "published").alias("status"), *(F.col(c).alias(name) for name, c in names.items()), *(F.lit(None).cast("string").alias(c) for c in ("repository", "producer", "measured_by", "metric", "codec", "class")), F.when(k % 4 > 0, F.col("o_orderpriority")).alias("lane"), F.when(k % 3 == 0, 6.0).when(k % 3 == 1, 4.0).alias("bpw"))
+    counts = o.agg(*(F.count_if(rulebook.compiled(rulebook.search(**asked))).alias(name) for name, asked in SEARCHES.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("search"), F.col(name).alias("n")) for name in SEARCHES))).alias("x")).select("x.*")
+
+
+@query("capture_gates", """SELECT gate, count(*) AS rows FROM (SELECT CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AND a.o_orderkey % 3 > 0 THEN 'form' WHEN a.o_totalprice < 5000 OR b.o_totalprice < 5000 THEN 'provenance' WHEN year(a.o_orderdate) <> year(b.o_orderdate) AND a.o_orderkey % 7 > 0 THEN 'panel' WHEN a.o_orderpriority <> b.o_orderpriority AND a.o_orderkey % 2 > 0 THEN 'lane' WHEN a.o_custkey % 5 <> b.o_custkey % 5 AND a.o_orderkey % 5 > 0 THEN 'coverage' END AS gate FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1) WHERE gate IS NOT NULL GROUP BY gate""")
+def capture_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order against the one with the next key, as two captures before they are compared."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(k, F.col("o_orderstatus").alias("form"), (F.col("o_totalprice") < 5000).alias("preview"), F.year("o_orderdate").alias("suite"), F.col("o_orderpriority").alias("lane"), (F.col("o_custkey") % 5).alias("contexts"))
+    o = o.withColumns({c: F.lit(1) for c in ("scoring_window", "tokenizer", "head", "vocab", "width")})
+    sides = [o.select((k + 1 if side == "a" else k).alias("next"), *([k] if side == "a" else []), *(F.col(c).alias(f"{c}_{side}") for c in o.columns if c != "o_orderkey")) for side in "ab"]
+    pairs = sides[0].join(sides[1], "next").withColumns({"allow_mixed_form": k % 3 == 0, "allow_preview": F.lit(False), "allow_cross_lane": k % 2 == 0, "allow_partial": k % 5 == 0})
+    pairs = pairs.withColumn("suite_b", F.when(k % 7 == 0, F.col("suite_a")).otherwise(F.col("suite_b")))
+    return rulebook.gated(pairs, rulebook.CAPTURE_GATES).where("gate IS NOT NULL").groupBy("gate").agg(F.count("*").alias("rows"))
 
 
 def _ids(spec: str) -> list[tuple[int, int]]:
@@ -442,3 +479,35 @@ def token_id_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     """Each n-gram of token ids once, as a set."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.col("vec_id") * 31 + k * k) % 7)
     return table(spark, sf, "embeddings").select("vec_id", ids.alias("ids")).select("vec_id", F.size(R.id_ngrams("ids", 5)).alias("distinct_ngrams"))
+
+
+@query("panel_choice", """WITH p AS (SELECT c_nationkey AS model, o_orderpriority AS panel, o_orderstatus AS reference, count(*) AS rows FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+e AS (SELECT *, model % 5 > 0 AND panel LIKE '%-%' AND panel <> '4-NOT SPECIFIED' AS subset FROM p WHERE panel <> '5-LOW' AND NOT (reference = 'P' AND model % 2 = 0)),
+f AS (SELECT * FROM e QUALIFY subset = min(subset) OVER (PARTITION BY model))
+SELECT model, panel, reference, rows, row_number() OVER (PARTITION BY model ORDER BY reference = 'F' DESC, reference <> 'P' DESC, rows DESC, panel, reference) AS place FROM f""")
+def panel_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """For each nation as a model: priorities as panels, order states as references; which pair its next row goes to."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = F.col("c_nationkey").cast("string")
+    prior = o.select(F.col("c_nationkey").alias("model"), F.concat(n, F.lit("/"), "o_orderpriority").alias("panel"), F.concat(n, F.lit("/"), "o_orderstatus").alias("reference"))
+    own = F.split_part("panel", F.lit("/"), F.lit(2))
+    model = F.split_part("panel", F.lit("/"), F.lit(1)).cast("int")
+    panels = prior.select("panel").distinct().select("panel", (own != "5-LOW").alias("sealed"), ((model % 5 > 0) & (own != "4-NOT SPECIFIED")).alias("subset"))
+    state = F.split_part("reference", F.lit("/"), F.lit(2))
+    of = F.split_part("reference", F.lit("/"), F.lit(1)).cast("int")
+    references = prior.select("reference").distinct().select("reference", (~((state == "P") & (of % 2 == 0))).alias("logits"), (state != "P").alias("native"), (state == "F").alias("floor"))
+    chosen = R.chosen_panel(prior, panels, references, streaming=True)
+    return chosen.select("model", own.alias("panel"), state.alias("reference"), "rows", "place")
+
+
+@query("snapshot_domains", """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS key, l_quantity AS q, l_tax AS t FROM lineitem),
+o AS (SELECT * FROM l WHERE id % 9 > 0 AND key % 4 <> 3), n AS (SELECT id, key, q + CASE WHEN id % 5 = 0 AND key = 1 THEN 1 ELSE 0 END AS q, CASE WHEN id % 7 > 0 THEN t END AS t FROM l WHERE id % 8 > 0 AND key <> 2),
+b AS (SELECT id FROM o INTERSECT SELECT id FROM n),
+d AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.key, n.key) AS key, o.id IS NULL AS added, n.id IS NULL AS removed, o.q IS DISTINCT FROM n.q AS cq, o.t IS DISTINCT FROM n.t AS ct FROM (SELECT * FROM o SEMI JOIN b USING (id)) o FULL JOIN (SELECT * FROM n SEMI JOIN b USING (id)) n ON o.id = n.id AND o.key = n.key)
+SELECT id, key, unnest(CASE WHEN added THEN ['added'] WHEN removed THEN ['removed'] ELSE list_filter([CASE WHEN cq THEN 'q' END, CASE WHEN ct THEN 't' END], lambda x: x IS NOT NULL) END) AS change FROM d""")
+def snapshot_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their lines as cells, before and after: what changed in each line."""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("key"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"))
+    cells = lambda d: d.groupBy("id").agg(F.collect_list(F.struct("key", "q", "t")).alias("cells"))  # noqa: E731  an order has seven lines at most
+    new = l.where("id % 8 > 0 AND key <> 2").withColumns({"q": F.col("q") + F.when((F.col("id") % 5 == 0) & (F.col("key") == 1), 1).otherwise(0), "t": F.when(F.col("id") % 7 > 0, F.col("t"))})
+    return R.nested_diff(cells(l.where("id % 9 > 0 AND key % 4 <> 3")), cells(new), "id", "cells", "key", ["q", "t"])

@@ -9,6 +9,7 @@ from tidemark.functions import lexical as L
 from tidemark.functions import text as T
 from tidemark.functions.lexical import CJK
 from tidemark.operators import corpus as C
+from tidemark.operators import rules as rulebook
 
 from .catalog import query, table
 
@@ -112,7 +113,7 @@ def prior_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     return d.where(~F.col("source").isin("src0", "src1")).join(prior.select("h").distinct(), "h", "left_anti").join(prior.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "source")
 
 
-@query("text_clean", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') || chr(10)) AS cleaned_sha256 FROM documents")
+@query("text_clean", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') || chr(10)) AS cleaned_sha256 FROM documents")
 def text_clean(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.sha2(T.cleaned(F.col("text")), 256).alias("cleaned_sha256"))
 
@@ -169,9 +170,16 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return planted(spark, sf).groupBy((F.col("doc_id") % 6).alias("kind")).agg(F.count("*").alias("documents"), F.count_if(T.holds_secret(F.col("text"))).alias("with_secret"))
 
 
-@query("credential_names", r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)')")
+CREDENTIALS_SQL = f"list_has_any(parts[:-2], {list(T.CREDENTIAL_FOLDERS)}) OR parts[-1] IN {T.CREDENTIAL_FILES + T.CREDENTIAL_FOLDERS} OR regexp_matches(parts[-1], '\\.({'|'.join(e[1:] for e in T.CREDENTIAL_ENDINGS)})$')"
+ENDINGS = ("", ".pem", "/.env", "/.ssh/known_hosts", "/tokenizer.json", "/.git/config", "/id_rsa", ".key/readme")
+
+
+@query("credential_names", f"WITH f AS (SELECT page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') || list_extract({list(ENDINGS)}, page_id % {len(ENDINGS)} + 1) AS path FROM pages WHERE url IS NOT NULL), g AS (SELECT *, string_split(path, '/') AS parts FROM f) SELECT page_id, path FROM g WHERE {CREDENTIALS_SQL}")
 def credential_names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").where(F.col("url").rlike(r"(?i)(^|[/._-])(id_rsa|credentials?|secrets?|tokens?|pills|\.env)([/._-]|$)")).select("page_id", "url")
+    """Files below each url, some of which publishing would disclose."""
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS)).cast("int"))
+    path = F.concat(F.rtrim(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/")), ending)
+    return table(spark, sf, "pages").where("url IS NOT NULL").select("page_id", path.alias("path")).where(T.credential_name(F.col("path")))
 
 
 @query("degenerate_text", r"WITH w AS (SELECT doc_id, trim(text) AS x, [y FOR y IN regexp_split_to_array(trim(text), '\s+') if y <> ''] AS t FROM documents) SELECT doc_id, length(x) < 20 OR len(t) < 8 OR len(list_distinct([array_to_string(t[i:i+3], ' ') FOR i IN range(1, len(t) - 2)])) < CAST(0.3 AS DOUBLE) * len(t) AS degenerate FROM w")
@@ -259,9 +267,32 @@ def chat_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tensor_classifier", "SELECT CASE WHEN regexp_matches(p_type, '(?i)^promo') THEN 'head' WHEN regexp_matches(p_type, '(?i)steel|brass') THEN 'expert' WHEN regexp_matches(p_type, '(?i)copper|tin') THEN 'attention' ELSE 'other' END AS class, count(*) AS n FROM part GROUP BY 1")
 def tensor_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("p_type")
-    first = F.when(t.rlike("(?i)^promo"), "head").when(t.rlike("(?i)steel|brass"), "expert").when(t.rlike("(?i)copper|tin"), "attention").otherwise("other")
-    return table(spark, sf, "part").groupBy(first.alias("class")).agg(F.count("*").alias("n"))
+    rules = [{"name": n, "when": {"matches": ["p_type", p]}} for n, p in (("head", "(?i)^promo"), ("expert", "(?i)steel|brass"), ("attention", "(?i)copper|tin"))]
+    return table(spark, sf, "part").groupBy(rulebook.first(rules, "other").alias("class")).agg(F.count("*").alias("n"))
+
+
+TENSOR_NAMES = ("model.embed_tokens.weight", "lm_head.weight", "model.layers.{}.mlp.gate.weight", "model.layers.{}.mlp.experts.7.up_proj.weight", "model.language_model.layers.{}.self_attn.q_proj.weight", "model.layers.{}.self_attn.o_proj.weight", "model.layers.{}.self_attn.q_norm.weight", "model.layers.{}.mlp.down_proj.weight", "model.layers.{}.input_layernorm.weight", "visual.blocks.{}.attn.weight", "model.norm.weight", "model.layers.{}.eh_proj.weight", "model.layers.{}.mlp.shared_experts.up_proj.weight")
+TENSOR_KINDS = ("embed_tokens", "lm_head", "moe.router", "moe.experts", "attn.qkv", "attn.o", "attn.other", "mlp.down", "norm", "other", "norm", "mtp", "moe.shared_expert")
+
+
+@query("tensor_classes", f"SELECT list_extract({list(TENSOR_KINDS)}, p_partkey % {len(TENSOR_NAMES)} + 1) AS class, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1")
+def tensor_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as tensors of a decoder, told by their names."""
+    name = F.replace(F.get(F.array(*map(F.lit, TENSOR_NAMES)), (F.col("p_partkey") % len(TENSOR_NAMES)).cast("int")), F.lit("{}"), F.col("p_size").cast("string"))
+    return table(spark, sf, "part").withColumn("name", name).groupBy(rulebook.tensor_class("name").alias("class")).agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("size"))
+
+
+@query("window_spans", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, regexp_matches(x, '[\\p{L}\\p{N}\\p{M}_]') AS w FROM c),
+e AS (SELECT *, w AND NOT coalesce(lag(w) OVER d, false) AS opens, w AND NOT coalesce(lead(w) OVER d, false) AS closes FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, i - 1 AS start, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM e WHERE opens),
+b AS (SELECT doc_id, i AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM e WHERE closes)
+SELECT doc_id, CAST(a.k // 64 AS INTEGER) AS window_index, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(start - coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY a.k), 0) AS INTEGER) AS gap
+FROM a JOIN b USING (doc_id) WHERE a.k % 64 = 0 AND b.k = a.k + 63""")
+def window_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 64 tokens with the characters of the text that they span."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(L.window_spans(F.col("text"), 64)).alias("w"))
+    return d.select("doc_id", "w.window_index", "w.start", "w.stop", "w.gap")
 
 
 SPLITS = "(SELECT CASE p_size % 3 WHEN 0 THEN 'q' || p_brand || '/part' WHEN 1 THEN 'm' || p_brand ELSE 'mmproj' END || '-0000' || CAST(p_size % 5 + 1 AS VARCHAR) || '-of-00005.gguf' AS f, p_size FROM part)"

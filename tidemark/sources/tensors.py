@@ -1,6 +1,6 @@
 """Tensor containers as Spark data sources: headers are parsed once, and rows are read by seeking to them.
 
-``register(spark)`` adds four formats, whose ``path`` is a file or a folder of files on any file system that pyarrow opens:
+``register(spark)`` adds five formats, whose ``path`` is a file or a folder of files on any file system that pyarrow opens:
 
 * ``tensor_directory``: file, tensor, dtype, shape, offset (from the file's beginning), bytes
 * ``tensor_metadata``: file, key, value (as JSON)
@@ -9,6 +9,7 @@
   excluded) reach the planning, so what they leave out is neither planned nor read; ``rows`` sets them.  They are options and not
   pushed filters, as Spark 4.1 keeps pushed filters of a Python source with the loaded frame: a self-join of it read
   one side with the other's filter.
+* ``tensor_digests``: file, tensor, and sha256 of the file, of its data region and of the tensor's bytes
 * ``kld_base``: file, chunk, position, token, scored; of a file of base log-probabilities, the panel that it carries
 
 Files with ``.safetensors`` and ``.gguf`` are told by their first bytes.  Refused, with the file named: an unknown magic or version, a
@@ -18,6 +19,7 @@ disagree, and sets of split files that aren't whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import struct
@@ -43,6 +45,7 @@ BLOCKS = {
 PLAIN = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1"}
 BASE_MAGIC = b"_logits_"
 READ_AHEAD = 1 << 16
+STEP = 4 << 20
 
 
 class Refused(ValueError):
@@ -327,6 +330,34 @@ class RowsReader(DirectoryReader):
             yield t.file, t.name, first + k, row.tolist()
 
 
+class Digests(Directory):
+    kind, columns = "tensor_digests", "file string, tensor string, file_sha256 string, payload_sha256 string, content_sha256 string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return DigestReader(self.options)
+
+
+class DigestReader(DirectoryReader):
+    """Of the file, of what lies behind its header, and of each tensor's own bytes; a file is read once, forwards."""
+
+    def read(self, partition: File) -> Iterator[tuple]:
+        system, _ = listed(self.path)
+        with Bytes(system, partition.path) as b:
+            tensors = [t for t in header(b)[1] if t.bytes is not None]
+            begin = min((t.offset for t in tensors), default=b.size)
+            whole, payload, own = hashlib.sha256(), hashlib.sha256(), {t.name: hashlib.sha256() for t in tensors}
+            for at in range(0, b.size, STEP):
+                block = b.range(at, min(STEP, b.size - at))
+                whole.update(block)
+                payload.update(block[max(begin - at, 0) :])
+                for t in tensors:
+                    lo, hi = max(t.offset, at), min(t.offset + t.bytes, at + len(block))
+                    if lo < hi:
+                        own[t.name].update(block[lo - at : hi - at])
+            for t in tensors:
+                yield t.file, t.name, whole.hexdigest(), payload.hexdigest(), own[t.name].hexdigest()
+
+
 class Base(Directory):
     kind, columns = "kld_base", "file string, chunk int, position int, token int, scored boolean"
 
@@ -388,7 +419,7 @@ def write_safetensors(rows: DataFrame, path: str, columns: dict[str, str]) -> No
 
 
 def register(spark: SparkSession) -> None:
-    for source in (Directory, Metadata, Rows, Base):
+    for source in (Directory, Metadata, Rows, Digests, Base):
         spark.dataSource.register(source)
 
 
