@@ -194,3 +194,11 @@ def test_fp8_blocks_with_partial_edges():
     scales = np.array([[2.0, 3.0], [0.5, 1.0]], np.float32)
     got = codecs.fp8_blocks(raw, (6, 5), scales, block=4).reshape(6, 5)
     assert all(got[i, j] == codecs.E4M3[raw[i * 5 + j]] * scales[i // 4, j // 4] for i in range(6) for j in range(5))
+
+
+def test_power_of_two_scales_round_to_bfloat16():
+    raw, scales = bytes(range(0, 64)), bytes([130, 120])
+    got = codecs.mx_blocks(raw, scales)
+    want = [float(codecs.E4M3[c]) * 2.0 ** (scales[i // 32] - 127) for i, c in enumerate(raw)]
+    assert codecs.bf16_to_float32(got.tobytes()).tolist() == want
+    assert codecs.bf16_to_float32(codecs.mx_blocks(bytes([0x38] * 32), bytes([255])).tobytes()).tolist() != [1.0] * 32

@@ -69,6 +69,13 @@ def fp8_blocks(raw: bytes, shape: tuple[int, int], scales: np.ndarray, block: in
     return w * full
 
 
+def mx_blocks(raw: bytes, scales: bytes, block: int = 32) -> np.ndarray:
+    """One-byte floats times a power of two for each block, rounded to bfloat16; the bits."""
+    own = E8M0[np.frombuffer(scales, np.uint8)]
+    values = E4M3[np.frombuffer(raw, np.uint8)].reshape(-1, block).astype(np.float64) * own[:, None]
+    return float32_to_bf16(values.ravel().astype(np.float32))
+
+
 def q8_0(raw: bytes) -> np.ndarray:
     """Blocks of 32: a half-precision scale and 32 signed bytes."""
     b = np.frombuffer(raw, np.uint8).reshape(-1, 34)
@@ -161,3 +168,23 @@ def decoded(kind: pd.Series, raw: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def affine_decoded(raw: pd.Series, bits: pd.Series, scales: pd.Series, biases: pd.Series, group: pd.Series) -> pd.Series:
     return pd.Series([affine(unpack_bits(r, int(b), len(s) * int(g)), np.asarray(s), np.asarray(z), int(g)) for r, b, s, z, g in zip(raw, bits, scales, biases, group, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def e2m1_decoded(raw: pd.Series, scales: pd.Series, whole: pd.Series, inverse: pd.Series) -> pd.Series:
+    return pd.Series([e2m1(r, np.asarray(s), global_scale=float(w), inverse=bool(i)) for r, s, w, i in zip(raw, scales, whole, inverse, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def fp8_decoded(raw: pd.Series, rows: pd.Series, columns: pd.Series, scales: pd.Series, block: pd.Series) -> pd.Series:
+    """A matrix of one-byte floats with a scale for each square block, row by row; blocks at the edges may be partial."""
+
+    def one(r: bytes, n: int, m: int, s: list, b: int) -> np.ndarray:
+        return np.asarray(fp8_blocks(r, (int(n), int(m)), np.asarray(s, np.float32).reshape(-(-int(n) // int(b)), -1), int(b))).ravel()
+
+    return pd.Series([one(*x) for x in zip(raw, rows, columns, scales, block, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def mx_decoded(raw: pd.Series, scales: pd.Series) -> pd.Series:
+    return pd.Series([mx_blocks(r, s).astype(np.int32) for r, s in zip(raw, scales, strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, special
@@ -57,3 +57,40 @@ def tensor_directory(spark: SparkSession, sf: str) -> DataFrame:
     tensors.register(spark)
     d = spark.read.format("tensor_directory").option("path", at).load()
     return d.groupBy("tensor", "dtype").agg(F.sum(F.get("shape", F.lit(0))).alias("rows"), F.max(F.get("shape", F.lit(1))).alias("width"), F.sum("bytes").alias("bytes"))
+
+
+def _bytes(n: int, code) -> Column:
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lpad(F.hex(code(k)), 2, "0")), ""))
+
+
+FOURS = "[0, 0.5, 1, 1.5, 2, 3, 4, 6, 0, -0.5, -1, -1.5, -2, -3, -4, -6]"
+
+
+@query("decode_nvfp4", f"SELECT vec_id, round(list_sum([CAST({FOURS}[(vec_id * 5 + k * 3) % 16 + 1] AS DOUBLE) * CASE WHEN k < 16 THEN 1.5 ELSE 0.25 END FOR k IN range(0, 32)]) * 2, 6) AS total, round(list_sum([CAST({FOURS}[(vec_id * 5 + k * 3) % 16 + 1] AS DOUBLE) * CASE WHEN k < 16 THEN 1.5 ELSE 0.25 END FOR k IN range(0, 32)]) / 2, 6) AS inverse_total FROM embeddings")
+def decode_nvfp4(spark: SparkSession, sf: str) -> DataFrame:
+    """32 codes of four bits in two groups, with a whole scale that multiplies, or divides where it is stored inverted."""
+    code = lambda k: (F.col("vec_id") * 5 + k * 3) % 16
+    raw = _bytes(16, lambda j: code(j * 2 + 1) * 16 + code(j * 2))
+    scales = F.array(F.lit(1.5).cast("float"), F.lit(0.25).cast("float"))
+    total = lambda inverse: F.round(V.total(F.transform(codecs.e2m1_decoded(raw, scales, F.lit(2.0), F.lit(inverse)), lambda x: x.cast("double"))), 6)
+    return table(spark, sf, "embeddings").select("vec_id", total(False).alias("total"), total(True).alias("inverse_total"))
+
+
+EIGHTS = "(1 + c % 8 / CAST(8 AS DOUBLE)) * pow(CAST(2 AS DOUBLE), c // 8 - 7)"
+
+
+@query("decode_fp8", f"WITH c AS (SELECT vec_id, k, 8 + (vec_id * 7 + k * 11) % 112 AS c FROM embeddings CROSS JOIN range(0, 30) AS t(k)) SELECT vec_id, round(sum({EIGHTS} * CASE WHEN k // 6 < 4 THEN CASE WHEN k % 6 < 4 THEN 2 ELSE 3 END ELSE CASE WHEN k % 6 < 4 THEN 0.5 ELSE 1 END END), 6) AS total FROM c GROUP BY vec_id")
+def decode_fp8(spark: SparkSession, sf: str) -> DataFrame:
+    """Matrices of five rows and six columns in blocks of four, partial at both edges."""
+    raw = _bytes(30, lambda k: 8 + (F.col("vec_id") * 7 + k * 11) % 112)
+    scales = F.array(*(F.lit(x).cast("float") for x in (2.0, 3.0, 0.5, 1.0)))
+    v = codecs.fp8_decoded(raw, F.lit(5), F.lit(6), scales, F.lit(4))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(V.total(F.transform(v, lambda x: x.cast("double"))), 6).alias("total"))
+
+
+@query("decode_mx", "WITH c AS (SELECT vec_id, k, 8 + (vec_id * 7 + k * 11) % 112 AS c, CASE WHEN k < 32 THEN 127 + vec_id % 5 ELSE 126 END AS s FROM embeddings CROSS JOIN range(0, 64) AS t(k)) SELECT vec_id, CAST(sum((c // 8 - 7 + s) * 128 + c % 8 * 16) AS BIGINT) AS bits FROM c GROUP BY vec_id")
+def decode_mx(spark: SparkSession, sf: str) -> DataFrame:
+    """One-byte floats in two blocks with power-of-two scales, as bits of bfloat16."""
+    raw = _bytes(64, lambda k: 8 + (F.col("vec_id") * 7 + k * 11) % 112)
+    scales = F.unhex(F.concat(F.lpad(F.hex(127 + F.col("vec_id") % 5), 2, "0"), F.lit("7E")))
+    return table(spark, sf, "embeddings").select("vec_id", F.aggregate(codecs.mx_decoded(raw, scales), F.lit(0).cast("long"), lambda a, x: a + x).alias("bits"))
