@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vector as V
 
+from .shared import written
+
 
 def rows(embeddings: DataFrame, *, bits: int, kind: str = "perrow", scale: float = 16.0, window: int = 25) -> DataFrame:
     """``vec_id``, ``label``, ``window_id``, ``position``, ``teacher``, ``candidate``."""
@@ -58,9 +62,8 @@ def chunked_normalizer(d: DataFrame, chunk: int) -> DataFrame:
 def replay(hidden: DataFrame, head: DataFrame, *, head_bytes: int = 64 << 20) -> DataFrame:
     """Hidden rows (``vec_id``, ``v``) times a head matrix (``token``, ``w``): logits in long form.
 
-    A head of up to ``head_bytes`` bytes, which is measured, goes to every task.  A larger one is cut into blocks of that
-    size, which meet the hidden rows one row per (row, block): every block is one row, and what a task multiplies
-    is one hidden row and one block.
+    A head of up to ``head_bytes`` bytes, which is measured, goes to every task.  A larger one is dealt by a hash into blocks of
+    about that size, which go to every task one after the other: no hidden row moves, and both sides are written once.
     """
     logit = lambda v, w: F.round(V.total(F.zip_with(v, w, lambda x, y: x * y)), 6)
     size = head.agg(F.count("*").alias("n"), F.max(F.size("w")).alias("width")).first()
@@ -68,10 +71,9 @@ def replay(hidden: DataFrame, head: DataFrame, *, head_bytes: int = 64 << 20) ->
     if blocks <= 1:
         return hidden.join(F.broadcast(head)).select("vec_id", "token", logit("v", "w").alias("logit"))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    rows = head.groupBy(part("token").alias("block")).agg(F.collect_list(F.struct("token", "w")).alias("rows"))
-    each = hidden.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = each.join(rows, "block").select("vec_id", "v", F.explode("rows").alias("r"))
-    return met.select("vec_id", F.col("r.token").alias("token"), logit("v", "r.w").alias("logit"))
+    rows, dealt = written(hidden.select("vec_id", "v"), "hidden"), written(head.select("token", "w", part("token").alias("block")), "head")
+    each = (rows.join(F.broadcast(dealt.where(F.col("block") == k))).select("vec_id", "token", logit("v", "w").alias("logit")) for k in range(blocks))
+    return reduce(DataFrame.unionByName, each)
 
 
 def local_experts(experts: Column, *, rank: int, per_rank: int) -> Column:

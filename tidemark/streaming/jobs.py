@@ -59,10 +59,11 @@ def lease_machine(events: DataFrame, allowed: list[tuple[str | None, str]], *, k
 def ladder(shards: DataFrame, folder: str, *, index: str = "idx", value: str = "m", weight: str = "n") -> DataStreamWriter:
     """Shards of scored contexts as they arrive, and after each batch the figures over all so far.
 
-    A batch's rows go to ``folder/rows/batch=<id>``, its checkpoint (``contexts``, ``positions``, ``token_mean``,
-    ``macro_mean``) to ``folder/ladder/batch=<id>``.  An index that was there before, in this batch or an earlier one,
-    refuses the batch: the stream fails and nothing of it is written.  A batch that is replayed after a failure
-    overwrites what it left.  Start the writer with a checkpoint location of its own.
+    A batch's rows go to ``folder/rows/batch=<id>``, what they add up to to ``folder/sums/batch=<id>``, and the checkpoint
+    (``contexts``, ``positions``, ``token_mean``, ``macro_mean``) to ``folder/ladder/batch=<id>``.  An index that was there
+    before, in this batch or an earlier one, refuses the batch: the stream fails and nothing of it is written.  Of earlier rows only
+    indices within the batch's range are looked at, which the files' statistics narrow down, and figures come from the sums, a row a batch.  A
+    batch that is replayed after a failure overwrites what it left.  Start the writer with a checkpoint location of its own.
     """
 
     def add(batch: DataFrame, number: int) -> None:
@@ -75,13 +76,15 @@ def ladder(shards: DataFrame, folder: str, *, index: str = "idx", value: str = "
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             before = spark.createDataFrame([], schema)
+        ends = own.agg(F.min(index).alias("low"), F.max(index).alias("high")).first()
+        before = before.where(F.col(index).between(ends["low"], ends["high"]))
         twice = own.groupBy(index).count().where("count > 1").select(index).unionByName(own.select(index).join(before.select(index), index, "left_semi"))
         found = twice.distinct().orderBy(index).limit(8).collect()
         if found:
             raise ValueError(f"contexts arrive twice: {[r[0] for r in found]}")
         batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
-        weighted = F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
-        every = spark.read.schema(schema).parquet(rows)
-        every.agg(F.count("*").alias("contexts"), F.sum(weight).alias("positions"), weighted.alias("token_mean"), F.avg(value).alias("macro_mean")).write.mode("overwrite").parquet(f"{folder}/ladder/batch={number}")
+        own.agg(F.count("*").alias("contexts"), F.sum(weight).alias("positions"), F.sum(F.col(value) * F.col(weight)).alias("weighted"), F.sum(value).alias("plain")).write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
+        every = spark.read.parquet(f"{folder}/sums").where(F.col("batch") <= number).agg(*(F.sum(c).alias(c) for c in ("contexts", "positions", "weighted", "plain")))
+        every.select("contexts", "positions", (F.col("weighted") / F.col("positions")).alias("token_mean"), (F.col("plain") / F.col("contexts")).alias("macro_mean")).write.mode("overwrite").parquet(f"{folder}/ladder/batch={number}")
 
     return shards.writeStream.foreachBatch(add)
