@@ -75,3 +75,24 @@ def test_null_groups_are_groups(spark):
     for buckets in (1, 3):
         assert sorted((r["id"], r["place"]) for r in O.placed(d, ["g"], "x", "id", buckets).collect()) == [(1, 2), (2, 1), (3, 1)]
         assert {(r["g"], r["x"]) for r in O.quantiles(d, ["g"], "x", [0.5], buckets).collect()} == {(None, 1.5), ("a", 4.0)}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_brackets_find_the_same_quantiles(rows, spark, monkeypatch, accuracy):
+    plain, d = rows
+    at = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    monkeypatch.setattr(O, "counted", lambda *a: pytest.fail("the long way"))
+    got = {(r["g"], r["q"]): r["x"] for r in O.quantiles(d, ["g"], "x", at, accuracy=accuracy).collect()}
+    want = {(g, q): x for g in "abc" for q, x in zip(at, np.quantile([x for _, h, x in plain if h == g and x is not None], at), strict=True)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert O.quantiles(d, [], "x", [0.5], accuracy=accuracy).first()["x"] == pytest.approx(np.median([x for _, _, x in plain if x is not None]))
+    monkeypatch.setattr(O, "GROUPS", 0)
+    monkeypatch.setattr(O, "ENTRIES", 50)
+    again = {(r["g"], r["q"]): r["x"] for r in O.quantiles(d, ["g"], "x", at, accuracy=accuracy).collect()}
+    assert again.keys() == want.keys() and all(again[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_a_missed_bracket_takes_the_long_way(rows, monkeypatch):
+    plain, d = rows
+    monkeypatch.setattr(O, "_bracketed", lambda *a: None)
+    assert O.quantiles(d, [], "x", [0.5]).first()["x"] == pytest.approx(np.median([x for _, _, x in plain if x is not None]))
