@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordering
+from .shared import written
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
@@ -33,6 +34,7 @@ def bucket(value: Column, edges: list[int]) -> Column:
 def stats_block(d: DataFrame, by: list[str], value: str, digits: int = 9) -> DataFrame:
     """mean, median, p95, p99, p99.9 and max, exact, with linear interpolation."""
     names = {0.5: "median", 0.95: "p95", 0.99: "p99", 0.999: "p999"}
+    d = written(d.select(*by, value), "values")  # computed once
     q = ordering.wide(ordering.quantiles(d, by, value, list(names)), by, names)
     ends = d.groupBy(*by).agg(F.round(F.avg(value), digits).alias("mean"), F.round(F.max(value), digits).alias("max"))
     return ends.join(q, by).select(*by, "mean", *(F.round(n, digits).alias(n) for n in names.values()), "max")
