@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, special
 from tidemark.functions import vector as V
+from tidemark.operators import trellis
 from tidemark.operators.shared import shared_path
 from tidemark.sources import tensors
 
@@ -94,3 +95,41 @@ def decode_mx(spark: SparkSession, sf: str) -> DataFrame:
     raw = _bytes(64, lambda k: 8 + (F.col("vec_id") * 7 + k * 11) % 112)
     scales = F.unhex(F.concat(F.lpad(F.hex(127 + F.col("vec_id") % 5), 2, "0"), F.lit("7E")))
     return table(spark, sf, "embeddings").select("vec_id", F.aggregate(codecs.mx_decoded(raw, scales), F.lit(0).cast("long"), lambda a, x: a + x).alias("bits"))
+
+
+# A vector's components as bytes make a tile of two bits a value; byte i of the stream is that of its 32-bit word from the end.
+STREAM = "[CAST(floor(CAST(embedding[(m // 4) * 4 + 4 - m % 4] AS DOUBLE) * 256) AS BIGINT) & 255 FOR m IN range(0, 64)]"
+STATES = f"""bytes AS (SELECT vec_id, {STREAM} AS s FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+ends AS (SELECT vec_id, j, 2 * (j + 1) AS e, (2 * (j + 1) - 1) // 8 AS q, s FROM bytes CROSS JOIN range(0, 256) AS t(j)),
+states AS (SELECT vec_id, j, ((s[(q + 62) % 64 + 1] * 65536 + s[(q + 63) % 64 + 1] * 256 + s[q + 1]) >> CAST(8 * (q + 1) - e AS INTEGER)) & 65535 AS state FROM ends)"""
+
+
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "embeddings").where("vec_id IS NOT NULL AND size(embedding) = 64")
+    code = lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 256), F.lit(256))), 2, "0")
+    return d.select("vec_id", F.unhex(F.array_join(F.transform("embedding", code), "")).alias("packed"))
+
+
+@query("trellis_states", f"WITH {STATES} SELECT vec_id, CAST(sum(state * (j + 1)) AS BIGINT) AS weighted, CAST(sum(state % 251) AS BIGINT) AS rest FROM states GROUP BY vec_id")
+def trellis_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's bytes as a packed tile; its 256 overlapping states."""
+    d = _tiles(spark, sf).select("vec_id", trellis.state_list(F.col("packed")).alias("s"))
+    zero = F.lit(0).cast("long")
+    weighted = F.aggregate(F.transform("s", lambda x, j: x.cast("long") * (j + 1)), zero, lambda a, x: a + x)
+    return d.select("vec_id", weighted.alias("weighted"), F.aggregate("s", zero, lambda a, x: a + x % 251).alias("rest"))
+
+
+@query("trellis_energy", f"""WITH {STATES},
+sums AS (SELECT vec_id // 64 AS tensor, vec_id, (1024 + (state * 2212286765 & 255) + ((state * 2212286765 >> 8) & 255) + ((state * 2212286765 >> 16) & 255) + ((state * 2212286765 >> 24) & 255)) * (CAST(887 AS DOUBLE) / 131072) - CAST(1329 AS DOUBLE) / 128 AS x FROM states),
+halves AS (SELECT tensor, vec_id, x, pow(CAST(2 AS DOUBLE), 10 - floor(log2(abs(nullif(x, 0))))) AS unit FROM sums)
+SELECT tensor, CAST(count(*) AS BIGINT) AS n, round(sum(pow(round_even(x * unit, 0) / unit, 2)) * 4, 1) AS energy FROM halves GROUP BY tensor HAVING count(DISTINCT vec_id) = 64 AND count(*) = 64 * 256""")
+def trellis_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """64 vectors a tensor, decoded with scales of 1 and 2 in turn signs: the transforms keep the sum of squares."""
+    d = _tiles(spark, sf).withColumn("tensor", F.floor(F.col("vec_id") / 64))
+    whole = d.groupBy("tensor").agg(F.countDistinct("vec_id").alias("k"), F.count("*").alias("n")).where("k = 64 AND n = 64").select("tensor")
+    tiles = d.join(whole, "tensor").selectExpr("tensor", "CAST(vec_id % 64 DIV 8 AS INT) AS input_tile", "CAST(vec_id % 8 AS INT) AS output_tile", "packed")
+    signs = lambda size: F.transform(F.sequence(F.lit(0), F.lit(trellis.BLOCK - 1)), lambda k: F.when(k % 3 == 0, -size).otherwise(size).cast("float"))
+    side = lambda size: whole.select("tensor", F.lit(0).alias("block"), signs(size).alias("scales"))
+    rows = trellis.decode(tiles, side(1.0), side(2.0), rule="mul1")
+    squares = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.groupBy("tensor").agg(F.sum(F.size("values")).alias("n"), F.round(F.sum(squares), 1).alias("energy"))
