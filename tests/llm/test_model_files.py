@@ -61,3 +61,38 @@ def test_no_documents(spark):
     model = kneser_ney.train(documents(spark))
     assert kneser_ney.score(empty(spark), model).count() == 0
     assert kneser_ney.train(empty(spark)).totals["tokens"] == 0
+
+
+def test_slices_follow_the_leading_bits_of_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    keys = np.concatenate([np.array([0], np.uint64), keys, np.array([2**64 - 1], np.uint64)])
+    for n in (1, 3, 7, 64, 100_003, 2**31 - 1):
+        got = list(kneser_ney._slices(keys, n))
+        want = [int(k) * n >> 64 for k in keys]
+        assert [k for k, _, _ in got] == sorted(set(want))
+        assert all(want[i] == k for k, a, b in got for i in range(a, b)) and got[0][1] == 0 and got[-1][2] == len(keys)
+        if n < 10**6:
+            assert all(np.searchsorted(kneser_ney._edges(n), keys[a], "right") == k for k, a, _ in got)
+        assert all(x[2] == y[1] for x, y in zip(got, got[1:], strict=False))
+    assert list(kneser_ney._slices(keys[:0], 5)) == []
+
+
+def test_two_levels_write_the_same_model(spark):
+    d = documents(spark).repartition(5)
+    one, pairs, both = (kneser_ney.train(d, shards=16, fan=f) for f in (1000, 4, 3))  # one level; two for pairs; two for words too
+    assert [kneser_ney.levels(n, f) for f in (4, 3) for n in (16, 4)] == [(16, 4), (4, 1), (16, 4), (4, 2)]
+    for two in (pairs, both):
+        assert one.totals == two.totals
+        for name in ("pairs", "words"):
+            assert getattr(one, name).tolist() == getattr(two, name).tolist()
+            for k in np.flatnonzero(getattr(one, name)):
+                assert open(f"{one.folder}/{name}-{k}", "rb").read() == open(f"{two.folder}/{name}-{k}", "rb").read()
+    assert kneser_ney.train(empty(spark), shards=16, fan=3).totals["tokens"] == 0
+
+
+def test_rows_of_two_levels_grow_with_the_power_one_and_a_half():
+    for shards in (4096, 100_000, 1_600_000):
+        found, ranges = kneser_ney.levels(shards, 2048)
+        assert shards <= found < shards * 1.05 and ranges * ranges >= shards and found % ranges == 0
+        assert max(ranges, found // ranges) <= 2 * shards**0.5
+    assert kneser_ney.levels(2048, 2048) == (2048, 1)

@@ -18,6 +18,7 @@ with three discounts a level from the counts of counts; V + 1 leaves a place for
 
 from __future__ import annotations
 
+import math
 import mmap
 import os
 import struct
@@ -52,15 +53,19 @@ def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _edges(n: int) -> np.ndarray:
-    """The first key of each of ``n`` shards but the first."""
+    """The first key of each of ``n`` shards but the first: what ``_slices`` finds without listing them."""
     return np.array([-(-(k << 64) // n) for k in range(1, n)], U)
 
 
 def _slices(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, from, to) of sorted ``keys``, without empty ones."""
-    cut = np.concatenate([[0], np.searchsorted(keys, _edges(n)), [len(keys)]])
-    for k in np.flatnonzero(np.diff(cut)):
-        yield int(k), int(cut[k]), int(cut[k + 1])
+    """(shard, from, to) of sorted ``keys``, without empty ones; shard k of ``n`` holds floor(key * n / 2^64) = k."""
+    if not len(keys):
+        return
+    low = ((keys & U(0xFFFFFFFF)) * U(n)) >> U(32)
+    shard = ((keys >> U(32)) * U(n) + low) >> U(32)
+    cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(keys)]])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(shard[a]), int(a), int(b)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -150,6 +155,19 @@ def _count(shards: int):
     return run
 
 
+def _relay_pairs(shards: int):
+    """Second level of counting: rows cut for a range of shards are cut for the shards."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h1, h2, n = _unpacked(group.column("part"), (U, U, np.uint32))
+        key = pair_keys(h1, h2)
+        order = np.argsort(key, kind="stable")
+        rows = [(k, _packed(*(x[order[a:b]] for x in (h1, h2, n)))) for k, a, b in _slices(key[order], shards)]
+        return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "part"])
+
+    return run
+
+
 CONTEXT = (U, np.int64, np.uint32, np.uint32, np.uint32)  # word, c(w), successors seen once, twice, more often
 WORD = (U, np.uint32, np.int64)  # word, contexts, occurrences
 STATS = ("n1", "n2", "n3", "n4", "pairs")
@@ -167,7 +185,9 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}")
 
 
-def _merge_pairs(folder: str, word_shards: int):
+def _merge_pairs(folder: str, word_shards: int, slices: int):
+    """``word_shards``: shards of words, or ranges of them; ``slices``: parts of a range, by the pairs' shard."""
+
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         h1, h2, n = _unpacked(group.column("part"), (U, U, np.uint32))
@@ -184,10 +204,33 @@ def _merge_pairs(folder: str, word_shards: int):
         rows = []
         for kind, arrays, kinds in ((0, contexts, CONTEXT), (1, words, WORD)):
             for k, a, b in _slices(arrays[0], word_shards):
-                rows.append((k, kind, _packed(*(x[a:b].astype(t) for x, t in zip(arrays, kinds, strict=True))), -1 if rows else shard, *([0] * 5 if rows else stats)))
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word_shard", "kind", "part", "shard", *STATS])
+                rows.append((k, shard % slices, kind, _packed(*(x[a:b].astype(t) for x, t in zip(arrays, kinds, strict=True))), -1 if rows else shard, *([0] * 5 if rows else stats)))
+        return _handed(rows)
+
+    return run
+
+
+def _handed(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["word_shard", "slice", "kind", "part", "shard", *STATS])
+
+
+def _relay_words(word_shards: int):
+    """Second level of what shards of pairs hand on; their totals go with an empty part."""
+
+    def run(group: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        rows = []
+        for kind, kinds in ((0, CONTEXT), (1, WORD)):
+            arrays = _unpacked(group.filter(pc.equal(group.column("kind"), kind)).column("part"), kinds)
+            order = np.argsort(arrays[0], kind="stable")
+            for k, a, b in _slices(arrays[0][order], word_shards):
+                rows.append((k, 0, kind, _packed(*(x[order[a:b]] for x in arrays)), -1, *[0] * 5))
+        nothing = _packed(*(np.empty(0, t) for t in CONTEXT))
+        for own in group.filter(pc.greater_equal(group.column("shard"), 0)).to_pylist():
+            rows.append((rows[0][0], 0, 0, nothing, own["shard"], *(own[s] for s in STATS)))
+        return _handed(rows)
 
     return run
 
@@ -299,9 +342,21 @@ class Reader:
 _readers: dict[str, Reader] = {}
 
 
-def train(documents: DataFrame, *, text_col: str = "text", shards: int | None = None) -> Model:
+def levels(shards: int, fan: int) -> tuple[int, int]:
+    """Shards, and the ranges that lead to them: 1 where up to ``fan`` shards are reached at once, else as many as shards a range."""
+    if shards <= fan:
+        return shards, 1
+    ranges = math.isqrt(shards - 1) + 1
+    return ranges * -(-shards // ranges), ranges
+
+
+def train(documents: DataFrame, *, text_col: str = "text", shards: int | None = None, fan: int = 2048) -> Model:
     """The model of all ``documents``; every pair is counted.
 
+    A task hands on a row for each shard that it meets.  Of more than ``fan`` shards it hands on a row for each
+    range of shards instead, and a second level of tasks, as many as the first and as large, cuts them for the
+    shards.  So rows grow with the power 1.5 of the input beyond.  The model is the same, byte by byte.
+
     ``shards``: by default twice the tasks that read the texts, so a shard's memory doesn't grow with
     the input.  The driver gets one row for each of a fourth as many word shards, and keeps 8 bytes a shard.  A
     null text is the end alone; repeated rows count as often; ids and other columns are not read.  Empty
@@ -310,10 +365,17 @@ def train(documents: DataFrame, *, text_col: str = "text", shards: int | None =
     spark = documents.sparkSession
     folder = local_path(scratch(spark, "kneser-ney"))
     texts = documents.select(raw_text(text_col).alias("text"))
-    shards = shards or max(8, 2 * texts.rdd.getNumPartitions())
-    word_shards = max(1, shards // 4)
-    counted = texts.mapInArrow(_count(shards), "shard int, part binary")
-    merged = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), "word_shard int, kind int, part binary, shard int, " + ", ".join(f"{s} long" for s in STATS))
+    tasks = texts.rdd.getNumPartitions()
+    shards, ranges = levels(shards or max(8, 2 * tasks), fan)
+    word_shards, word_ranges = levels(max(1, shards // 4), fan)
+    counted = texts.mapInArrow(_count(ranges if ranges > 1 else shards), "shard int, part binary")
+    if ranges > 1:
+        counted = counted.withColumn("slice", F.spark_partition_id() % -(-tasks // ranges)).groupBy("shard", "slice").applyInArrow(_relay_pairs(shards), "shard int, part binary")
+    handed = "word_shard int, slice int, kind int, part binary, shard int, " + ", ".join(f"{s} long" for s in STATS)
+    merge = _merge_pairs(folder, word_ranges if word_ranges > 1 else word_shards, -(-shards // word_ranges))
+    merged = counted.groupBy("shard").applyInArrow(merge, handed)
+    if word_ranges > 1:
+        merged = merged.groupBy("word_shard", "slice").applyInArrow(_relay_words(word_shards), handed)
     kinds = ", ".join(f"{s} long" for s in ("word_shard", "entries", *TOTALS)) + ", pair_shards array<long>, pair_entries array<long>"
     rows = merged.groupBy("word_shard").applyInArrow(_merge_words(folder), kinds).collect()
     pairs, words = np.zeros(shards, np.int64), np.zeros(word_shards, np.int64)
