@@ -11,7 +11,7 @@ from tidemark import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: One of each family; the driver compares all of them.
-NAMES = ["rtn_quantize", "token_kld", "masked_vs_full_kld", "offset_audit", "placement_audit", "pooled_variance", "determinism_verdict", "histogram_quantile_bounds", "stratified_fpc", "calibration_overlap", "near_duplicate_audit", "round_robin_quota", "text_clean", "secret_redact", "floor_violations", "lineage_walk", "transition_violations", "domain_table", "wilcoxon_ranks", "decode_q8_0", "trellis_states", "trellis_energy"]
+NAMES = ["rtn_quantize", "token_kld", "masked_vs_full_kld", "offset_audit", "placement_audit", "pooled_variance", "determinism_verdict", "histogram_quantile_bounds", "stratified_fpc", "calibration_overlap", "near_duplicate_audit", "round_robin_quota", "text_clean", "secret_redact", "floor_violations", "lineage_walk", "transition_violations", "domain_table", "wilcoxon_ranks", "decode_q8_0", "trellis_states", "trellis_energy", "identity_disagreements"]
 
 
 def plain(x):

@@ -159,3 +159,25 @@ def nested_diff(old: DataFrame, new: DataFrame, id_col: str, cells: str, key: st
     kind = F.when(F.col("o").isNull(), F.array(F.lit("added"))).when(F.col("n").isNull(), F.array(F.lit("removed")))
     changed = F.array_compact(F.array(*(F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields)))
     return o.join(n, ["id", "key"], "full_outer").select("id", "key", F.explode(F.coalesce(kind, changed)).alias("change"))
+
+
+def identity_view(fields: list[str]) -> list[Column]:
+    """The fields that shards of one report must share, as text and under their paths; ``a.b`` reads within a struct.
+
+    A missing struct gives null, as a missing field does.
+    """
+    return [F.when(F.col(f).isNotNull(), F.to_json(F.struct(F.col(f).alias("v")))).alias(f) for f in fields]
+
+
+def identity_disagreements(reports: DataFrame, report: str, fields: list[str]) -> DataFrame:
+    """``report``, ``field``, ``least``, ``most``, ``absent``, ``shards``: a row for each field on which a report's shards differ.
+
+    A field that only some shards have differs too; one that none has does not.  Values are compared as canonical
+    text, so 1 and "1" differ.  One aggregate with a partial step decides, so a report may have any number of
+    shards.  Rows with a null report are one report.
+    """
+    names = [f"v{i}" for i in range(len(fields))]
+    view = reports.select(F.col(report).alias("report"), *(c.alias(n) for c, n in zip(identity_view(fields), names, strict=True)))
+    found = [F.struct(F.lit(f).alias("field"), F.min(n).alias("least"), F.max(n).alias("most"), (F.count("*") - F.count(n)).alias("absent")) for f, n in zip(fields, names, strict=True)]
+    each = view.groupBy("report").agg(F.array(*found).alias("found"), F.count("*").alias("shards")).select("report", F.inline("found"), "shards")
+    return each.where("least <> most OR absent BETWEEN 1 AND shards - 1").withColumnRenamed("report", report)

@@ -511,3 +511,13 @@ def snapshot_domains(spark: SparkSession, sf: str) -> DataFrame:
     cells = lambda d: d.groupBy("id").agg(F.collect_list(F.struct("key", "q", "t")).alias("cells"))  # noqa: E731  an order has seven lines at most
     new = l.where("id % 8 > 0 AND key <> 2").withColumns({"q": F.col("q") + F.when((F.col("id") % 5 == 0) & (F.col("key") == 1), 1).otherwise(0), "t": F.when(F.col("id") % 7 > 0, F.col("t"))})
     return R.nested_diff(cells(l.where("id % 9 > 0 AND key % 4 <> 3")), cells(new), "id", "cells", "key", ["q", "t"])
+
+
+IDENTITY = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "candidate.l_suppkey": "l_suppkey"}
+
+
+@query("identity_disagreements", "WITH v AS (" + " UNION ALL ".join(f"SELECT l_orderkey, '{name}' AS field, CASE WHEN {c} IS NOT NULL THEN " + (f"'{{\"v\":' || {c} || '}}'" if c == "l_suppkey" else f"'{{\"v\":\"' || {c} || '\"}}'") + " END AS x FROM lineitem" for name, c in IDENTITY.items()) + ") SELECT l_orderkey, field, min(x) AS least, max(x) AS most, CAST(count(*) - count(x) AS BIGINT) AS absent, count(*) AS shards FROM v GROUP BY l_orderkey, field HAVING count(DISTINCT x) > 1 OR (count(x) > 0 AND count(x) < count(*))")
+def identity_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    """An order is a report, its lines are the shards; where they differ in state, flag or supplier."""
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.struct("l_suppkey").alias("candidate"))
+    return R.identity_disagreements(d, "l_orderkey", list(IDENTITY))
