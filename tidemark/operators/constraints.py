@@ -7,13 +7,16 @@ collection are judged in one pass.  Rules over several rows (groups, chains, dup
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import closure
 from .registry import comparability_key, duplicates, floor_violations
+from .shared import written
 
 Registry = dict[str, DataFrame]
 Rule = tuple[str, str, str]
@@ -77,19 +80,21 @@ FLOOR_LANE = f"coalesce(fl.lane.name, '{SEALED_LANE}')"
 CROSS = "estimator.stack_relation = 'cross_stack'"
 STRICT = "comparability.class = 'strict'"
 DET, BIAS = "determinism", "comparability.bias"
+SEEDS = "transform(filter(by_domain, c -> c.ci95_low IS NOT NULL AND c.bootstrap_seed IS NOT NULL), c -> c.bootstrap_seed)"
 SPREAD = f"sqrt(aggregate({DET}.run_means, 0D, (s, x) -> s + pow(x - {mean(f'{DET}.run_means')}, 2)) / size({DET}.run_means))"
 
 # Conditions on a measurement.  a, p, r, l, o: its artifact, panel, reference, pipeline, model; ra: the reference's
-# artifact; f, fl: its floor and the floor's pipeline; s, v: what it supersedes, what verifies it.
+# artifact; f, fl: its floor and the floor's pipeline; superseded, verifier: what it supersedes, what verifies it.
+# No variable inside a condition has the name of such a row.
 MEASUREMENT_RULES: list[Rule] = [
     *(("REF-001", "error", unresolved(field, row)) for field, row in (("artifact_ref", "a"), ("panel_ref", "p"), ("reference_ref", "r"), ("pipeline_ref", "l"), ("model_ref", "o"))),
     ("REF-003", "error", "a IS NOT NULL AND NOT a.model_ref <=> model_ref"),
     ("REF-004", "error", "r IS NOT NULL AND NOT r.panel_ref <=> panel_ref"),
     ("REF-005", "error", f"ra IS NOT NULL AND NOT ra.model_ref <=> model_ref AND NOT {disclosed('r', 'cross_model_reference')}"),
     ("REF-006", "error", "p IS NOT NULL AND NOT coalesce(array_contains(p.model_scope, model_ref), false)"),
-    ("REF-010", "error", f"{unresolved('supersedes', 's', True)} OR supersedes = id"),
+    ("REF-010", "error", f"{unresolved('supersedes', 'superseded', True)} OR supersedes = id"),
     ("REF-010", "error", f"{unresolved(f'{BIAS}.floor_measurement_ref', 'f', True)} OR {BIAS}.floor_measurement_ref = id"),
-    ("REF-010", "error", unresolved("provenance.verification.verification_measurement_ref", "v", True)),
+    ("REF-010", "error", unresolved("provenance.verification.verification_measurement_ref", "verifier", True)),
     ("CMP-001", "error", "NOT comparability.key <=> want_key"),
     *(("CMP-002", "error", f"NOT comparability.key_inputs['{k}'] <=> {f}") for k, f in KEY_FIELDS.items()),
     ("SCOPE-001", "error", "a IS NOT NULL AND NOT scope_digest <=> a.scope_digest"),
@@ -132,6 +137,7 @@ MEASUREMENT_RULES: list[Rule] = [
     ("HARN-002", "error", "harness.recorded AND (size(array_distinct(harness.code_digests.role)) <> size(harness.code_digests) OR exists(harness.code_digests, d -> d.path RLIKE '^(/|[.][.])'))"),
     ("HARN-002", "error", "harness IS NOT NULL AND NOT coalesce(harness.recorded, false) AND (harness.harness_id IS NOT NULL OR size(harness.code_digests) > 0)"),
     ("HARN-004", "error", f"allowed AND harness IS NOT NULL AND NOT (coalesce(harness.recorded, false) AND coalesce(array_contains(harness.covers, 'metric.value'), false)) AND NOT {disclosed('m', 'harness_unrecorded')}"),
+    ("STAT-008", "error", f"size(array_distinct({SEEDS})) < size({SEEDS})"),
     ("DISC-003", "error", "exists(m.disclosures, d -> d.severity = 'blocking') AND coalesce(status, '') NOT IN ('pending', 'retracted')"),
 ]
 
@@ -143,10 +149,10 @@ DOMAIN_RULES: list[Rule] = [
     ("STAT-009", "error", "CASE WHEN startswith(coalesce(c.interval_method, ''), 'window_block') THEN c.bootstrap_b IS NULL OR c.bootstrap_seed IS NULL ELSE c.df IS NULL OR c.t_critical IS NULL END"),
 ]
 
-# Conditions on an artifact.  o: its model; d: what it derives from; want_digest: its scope's digest, recomputed.
+# Conditions on an artifact.  o: its model; parent: what it derives from; want_digest: its scope's digest, recomputed.
 ARTIFACT_RULES: list[Rule] = [
     ("REF-001", "error", unresolved("model_ref", "o")),
-    ("REF-001", "error", unresolved("derived_from_artifact_ref", "d", True)),
+    ("REF-001", "error", unresolved("derived_from_artifact_ref", "parent", True)),
     ("SCOPE-002", "error", "NOT scope_digest <=> want_digest"),
     ("SCOPE-003", "error", f"scope.policy = 'uniform' AND {FORMATS} > 1"),
     ("SCOPE-003", "error", f"scope.policy = 'mixed' AND {FORMATS} < 2 AND NOT {UNKNOWN}"),
@@ -162,15 +168,15 @@ ARTIFACT_RULES: list[Rule] = [
     ("IDENT-005", "error", "weights.size_bytes IS NOT NULL AND weights.size_basis IS NULL"),
 ]
 
-# Conditions on a panel; d: the panel that it derives from.
+# Conditions on a panel; parent: the panel that it derives from.
 PANEL_RULES: list[Rule] = [
-    ("REF-008", "error", unresolved("derived_from", "d", True)),
+    ("REF-008", "error", unresolved("derived_from", "parent", True)),
     ("PANEL-001", "error", "sealed AND (identity.panel_token_sha256 IS NULL OR coalesce(identity.hash_covers, '') NOT IN ('token_ids', 'token_manifest'))"),
     ("PANEL-002", "error", "identity.panel_receipt_sha256 = identity.panel_token_sha256"),
     ("PANEL-003", "error", "NOT coalesce(structure.scoring_window.windowed, false) AND structure.contexts * structure.positions_per_context <> structure.scored_positions_total"),
-    ("PANEL-005", "error", "d IS NOT NULL AND derivation.kind = 'scoring_window_change' AND coalesce(structure.scoring_window.score_from, 0) <= coalesce(d.structure.scoring_window.score_from, 0)"),
-    ("PANEL-008", "error", "derivation.kind IN ('shard_subset', 'stratum_subset') AND identity.panel_token_sha256 = d.identity.panel_token_sha256"),
-    ("PANEL-009", "error", "derivation.kind = 'scoring_window_change' AND structure.scored_positions_total >= d.structure.scored_positions_total"),
+    ("PANEL-005", "error", "parent IS NOT NULL AND derivation.kind = 'scoring_window_change' AND coalesce(structure.scoring_window.score_from, 0) <= coalesce(parent.structure.scoring_window.score_from, 0)"),
+    ("PANEL-008", "error", "derivation.kind IN ('shard_subset', 'stratum_subset') AND identity.panel_token_sha256 = parent.identity.panel_token_sha256"),
+    ("PANEL-009", "error", "derivation.kind = 'scoring_window_change' AND structure.scored_positions_total >= parent.structure.scored_positions_total"),
 ]
 
 # Conditions on a reference (a, p, f: its artifact, panel, floor) and on a pipeline (p, f: its bridge's panel and sealed row).
@@ -210,7 +216,40 @@ def load(spark: SparkSession, folder: str) -> Registry:
 def broken(d: DataFrame, rules: list[Rule], id_col: str = "id") -> DataFrame:
     """``code``, ``severity``, ``id``: every code that a row breaks, once, in one pass over the rows."""
     found = F.array(*(F.when(F.expr(condition), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, condition in rules))
-    return d.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(found))).alias("v")).select("v.code", "v.severity", "id")
+    d = d.select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(found)).alias("found"))
+    return d.select("id", F.explode("found").alias("v")).select("v.code", "v.severity", "id")
+
+
+def about(rules: list[Rule], *rows: str) -> list[Rule]:
+    """The rules that look at one of ``rows``, the names of what a row refers to."""
+    return [r for r in rules if re.search(rf"(?<![\w.])({'|'.join(rows)})(?=\.| IS )", r[2])]
+
+
+def narrow(target: DataFrame, name: str, rules: list[Rule], *more: str) -> DataFrame:
+    """``id`` and what the rules look at of ``target`` by this ``name``, to two levels, and the fields ``more``."""
+    paths = sorted({*more, *(x for r in rules for x in re.findall(rf"(?<![\w.]){name}\.(\w+(?:\.\w+)?)", r[2]))} - {"id"})
+    tops: dict[str, list[str]] = {}
+    for top, _, rest in (x.partition(".") for x in paths):
+        tops.setdefault(top, []).append(rest)
+    whole = lambda top: "" in tops[top] or not isinstance(target.schema[top].dataType, T.StructType)
+    return target.select("id", *(F.col(top) if whole(top) else F.struct(*(f"{top}.{x}" for x in rest)).alias(top) for top, rest in tops.items()))
+
+
+def judged(d: DataFrame, name: str, rules: list[Rule], optional: tuple[str, ...] = (), /, **to: tuple[str, DataFrame]) -> list[DataFrame]:
+    """``broken`` for rules over rows and what they refer to.
+
+    Only references that rules look at are resolved, with the fields that they look at.  Rules that look at none are
+    judged without a join, and those that look at an ``optional`` reference only where there is one: none of them is broken elsewhere.
+    """
+    parts, left = [], rules
+    own = lambda some: referring(d, name, **{k: (field, narrow(target, k, some)) for k, (field, target) in to.items() if about(some, k)})
+    for row in optional:
+        some, left = about(left, row), [r for r in left if r not in about(left, row)]
+        if some:
+            field = to[row][0]
+            parts.append(broken(own(some).where(f"{field} IS NOT NULL"), some))
+    joined = about(left, *to)
+    return parts + [broken(own(some), some) for some in ([r for r in left if r not in joined], joined) if some]
 
 
 def referring(d: DataFrame, name: str, /, **to: tuple[str, DataFrame]) -> DataFrame:
@@ -279,26 +318,46 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
     """
     models, artifacts, panels, references, pipelines, measurements = (registry[k] for k in SCHEMAS)
     key = comparability_key(*(F.coalesce(F.translate(F.expr(f).cast("string"), "|", "¦"), F.lit("None")) for f in KEY_FIELDS.values()))
-    m = referring(
-        measurements.withColumn("want_key", key), "m",
-        a=("artifact_ref", artifacts), p=("panel_ref", panels), r=("reference_ref", references), l=("pipeline_ref", pipelines), o=("model_ref", models), ra=("r.artifact_ref", artifacts),
-        f=(f"{BIAS}.floor_measurement_ref", measurements), s=("supersedes", measurements), v=("provenance.verification.verification_measurement_ref", measurements), fl=("f.pipeline_ref", pipelines),
-    )
     wanted = lambda *own: not codes or any(c.startswith(tuple(codes)) for c in own)
-    if wanted("BIAS-004", "FLOOR-001", "FLOOR-002", "FLOOR-003"):
-        pairs = m.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")).unionByName(m.select(F.col("artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper")))
-        bases = from_base(pairs, artifacts).select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
+    rules = [r for r in MEASUREMENT_RULES if wanted(r[0])]
+    m = measurements.withColumns({"want_key": key, "allowed": F.coalesce(F.col("id").isin(*allowed), F.lit(False)) if allowed else F.lit(False)})
+    of_floor = about(rules, "f", "fl")
+    rules = [r for r in rules if r not in of_floor]
+    of_floors = wanted("FLOOR-001", "FLOOR-002", "FLOOR-003")
+    parts: list[DataFrame] = []
+    if of_floor or of_floors or about(rules, "r", "ra"):
+        # references are joined with their artifacts before they are joined with the many rows that share them
+        bound = written(referring(narrow(references, "r", rules, "artifact_ref"), "own", ra=("artifact_ref", narrow(artifacts, "ra", rules))).drop("own"), "references")
+    if rules:
+        of_reference = about(rules, "r", "ra")
+        if of_reference:
+            parts.append(broken(referring(m, "m", r=("reference_ref", bound)).withColumn("ra", F.col("r.ra")), of_reference))
+        rules = [r for r in rules if r not in of_reference]
+        parts += judged(m, "m", rules, ("superseded", "verifier"), a=("artifact_ref", artifacts), p=("panel_ref", panels), l=("pipeline_ref", pipelines), o=("model_ref", models), superseded=("supersedes", measurements), verifier=("provenance.verification.verification_measurement_ref", measurements))
+    if of_floor:
+        lanes = {"l": ("pipeline_ref", narrow(pipelines, "l", of_floor)), "fl": ("f.pipeline_ref", narrow(pipelines, "fl", of_floor))}
+        floored = referring(m.where(f"{BIAS}.floor_measurement_ref IS NOT NULL"), "m", f=(f"{BIAS}.floor_measurement_ref", narrow(measurements, "f", of_floor, "artifact_ref", "pipeline_ref")), r=("reference_ref", bound), **{k: v for k, v in lanes.items() if about(of_floor, k)})
+    if wanted("BIAS-004") or of_floors:
+        upper = bound.select(F.col("id").alias("reference_ref"), F.col("artifact_ref").alias("upper"))
+        pairs = [measurements.select(F.col("artifact_ref").alias("lower"), "reference_ref").join(upper, "reference_ref").drop("reference_ref")] if of_floors else []
+        pairs += [floored.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper"))] if of_floor else []
+        bases = written(from_base(reduce(DataFrame.unionByName, pairs), artifacts), "bases").select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
     else:
         bases = m.sparkSession.createDataFrame([], "fa string, fr string, from_base boolean")
-    m = m.join(bases, (F.col("f.artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left").withColumn("floor_is_unquantized", F.coalesce("from_base", F.lit(False)) | F.col("f.artifact_ref").eqNullSafe(F.col("r.artifact_ref")))
-    ranked = m.where("status = 'published' AND metric.value IS NOT NULL AND comparability.key IS NOT NULL")
-    own_base = bases.select(F.col("fa").alias("ba"), F.col("fr").alias("br"), F.lit(True).alias("base"))
-    ranked = ranked.join(own_base, (F.col("artifact_ref") == F.col("ba")) & (F.col("r.artifact_ref") == F.col("br")), "left")
-    ranked = ranked.select("id", F.col("comparability.key").alias("key"), F.expr(LANE).alias("lane"), F.col("metric.value").alias("value"), (F.coalesce("base", F.lit(False)) | F.col("artifact_ref").eqNullSafe(F.col("r.artifact_ref"))).alias("zero"), F.coalesce("comparability.usable_as_floor", F.lit(True)).alias("usable"))
-    floors = ranked.where("zero AND usable").select("key", "lane", F.col("value").alias("floor"))
-    m = m.withColumn("allowed", F.coalesce(F.col("id").isin(*allowed), F.lit(False)) if allowed else F.lit(False))
-    cells = m.select("id", F.explode("by_domain").alias("c")).where("c.ci95_low IS NOT NULL")
-    seeds = cells.where("c.bootstrap_seed IS NOT NULL").groupBy("id", "c.bootstrap_seed").agg(F.count("*").alias("n")).where("n > 1").select("id").distinct()
+    if of_floor:
+        floored = floored.join(bases, (F.col("f.artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left").withColumn("floor_is_unquantized", F.coalesce("from_base", F.lit(False)) | F.col("f.artifact_ref").eqNullSafe(F.col("r.artifact_ref")))
+        parts.append(broken(floored, of_floor))
+
+    def floor_rules() -> DataFrame:
+        ranked = measurements.where("status = 'published' AND metric.value IS NOT NULL AND comparability.key IS NOT NULL")
+        ranked = referring(ranked, "m", r=("reference_ref", bound), l=("pipeline_ref", pipelines.select("id", "lane")))
+        ranked = ranked.join(bases, (F.col("artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left")
+        ranked = ranked.select("id", F.col("comparability.key").alias("key"), F.expr(LANE).alias("lane"), F.col("metric.value").alias("value"), (F.coalesce("from_base", F.lit(False)) | F.col("artifact_ref").eqNullSafe(F.col("r.artifact_ref"))).alias("zero"), F.coalesce("comparability.usable_as_floor", F.lit(True)).alias("usable"))
+        # one row a key and lane: written, as its size then tells whether it can go to the tasks
+        floors = written(ranked.where("zero AND usable").groupBy("key", "lane").agg(F.max("value").alias("floor")), "floors")
+        return floor_violations(ranked.where("NOT zero"), floors).select("code", "severity", "id")
+
+    cells = measurements.select("id", F.explode("by_domain").alias("c")).where("c.ci95_low IS NOT NULL")
     live = measurements.withColumns({"live": ~F.coalesce(F.col("status").isin("superseded", "retracted"), F.lit(False)), "name": F.col("metric.name"), "stack": F.col("estimator.stack_relation"), "head": F.col("estimator.head_policy"), "by": F.col("provenance.measured_by")})
     own = F.array(*map(F.lit, known_codes))
     disclosures = [d.select("id", "disclosures", F.lit(name).alias("collection")) for name, d in registry.items()]
@@ -306,20 +365,22 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
     weights = models.select("id", F.col("canonical_weights.artifact_ref").alias("ref")).join(artifacts.select(F.col("id").alias("ref"), F.lit(True).alias("there")), "ref", "left")
     crossed = measurements.where(CROSS).select(F.col("reference_ref").alias("id")).distinct().join(references.select("id", "self_consistency"), "id", "left")
     tables = [
-        (m, MEASUREMENT_RULES),
         (cells, DOMAIN_RULES),
-        (seeds, [("STAT-008", "error", "true")]),
-        (referring(artifacts.withColumn("want_digest", scope_digest()), "a", o=("model_ref", models), d=("derived_from_artifact_ref", artifacts)), ARTIFACT_RULES),
-        (referring(panels, "panel", d=("derived_from", panels)), PANEL_RULES),
         (scopes, [("REF-001", "error", "there IS NULL"), ("REF-007", "error", "there AND NOT tokenizer <=> other")]),
         (weights, [("REF-001", "error", "there IS NULL")]),
-        (referring(references, "ref", a=("artifact_ref", artifacts), p=("panel_ref", panels), f=("self_consistency.floor_measurement_ref", measurements)), REFERENCE_RULES),
         (crossed, [("REFC-004", "warn", "self_consistency.floor_measurement_ref IS NULL")]),
-        (referring(pipelines, "pipeline", p=("lane.bridge.panel_ref", panels), f=("lane.bridge.sealed_measurement_ref", measurements)), PIPELINE_RULES),
         (reduce(DataFrame.unionByName, disclosures).withColumn("known_codes", own), DISCLOSURE_RULES),
     ]
+    referred = [
+        (artifacts.withColumn("want_digest", scope_digest()), "a", ARTIFACT_RULES, ("parent",), {"o": ("model_ref", models), "parent": ("derived_from_artifact_ref", artifacts)}),
+        (panels, "panel", PANEL_RULES, ("parent",), {"parent": ("derived_from", panels)}),
+        (references, "ref", REFERENCE_RULES, ("f",), {"a": ("artifact_ref", artifacts), "p": ("panel_ref", panels), "f": ("self_consistency.floor_measurement_ref", measurements)}),
+        (pipelines, "pipeline", PIPELINE_RULES, ("f", "p"), {"p": ("lane.bridge.panel_ref", panels), "f": ("lane.bridge.sealed_measurement_ref", measurements)}),
+    ]
+    for d, name, all_rules, optional, to in referred:
+        parts += judged(d, name, [r for r in all_rules if wanted(r[0])], optional, **to)
     over_several = [
-        (("FLOOR-001", "FLOOR-002", "FLOOR-003"), lambda: floor_violations(ranked.where("NOT zero"), floors).select("code", "severity", "id")),
+        (("FLOOR-001", "FLOOR-002", "FLOOR-003"), floor_rules),
         (("CMP-003", "CMP-005"), lambda: group_rules(m)),
         (("CMP-004",), lambda: duplicates(live, ["artifact_ref", "panel_ref", "reference_ref", "pipeline_ref", "name", "stack", "head", "by"], "id", "live").select("code", "severity", "id")),
         (("IDENT-002", "IDENT-006"), lambda: same_weights(artifacts)),
@@ -329,7 +390,7 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
         (("HARN-006",), lambda: unmeasured(measurements, list(allowed))),
     ]
     kept = [(d, [r for r in rules if wanted(r[0])]) for d, rules in tables]
-    parts = [broken(d, rules) for d, rules in kept if rules] + [make() for own_codes, make in over_several if wanted(*own_codes)]
+    parts += [broken(d, rules) for d, rules in kept if rules] + [make() for own_codes, make in over_several if wanted(*own_codes)]
     if not parts:
         raise ValueError(f"no rule has a code that begins with any of {codes}")
     found = reduce(DataFrame.unionByName, parts).distinct()
