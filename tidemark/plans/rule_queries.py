@@ -10,6 +10,7 @@ from tidemark.operators.registry import comparability_key
 from tidemark.operators.shared import written
 
 from .catalog import query, table
+from .registry_queries import M, measurements
 
 NOTHING = "array(named_struct('code', 'no_known_deviations'))"
 NOTE = "array(named_struct('code', '{}', 'asserts_provenance', {}, 'sources', {}, 'detail', '{}'))".format
@@ -160,6 +161,19 @@ def disclosure_checks(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf, "DISC")
 
 
-@query("key_geometry", rules_sql(("CMP",)))
+GEOMETRY_SQL = f"""WITH {M}, g AS (SELECT key, count(DISTINCT floor(value / 50000)) AS kinds, count(*) AS n FROM m GROUP BY key), n AS (SELECT n_nationkey AS n FROM nation), o AS (SELECT o_orderkey AS k, o_custkey AS c, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'CMP-003' AS code, 'error' AS severity, CAST(id AS VARCHAR) AS id FROM m JOIN g USING (key) WHERE kinds > 1 AND lane = 'sealed' UNION ALL SELECT 'CMP-005', 'warn', CAST(key AS VARCHAR) FROM g WHERE n = 1
+UNION ALL SELECT 'CMP-001', 'error', 'o' || CAST(k AS VARCHAR) FROM o WHERE k % 37 = 0 UNION ALL SELECT 'CMP-002', 'error', 'o' || CAST(k AS VARCHAR) FROM o WHERE k % 41 = 0
+UNION ALL SELECT 'CMP-004', 'error', id FROM (SELECT 'o' || CAST(k AS VARCHAR) AS id, row_number() OVER (PARTITION BY c ORDER BY 'o' || CAST(k AS VARCHAR)) AS place FROM o) WHERE place > 1
+UNION ALL SELECT 'CMP-005', 'warn', 'f' || CAST(n AS VARCHAR) FROM n WHERE n NOT IN (SELECT n FROM o)"""
+
+
+@query("key_geometry", GEOMETRY_SQL)
 def key_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    return found(spark, sf, "CMP")
+    """A row for each violation: sealed orders of a nation whose prices lie in several bands, nations with one order, and the registry's rules of keys."""
+    m = measurements(spark, sf)
+    g = m.groupBy("key").agg(F.count_distinct(F.floor(F.col("value") / 50000)).alias("kinds"), F.count("*").alias("n"))
+    several = F.broadcast(g.where("kinds > 1").select("key"))  # nations
+    mixed = m.where("lane = 'sealed'").join(several, "key").select(F.lit("CMP-003").alias("code"), F.lit("error").alias("severity"), F.col("id").cast("string").alias("id"))
+    alone = g.where("n = 1").select(F.lit("CMP-005").alias("code"), F.lit("warn").alias("severity"), F.col("key").cast("string").alias("id"))
+    return mixed.unionByName(alone).unionByName(constraints.violations(broken_registry(spark, sf), KNOWN, codes=("CMP",)).select("code", "severity", "id"))
