@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 # The ranges of Han and Kana characters.
 CJK = "㐀-䶿一-鿿\U00020000-\U000323af぀-ヿㇰ-ㇿｦ-ﾝ"
 WORDS_KEPT = 400_000
+TEXTS_HELD = 64  # texts of a batch whose output a worker holds at once
 
 
 def folded(text: str) -> str:
@@ -53,6 +54,14 @@ def word_tokens(text: str | None) -> list[str]:
     return _ascii_run.findall(text) if text.isascii() else _run().findall(_cjk.sub(r" \1 ", text))
 
 
+def slices(batches: Iterator[pd.Series], most: int | None = None) -> Iterator[pd.Series]:
+    """The batches in slices: what is made of a batch of 10,000 texts, in Python's objects, needn't be held at once."""
+    most = most or TEXTS_HELD
+    for batch in batches:
+        for k in range(0, len(batch), most):
+            yield batch.iloc[k : k + most]
+
+
 class _Digests(dict):
     """64-bit digest of a word, made when it is first asked for."""
 
@@ -86,7 +95,7 @@ def keys_of(text: Column, n: int, distinct: bool = False) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in slices(batches):
             own = (gram_keys(digests(word_tokens(t)), n) for t in batch)
             yield pd.Series([np.unique(k) if distinct else k for k in own], dtype=object)
 
@@ -98,7 +107,7 @@ def windows_of(text: Column, size: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in slices(batches):
             own = map(word_tokens, batch)
             yield pd.Series([[" ".join(t[i : i + size]) for i in range(0, len(t) - size + 1, size)] for t in own], dtype=object)
 
@@ -157,7 +166,7 @@ def window_spans(text: Column, size: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(SPAN))
     def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch:
                 t, own, upto = token_spans(text), [], 0

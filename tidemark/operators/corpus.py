@@ -52,7 +52,7 @@ def calibration_overlap(docs: DataFrame, calibration: DataFrame, n: int, most: f
 
         @F.pandas_udf(S.StructType().add("distinct_ngrams", "long").add("shared_ngrams", "long"))
         def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in L.slices(batches):
                 own = [np.unique(L.gram_keys(L.digests(L.word_tokens(t)), n)) for t in batch]
                 yield pd.DataFrame({"distinct_ngrams": [len(k) for k in own], "shared_ngrams": [inside(k, known).sum() for k in own]}, dtype=np.int64)
 
@@ -124,7 +124,7 @@ def near_duplicate_audit(docs: DataFrame, calibration: DataFrame, *, exact: int
 
     @F.pandas_udf(S.StructType().add("words", "long").add("exact_hits", "long").add("longest_run_words", "long").add("containment", "double"))
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in L.slices(batches):
             yield pd.DataFrame([judged(t) for t in batch], columns=["words", "exact_hits", "longest_run_words", "containment"])
 
     return spread(docs.select("doc_id", "text")).select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
