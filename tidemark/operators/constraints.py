@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import closure
 from .registry import comparability_key, duplicates, floor_violations
-from .shared import written
+from .shared import bounded, many, sought, written
 
 Registry = dict[str, DataFrame]
 Rule = tuple[str, str, str]
@@ -235,11 +235,12 @@ def narrow(target: DataFrame, name: str, rules: list[Rule], *more: str) -> DataF
     return target.select("id", *(F.col(top) if whole(top) else F.struct(*(f"{top}.{x}" for x in rest)).alias(top) for top, rest in tops.items()))
 
 
-def judged(d: DataFrame, name: str, rules: list[Rule], optional: tuple[str, ...] = (), /, **to: tuple[str, DataFrame]) -> list[DataFrame]:
+def judged(d: DataFrame, name: str, rules: list[Rule], optional: tuple[str, ...] = (), shuffled: tuple[str, ...] = (), /, **to: tuple[str, DataFrame]) -> list[DataFrame]:
     """``broken`` for rules over rows and what they refer to.
 
     Only references that rules look at are resolved, with the fields that they look at.  Rules that look at none are
     judged without a join, and those that look at an ``optional`` reference only where there is one: none of them is broken elsewhere.
+    Rules that look at a ``shuffled`` reference have a join of their own, so that rows are shuffled with what these need.
     """
     parts, left = [], rules
     own = lambda some: referring(d, name, **{k: (field, narrow(target, k, some)) for k, (field, target) in to.items() if about(some, k)})
@@ -249,7 +250,8 @@ def judged(d: DataFrame, name: str, rules: list[Rule], optional: tuple[str, ...]
             field = to[row][0]
             parts.append(broken(own(some).where(f"{field} IS NOT NULL"), some))
     joined = about(left, *to)
-    return parts + [broken(own(some), some) for some in ([r for r in left if r not in joined], joined) if some]
+    far = about(joined, *shuffled) if shuffled else []
+    return parts + [broken(own(some), some) for some in ([r for r in left if r not in joined], [r for r in joined if r not in far], far) if some]
 
 
 def referring(d: DataFrame, name: str, /, **to: tuple[str, DataFrame]) -> DataFrame:
@@ -280,14 +282,14 @@ def token_families(panels: DataFrame) -> DataFrame:
     """
     parent = F.when(F.col("derivation.kind").isin("reformat", "scoring_window_change"), F.col("derived_from"))
     root = closure.roots(panels.select(F.col("id").alias("node")), panels.select(F.col("id").alias("node"), parent.alias("up"))).select(F.col("node").alias("id"), "root")
-    p = panels.select("id", F.col("identity.panel_token_sha256").alias("token")).where("token IS NOT NULL").join(root, "id")
+    p = bounded(panels.select("id", F.col("identity.panel_token_sha256").alias("token")).where("token IS NOT NULL")).join(root, "id")
     return p.groupBy("token").agg(F.count_distinct("root").alias("roots"), F.min("id").alias("id")).where("roots > 1").select(F.lit("PANEL-004").alias("code"), F.lit("error").alias("severity"), "id")
 
 
 def from_base(pairs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """The pairs (lower, upper) of which lower is an artifact of kind base that derives from upper, by artifacts of any kind."""
-    base = artifacts.where("kind = 'base'").select(F.col("id").alias("lower")).distinct()
-    return closure.descends(pairs.join(base, "lower"), artifacts.select(F.col("id").alias("node"), F.col("derived_from_artifact_ref").alias("up")))
+    base = written(artifacts.where("kind = 'base'").select(F.col("id").alias("lower")).distinct(), "base")
+    return closure.descends(pairs.join(bounded(base), "lower"), artifacts.select(F.col("id").alias("node"), F.col("derived_from_artifact_ref").alias("up")))
 
 
 def group_rules(m: DataFrame) -> DataFrame:
@@ -299,7 +301,8 @@ def group_rules(m: DataFrame) -> DataFrame:
 def unmeasured(measurements: DataFrame, allowed: list[str]) -> DataFrame:
     """HARN-006: allowed ids that no measurement has."""
     named = measurements.sparkSession.createDataFrame([(x,) for x in sorted(set(allowed))], "id string")
-    return named.join(measurements.select("id"), "id", "left_anti").select(F.lit("HARN-006").alias("code"), F.lit("error").alias("severity"), "id")
+    there = sought(measurements.select("id"), named, F.col("id"), True, True)
+    return named.join(there, "id", "left_anti").select(F.lit("HARN-006").alias("code"), F.lit("error").alias("severity"), "id")
 
 
 def same_weights(artifacts: DataFrame) -> DataFrame:
@@ -317,6 +320,18 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
     Chains of derivation are followed to their ends, which writes tables to the shared folder.
     """
     models, artifacts, panels, references, pipelines, measurements = (registry[k] for k in SCHEMAS)
+    large = {k for k, d in registry.items() if many(d)}
+
+    def seek(target: str, rows: str, field: str) -> DataFrame:
+        return sought(registry[target], registry[rows], F.expr(field), target in large, rows not in large)
+
+    def listed(target: str) -> DataFrame:
+        return registry[target].hint("merge") if target in large else registry[target]
+
+    def to(rows: str, **fields: tuple[str, str]) -> dict[str, tuple[str, DataFrame]]:
+        """What the rows of a collection refer to: name=(field, collection)."""
+        return {name: (field, seek(target, rows, field)) for name, (field, target) in fields.items()}
+
     key = comparability_key(*(F.coalesce(F.translate(F.expr(f).cast("string"), "|", "¦"), F.lit("None")) for f in KEY_FIELDS.values()))
     wanted = lambda *own: not codes or any(c.startswith(tuple(codes)) for c in own)
     rules = [r for r in MEASUREMENT_RULES if wanted(r[0])]
@@ -324,24 +339,27 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
     of_floor = about(rules, "f", "fl")
     rules = [r for r in rules if r not in of_floor]
     of_floors = wanted("FLOOR-001", "FLOOR-002", "FLOOR-003")
+    lane_of = seek("pipelines", "measurements", "pipeline_ref")
     parts: list[DataFrame] = []
     if of_floor or of_floors or about(rules, "r", "ra"):
         # references are joined with their artifacts before they are joined with the many rows that share them
-        bound = written(referring(narrow(references, "r", rules, "artifact_ref"), "own", ra=("artifact_ref", narrow(artifacts, "ra", rules))).drop("own"), "references")
+        bound = written(referring(narrow(references, "r", rules, "artifact_ref"), "own", ra=("artifact_ref", narrow(seek("artifacts", "references", "artifact_ref"), "ra", rules))).drop("own"), "references")
+        bound = bound.hint("merge") if "references" in large else bound
     if rules:
         of_reference = about(rules, "r", "ra")
         if of_reference:
             parts.append(broken(referring(m, "m", r=("reference_ref", bound)).withColumn("ra", F.col("r.ra")), of_reference))
         rules = [r for r in rules if r not in of_reference]
-        parts += judged(m, "m", rules, ("superseded", "verifier"), a=("artifact_ref", artifacts), p=("panel_ref", panels), l=("pipeline_ref", pipelines), o=("model_ref", models), superseded=("supersedes", measurements), verifier=("provenance.verification.verification_measurement_ref", measurements))
+        refs = to("measurements", a=("artifact_ref", "artifacts"), p=("panel_ref", "panels"), l=("pipeline_ref", "pipelines"), o=("model_ref", "models"), superseded=("supersedes", "measurements"), verifier=("provenance.verification.verification_measurement_ref", "measurements"))
+        parts += judged(m, "m", rules, ("superseded", "verifier"), ("a",) if "artifacts" in large else (), **refs)
     if of_floor:
-        lanes = {"l": ("pipeline_ref", narrow(pipelines, "l", of_floor)), "fl": ("f.pipeline_ref", narrow(pipelines, "fl", of_floor))}
-        floored = referring(m.where(f"{BIAS}.floor_measurement_ref IS NOT NULL"), "m", f=(f"{BIAS}.floor_measurement_ref", narrow(measurements, "f", of_floor, "artifact_ref", "pipeline_ref")), r=("reference_ref", bound), **{k: v for k, v in lanes.items() if about(of_floor, k)})
+        lanes = {"l": ("pipeline_ref", narrow(lane_of, "l", of_floor)), "fl": ("f.pipeline_ref", narrow(lane_of, "fl", of_floor))}
+        floored = referring(m.where(f"{BIAS}.floor_measurement_ref IS NOT NULL"), "m", f=(f"{BIAS}.floor_measurement_ref", narrow(seek("measurements", "measurements", f"{BIAS}.floor_measurement_ref"), "f", of_floor, "artifact_ref", "pipeline_ref")), r=("reference_ref", bound), **{k: v for k, v in lanes.items() if about(of_floor, k)})
     if wanted("BIAS-004") or of_floors:
         upper = bound.select(F.col("id").alias("reference_ref"), F.col("artifact_ref").alias("upper"))
         pairs = [measurements.select(F.col("artifact_ref").alias("lower"), "reference_ref").join(upper, "reference_ref").drop("reference_ref")] if of_floors else []
         pairs += [floored.select(F.col("f.artifact_ref").alias("lower"), F.col("r.artifact_ref").alias("upper"))] if of_floor else []
-        bases = written(from_base(reduce(DataFrame.unionByName, pairs), artifacts), "bases").select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
+        bases = bounded(written(from_base(reduce(DataFrame.unionByName, pairs), artifacts), "bases")).select(F.col("lower").alias("fa"), F.col("upper").alias("fr"), F.lit(True).alias("from_base"))
     else:
         bases = m.sparkSession.createDataFrame([], "fa string, fr string, from_base boolean")
     if of_floor:
@@ -350,20 +368,20 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
 
     def floor_rules() -> DataFrame:
         ranked = measurements.where("status = 'published' AND metric.value IS NOT NULL AND comparability.key IS NOT NULL")
-        ranked = referring(ranked, "m", r=("reference_ref", bound), l=("pipeline_ref", pipelines.select("id", "lane")))
+        ranked = referring(ranked, "m", r=("reference_ref", bound), l=("pipeline_ref", lane_of.select("id", "lane")))
         ranked = ranked.join(bases, (F.col("artifact_ref") == F.col("fa")) & (F.col("r.artifact_ref") == F.col("fr")), "left")
         ranked = ranked.select("id", F.col("comparability.key").alias("key"), F.expr(LANE).alias("lane"), F.col("metric.value").alias("value"), (F.coalesce("from_base", F.lit(False)) | F.col("artifact_ref").eqNullSafe(F.col("r.artifact_ref"))).alias("zero"), F.coalesce("comparability.usable_as_floor", F.lit(True)).alias("usable"))
-        # one row a key and lane: written, as its size then tells whether it can go to the tasks
-        floors = written(ranked.where("zero AND usable").groupBy("key", "lane").agg(F.max("value").alias("floor")), "floors")
+        # one row a key and lane: written, as its rows then tell whether it can go to the tasks
+        floors = bounded(written(ranked.where("zero AND usable").groupBy("key", "lane").agg(F.max("value").alias("floor")), "floors"))
         return floor_violations(ranked.where("NOT zero"), floors).select("code", "severity", "id")
 
     cells = measurements.select("id", F.explode("by_domain").alias("c")).where("c.ci95_low IS NOT NULL")
     live = measurements.withColumns({"live": ~F.coalesce(F.col("status").isin("superseded", "retracted"), F.lit(False)), "name": F.col("metric.name"), "stack": F.col("estimator.stack_relation"), "head": F.col("estimator.head_policy"), "by": F.col("provenance.measured_by")})
     own = F.array(*map(F.lit, known_codes))
     disclosures = [d.select("id", "disclosures", F.lit(name).alias("collection")) for name, d in registry.items()]
-    scopes = panels.select("id", F.col("tokenizer.id").alias("tokenizer"), F.explode("model_scope").alias("model")).join(models.select(F.col("id").alias("model"), F.col("tokenizer.id").alias("other"), F.lit(True).alias("there")), "model", "left")
-    weights = models.select("id", F.col("canonical_weights.artifact_ref").alias("ref")).join(artifacts.select(F.col("id").alias("ref"), F.lit(True).alias("there")), "ref", "left")
-    crossed = measurements.where(CROSS).select(F.col("reference_ref").alias("id")).distinct().join(references.select("id", "self_consistency"), "id", "left")
+    scopes = panels.select("id", F.col("tokenizer.id").alias("tokenizer"), F.explode("model_scope").alias("model")).join(listed("models").select(F.col("id").alias("model"), F.col("tokenizer.id").alias("other"), F.lit(True).alias("there")), "model", "left")
+    weights = models.select("id", F.col("canonical_weights.artifact_ref").alias("ref")).join(seek("artifacts", "models", "canonical_weights.artifact_ref").select(F.col("id").alias("ref"), F.lit(True).alias("there")), "ref", "left")
+    crossed = measurements.where(CROSS).select(F.col("reference_ref").alias("id")).distinct().join(listed("references").select("id", "self_consistency"), "id", "left")
     tables = [
         (cells, DOMAIN_RULES),
         (scopes, [("REF-001", "error", "there IS NULL"), ("REF-007", "error", "there AND NOT tokenizer <=> other")]),
@@ -372,13 +390,13 @@ def violations(registry: Registry, known_codes: list[str], allowed: list[str] =
         (reduce(DataFrame.unionByName, disclosures).withColumn("known_codes", own), DISCLOSURE_RULES),
     ]
     referred = [
-        (artifacts.withColumn("want_digest", scope_digest()), "a", ARTIFACT_RULES, ("parent",), {"o": ("model_ref", models), "parent": ("derived_from_artifact_ref", artifacts)}),
-        (panels, "panel", PANEL_RULES, ("parent",), {"parent": ("derived_from", panels)}),
-        (references, "ref", REFERENCE_RULES, ("f",), {"a": ("artifact_ref", artifacts), "p": ("panel_ref", panels), "f": ("self_consistency.floor_measurement_ref", measurements)}),
-        (pipelines, "pipeline", PIPELINE_RULES, ("f", "p"), {"p": ("lane.bridge.panel_ref", panels), "f": ("lane.bridge.sealed_measurement_ref", measurements)}),
+        (artifacts.withColumn("want_digest", scope_digest()), "a", ARTIFACT_RULES, ("parent",), to("artifacts", o=("model_ref", "models"), parent=("derived_from_artifact_ref", "artifacts"))),
+        (panels, "panel", PANEL_RULES, ("parent",), to("panels", parent=("derived_from", "panels"))),
+        (references, "ref", REFERENCE_RULES, ("f",), to("references", a=("artifact_ref", "artifacts"), p=("panel_ref", "panels"), f=("self_consistency.floor_measurement_ref", "measurements"))),
+        (pipelines, "pipeline", PIPELINE_RULES, ("f", "p"), to("pipelines", p=("lane.bridge.panel_ref", "panels"), f=("lane.bridge.sealed_measurement_ref", "measurements"))),
     ]
-    for d, name, all_rules, optional, to in referred:
-        parts += judged(d, name, [r for r in all_rules if wanted(r[0])], optional, **to)
+    for d, name, all_rules, optional, refs in referred:
+        parts += judged(d, name, [r for r in all_rules if wanted(r[0])], optional, **refs)
     over_several = [
         (("FLOOR-001", "FLOOR-002", "FLOOR-003"), floor_rules),
         (("CMP-003", "CMP-005"), lambda: group_rules(m)),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 100_000  # rows that may be sent to every task
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +27,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def many(df: DataFrame) -> bool:
+    """Whether ``df`` has more rows than may be sent to every task.  Files don't tell: ids of 5 million rows take 3 MB in them and 0.7 GB as a broadcast."""
+    return df.count() > FEW
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be joined: the hint keeps Spark from a broadcast that file sizes suggest where it has many rows."""
+    return df.hint("merge") if many(df) else df
+
+
+def sought(target: DataFrame, rows: DataFrame, ref: Column, large: bool, few: bool) -> DataFrame:
+    """``target`` (id, ...), to be joined with ``rows`` where id = ``ref``; if it is ``large`` no task gets all of it.
+
+    For ``few`` rows those that they refer to are taken; else both sides are shuffled.
+    """
+    if not large:
+        return target
+    if not few:
+        return target.hint("merge")
+    return target.join(F.broadcast(rows.select(ref.alias("id")).where("id IS NOT NULL").distinct()), "id", "left_semi")

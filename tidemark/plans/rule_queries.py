@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import constraints
 from tidemark.operators.registry import comparability_key
-from tidemark.operators.shared import written
+from tidemark.operators.shared import many, sought, written
 
 from .catalog import query, table
 from .registry_queries import M, measurements
@@ -74,10 +74,15 @@ def broken_registry(spark: SparkSession, sf: str) -> constraints.Registry:
     harness = "named_struct('recorded', true, 'harness_id', 'h', 'boundary', {}, 'repository', 'r', 'covers', array('metric.value'), 'code_digests', array(named_struct('role', 'score', 'path', 'bin/score', 'sha256', '3')), 'tool_versions', named_struct('numpy', '2'))".format
     cell = "named_struct('domain', '{}', 'windows', {}, 'ci95_low', 0.01D, 'interval_method', 'window_block_bca', 'bootstrap_b', {}, 'bootstrap_seed', {})".format
     # digests join the narrow rows of which measurements are made, not the measurements
-    digests = artifacts.select(F.col("id").alias("artifact_ref"), F.col("scope_digest").alias("digest"))
-    measured = c.withColumn("artifact_ref", F.expr("concat('a', c)")).join(digests, "artifact_ref", "left")
+    large = many(artifacts)
+
+    def digested(d: DataFrame, ref: str, few: bool) -> DataFrame:
+        digests = sought(artifacts.select("id", "scope_digest"), d, F.expr(ref), large, few)
+        return d.withColumn("artifact_ref", F.expr(ref)).join(digests.select(F.col("id").alias("artifact_ref"), F.col("scope_digest").alias("digest")), "artifact_ref", "left")
+
+    measured = digested(c, "concat('a', c)", False)
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"), F.floor("o_totalprice").cast("double").alias("v")).join(measured, "c")
-    floored = n.withColumn("artifact_ref", F.expr("concat('b', n)")).join(digests, "artifact_ref", "left")
+    floored = digested(n, "concat('b', n)", True)
     rows = {
         "id": "concat('o', k)", "scope_digest": "IF(k % 43 = 0, 'y', digest)", "artifact_ref": "concat('a', c)", "model_ref": "concat('m', IF(k % 23 = 0, (n + 1) % 25, n))", "supersedes": "IF(k % 31 = 0, concat('o', k), NULL)", **refs,
         "metric": metric("IF(k % 61 = 0, v + 0.5D, v)", "IF(k % 83 = 0, 'bits', 'nats')"), "auxiliary_metrics": "IF(k % 89 = 0, NULL, named_struct('top1_agreement', 0.9D))", "uncertainty": "named_struct('method', IF(k % 79 = 0, 'none', 'bca'), 'ci95_low', v - 1, 'ci95_high', IF(k % 73 = 0, v - 0.5D, v + 1))",
